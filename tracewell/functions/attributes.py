@@ -1,0 +1,241 @@
+"""Attributes read from the body of a record, all as built-in expressions.
+
+``add_attributes`` expects the columns of ``parse_prefix`` plus ``profile``.
+Intermediate lists are staged in their own projections so that no pattern is
+evaluated twice.
+"""
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tracewell import patterns as P
+from tracewell.functions import regex as rx
+
+
+def _stripped(values: Column) -> Column:
+    return F.array_distinct(F.transform(values, lambda v: F.rtrim(v, F.lit(".,;"))))
+
+
+def _matching(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return F.array_compact(F.array(*[F.when(rx.has(text, p), F.lit(name)) for name, p in rules]))
+
+
+def with_fallback_split(df: DataFrame) -> DataFrame:
+    """Adds _head (before a fallback clause) and _tail (from the clause on, else null)."""
+    at = F.col("_at")
+    return df.withColumn("_at", F.regexp_instr("body", F.lit(P.FALLBACK))).withColumns({
+        "_head": F.when(at > 0, F.substr("body", F.lit(1), at - 1)).otherwise(F.col("body")),
+        "_tail": F.when(at > 0, F.substr("body", at)),
+    }).drop("_at")
+
+
+def add_provider(df: DataFrame) -> DataFrame:
+    """provider, its evidence and certainty, and the candidates when they disagree."""
+    head = F.col("_head")
+    staged = df.withColumns({
+        "_named": _stripped(rx.every(head, P.PROVIDER_PARAM, 2)),
+        "_marked": rx.first(head, P.COOLDOWN_PROVIDER, 1),
+        "_reference": rx.first(head, P.REFERENCE_MODEL, 1),
+    }).withColumn("_routes", F.when(F.size("_named") == 0, _matching(head, P.ROUTES)).otherwise(F.array().cast("array<string>")))
+    chosen = F.coalesce(rx.only(F.col("_named")), rx.only(F.col("_routes")))
+    pattern_of_route = reduce(
+        lambda acc, rule: acc.when(chosen == rule[0], rx.first(head, rule[1])), P.ROUTES[1:],
+        F.when(chosen == P.ROUTES[0][0], rx.first(head, P.ROUTES[0][1])))
+    return staged.withColumns({
+        "provider": F.coalesce(F.col("_reference"), chosen, F.col("_marked")),
+        "provider_evidence": F.when(F.col("_reference").isNotNull(), rx.first(head, P.REFERENCE_MODEL))
+        .when(F.size("_named") == 1, rx.first(head, P.PROVIDER_PARAM, 1))
+        .when(F.size("_routes") == 1, pattern_of_route)
+        .when(F.col("_marked").isNotNull(), rx.first(head, P.COOLDOWN_PROVIDER)),
+        "provider_certainty": F.when(F.col("_reference").isNull() & (F.size("_routes") == 1), "derived")
+        .when(F.coalesce(F.col("_reference"), chosen, F.col("_marked")).isNotNull(), "explicit"),
+        "provider_conflict": F.when(F.size("_named") > 1, F.col("_named")).when(F.size("_routes") > 1, F.col("_routes")),
+    }).drop("_named", "_marked", "_reference", "_routes")
+
+
+def add_model(df: DataFrame) -> DataFrame:
+    head = F.col("_head")
+    staged = df.withColumns({
+        "_params": _stripped(F.concat(rx.every(head, P.MODEL_PARAM, 1), rx.every(head, P.MODEL_QUOTED, 1))),
+        "_reference": rx.first(head, P.REFERENCE_MODEL, 2),
+    }).withColumn("_models", F.when(F.size("_params") > 0, F.col("_params")).otherwise(rx.distinct(head, P.MODEL_NAME, 1)))
+    return staged.withColumns({
+        "model": F.coalesce(F.col("_reference"), rx.only(F.col("_models"))),
+        "model_conflict": F.when(F.size("_models") > 1, F.col("_models")),
+    }).drop("_params", "_reference", "_models")
+
+
+def add_fallback_route(df: DataFrame) -> DataFrame:
+    tail, body = F.col("_tail"), F.col("body")
+    explicit = r"(?i)\b{}=['\"]?([\w./:-]+)"
+    return df.withColumns({
+        "fallback_provider": F.coalesce(
+            rx.first(body, explicit.format("fallback_provider"), 1), rx.first(tail, P.PROVIDER_PARAM, 2)),
+        "fallback_model": F.coalesce(
+            rx.first(body, explicit.format("fallback_model"), 1), rx.first(tail, P.MODEL_PARAM, 1),
+            rx.first(tail, P.MODEL_QUOTED, 1), rx.first(tail, P.MODEL_NAME, 1)),
+    })
+
+
+def platform(component: Column, body: Column) -> Column:
+    """First platform named by the component, a tag, or a phrase."""
+    where = F.lower(F.coalesce(component, F.lit("")))
+    low = F.lower(body)
+
+    def named(name: str) -> Column:
+        phrase = rf"(?i)\[{name}\]|\b{name}{P.PLATFORM_AFTER}|{P.PLATFORM_BEFORE}{name}\b"
+        # The plain substring test is cheap and spares most lines the pattern.
+        return where.contains(name) | (low.contains(name) & rx.has(body, phrase))
+
+    first, *others = P.PLATFORMS
+    return reduce(lambda acc, name: acc.when(named(name), name), others, F.when(named(first), first))
+
+
+def tool(body: Column) -> Column:
+    return F.coalesce(rx.first(body, P.TOOL_NAMED, 1), rx.first(body, P.TOOL_KEYED, 1), rx.first(body, P.TOOL_DEADLINE, 1))
+
+
+def add_tool_target(df: DataFrame) -> DataFrame:
+    """tool, target and database; later evidence for the target overrides weaker evidence."""
+    body = F.col("body")
+    staged = df.withColumns({
+        "tool": tool(body),
+        "database": rx.first(body, P.DATABASE_FILE, 1),
+        "_server": rx.first(body, P.MCP_SERVER, 1),
+    })
+    return staged.withColumn("target", F.coalesce(
+        rx.first(body, P.CHECK_FUNCTION, 1),
+        F.concat(F.lit("mcp:"), F.col("_server")),
+        F.concat(F.lit("tool:"), F.col("tool")),
+        rx.first(body, P.ENDPOINT, 1),
+        F.col("database"),
+    ))
+
+
+def path_basename(body: Column) -> Column:
+    return rx.first(body, P.FILE_BASENAME, 1)
+
+
+def add_exceptions(df: DataFrame) -> DataFrame:
+    body = F.col("body")
+    return df.withColumn("exceptions", rx.distinct(body, P.EXCEPTION, 1)).withColumn(
+        "exception", F.when(F.size("exceptions") > 0, F.coalesce(
+            rx.first(body, P.ERROR_TYPE, 1), F.element_at("exceptions", -1))))
+
+
+def is_predicted(body: Column) -> Column:
+    """A warning about a future failure; its codes are not an observed failure."""
+    return body.contains(P.PREDICTED)
+
+
+def add_http_status(df: DataFrame) -> DataFrame:
+    body = F.col("body")
+    found = F.array_union(rx.every(body, P.HTTP_LABELLED, 1), rx.every(body, P.HTTP_PHRASED, 1))
+    return df.withColumn("_statuses", found).withColumns({
+        "http_status": F.when(~is_predicted(body), rx.integer(rx.only(F.col("_statuses")))),
+        "http_conflict": F.when(F.size("_statuses") > 1, F.array_sort("_statuses")),
+    }).drop("_statuses")
+
+
+def add_provider_codes(df: DataFrame) -> DataFrame:
+    body = F.col("body")
+    found = F.array_union(rx.every(body, P.CODE_QUOTED, 1), rx.every(body, P.CODE_NUMBER, 1))
+    literal = F.coalesce(*[F.when(body.contains(code), F.lit(code)) for code in P.LITERAL_CODES])
+    return df.withColumn("provider_codes", found).withColumn("provider_code", F.when(
+        ~is_predicted(body),
+        F.when(F.size("provider_codes") > 0, F.try_element_at(
+            F.filter("provider_codes", lambda c: ~c.isin("error", "message")), F.lit(1))).otherwise(literal)))
+
+
+def numeric_codes(body: Column) -> dict[str, Column]:
+    return {
+        "rpc_code": rx.integer(rx.first(body, P.RPC_CODE, 1)),
+        "errno": rx.integer(rx.first(body, P.ERRNO, 1)),
+        "exit_code": rx.integer(F.coalesce(
+            rx.first(body, P.EXIT_LABELLED, 1), rx.first(body, P.EXIT_SYSTEMD, 1), rx.first(body, P.EXIT_PHRASED, 1))),
+        "attempt": rx.integer(F.coalesce(rx.first(body, P.ATTEMPT, 1), rx.first(body, P.POLL_ATTEMPT, 1))),
+        "max_attempts": rx.integer(F.when(
+            rx.has(body, P.ATTEMPT), rx.first(body, P.ATTEMPT, 2)).otherwise(rx.first(body, P.POLL_ATTEMPT, 2))),
+    }
+
+
+def signal(body: Column) -> Column:
+    return F.coalesce(rx.first(body, P.SIGNAL_NAME, 1), rx.first(body, P.SIGNAL_KILLED, 1))
+
+
+def stream_stage(body: Column) -> Column:
+    return F.when(rx.has(body, P.STREAM_BEFORE), "before_delivery").when(rx.has(body, P.STREAM_AFTER), "after_delivery")
+
+
+def is_system(profile: Column, text: Column) -> Column:
+    return F.coalesce(profile.startswith("system:"), F.lit(False)) | rx.has(text, P.CLEAR_SYSTEM)
+
+
+def scopes(has_server: Column, tool_name: Column, platform_name: Column, provider: Column,
+           component: Column, body: Column, system: Column) -> Column:
+    """Which families of rules may fire: tool, platform, llm."""
+    where = F.coalesce(component, F.lit(""))
+
+    def under(prefixes: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [where.startswith(p) for p in prefixes])
+
+    return F.array_compact(F.array(
+        F.when(tool_name.isNotNull() | has_server | where.startswith("tools.") | (where == "agent.tool_executor"),
+               F.lit("tool")),
+        F.when(platform_name.isNotNull() | under(P.PLATFORM_COMPONENTS) | rx.has(body, P.PLATFORM_SCOPE_TEXT),
+               F.lit("platform")),
+        F.when(~system & (provider.isNotNull() | under(P.LLM_COMPONENTS) | rx.has(body, P.LLM_SCOPE_TEXT)),
+               F.lit("llm")),
+    ))
+
+
+def is_tuning(body: Column) -> Column:
+    return rx.has(body, P.TUNING)
+
+
+def is_observation(body: Column) -> Column:
+    """The line reports success or telemetry; error words inside it are only quoted."""
+    return is_tuning(body) | rx.has(body, P.OBSERVATION)
+
+
+def function_slot(tool_name: Column, operation: Column, component: Column) -> Column:
+    """Which configurable slot of the application a record belongs to."""
+    where = F.coalesce(component, F.lit(""))
+    exact = F.create_map(*[F.lit(v) for pair in P.FUNCTION_SLOTS for v in pair])
+    nested = F.coalesce(*[F.when(where.startswith(p + "."), F.lit(slot)) for p, slot in P.FUNCTION_SLOTS])
+    return (
+        F.when((tool_name == "delegate_task") | operation.isin("subagent_delegate", "delegation"), "delegation")
+        .when(operation == "fallback", "fallback")
+        .when(operation.isin("title_generation", "title"), "title")
+        .when(operation.isin("aux", "auxiliary"), "aux")
+        .otherwise(F.coalesce(
+            F.try_element_at(exact, where), nested,
+            F.when(where.startswith("gateway."), "gateway"),
+            F.nullif(operation, F.lit("")),
+            F.when(where.startswith("agent."), F.substr(where, F.lit(7))),
+            F.nullif(where, F.lit("")), F.lit("unknown")))
+    )
+
+
+def add_attributes(df: DataFrame) -> DataFrame:
+    body = F.col("body")
+    staged = with_fallback_split(df)
+    for step in (add_provider, add_model, add_fallback_route, add_tool_target, add_exceptions,
+                 add_http_status, add_provider_codes):
+        staged = step(staged)
+    staged = staged.withColumns({
+        "platform": platform(F.col("component"), body),
+        "path_basename": path_basename(body),
+        **numeric_codes(body),
+        "signal": signal(body),
+        "stream_stage": stream_stage(body),
+        "is_system": is_system(F.col("profile"), F.col("text")),
+        "is_observation": is_observation(body),
+        "is_continuation": F.col("log_level").isNull() & (rx.has(F.col("text"), P.FRAME) | rx.has(F.col("text"), P.CODE_LINE)),
+    })
+    return staged.withColumn("scopes", scopes(
+        F.col("_server").isNotNull(), F.col("tool"), F.col("platform"), F.col("provider"),
+        F.col("component"), body, F.col("is_system"))).drop("_head", "_tail", "_server")
