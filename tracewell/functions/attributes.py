@@ -15,115 +15,155 @@ from tracewell import patterns as P
 from tracewell.functions import regex as rx
 
 
-def _stripped(values: Column) -> Column:
-    return F.array_distinct(F.transform(values, lambda v: F.rtrim(v, F.lit(".,;"))))
+def _low(body: Column, lowered: Column | None) -> Column:
+    return F.lower(body) if lowered is None else lowered
 
 
-def _matching(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(rx.has(text, p), F.lit(name)) for name, p in rules]))
+LOW = "body_lower"
+ROUTE_WORDS = ("codex", "openrouter", "googleapis", "geminiapi", "api.openai", "xai-oauth", "copilot")
+MODEL_WORDS = ("gpt-", "o1", "o3", "o4", "gemini-", "claude-", "deepseek-", "grok-")
+SYSTEM_WORDS = ("systemd", "kernel", "cifs:", "networkmanager", "xrdp", "pam_", "sshd", "oom-kill", "out of memory:",
+                "failed with result", "searx.", "mds cpu", "vmscape", "firmware bug", "microcode")
 
 
-def with_fallback_split(df: DataFrame) -> DataFrame:
-    """Adds _head (before a fallback clause) and _tail (from the clause on, else null)."""
+HEAD, TAIL = "_head", "_tail"
+
+
+def fallback_split() -> rx.Steps:
+    """_head: the part before a fallback clause, which describes the failing route; _tail: the rest."""
     at = F.col("_at")
-    return df.withColumn("_at", F.regexp_instr("body", F.lit(P.FALLBACK))).withColumns({
-        "_head": F.when(at > 0, F.substr("body", F.lit(1), at - 1)).otherwise(F.col("body")),
-        "_tail": F.when(at > 0, F.substr("body", at)),
-    }).drop("_at")
+    clause = F.when(rx.mentions(F.col(LOW), "fallback", "falling back"), F.regexp_instr("body", F.lit(P.FALLBACK))).otherwise(0)
+    return [{"_at": clause}, {
+        HEAD: F.when(at > 0, F.substr("body", F.lit(1), at - 1)).otherwise(F.col("body")),
+        TAIL: F.when(at > 0, F.substr("body", at)),
+    }]
 
 
-def add_provider(df: DataFrame) -> DataFrame:
+def _provider() -> rx.Steps:
     """provider, its evidence and certainty, and the candidates when they disagree."""
-    head = F.col("_head")
-    staged = df.withColumns({
-        "_named": _stripped(rx.every(head, P.PROVIDER_PARAM, 2)),
-        "_marked": rx.first(head, P.COOLDOWN_PROVIDER, 1),
-        "_reference": rx.first(head, P.REFERENCE_MODEL, 1),
-    }).withColumn("_routes", F.when(F.size("_named") == 0, _matching(head, P.ROUTES)).otherwise(F.array().cast("array<string>")))
+    head, low = F.col(HEAD), F.col(LOW)
+    routes = rx.listed(*[F.when(rx.has(head, p), F.lit(name)) for name, p in P.ROUTES])
     chosen = F.coalesce(rx.only(F.col("_named")), rx.only(F.col("_routes")))
-    pattern_of_route = reduce(
-        lambda acc, rule: acc.when(chosen == rule[0], rx.first(head, rule[1])), P.ROUTES[1:],
-        F.when(chosen == P.ROUTES[0][0], rx.first(head, P.ROUTES[0][1])))
-    return staged.withColumns({
-        "provider": F.coalesce(F.col("_reference"), chosen, F.col("_marked")),
-        "provider_evidence": F.when(F.col("_reference").isNotNull(), rx.first(head, P.REFERENCE_MODEL))
+    route_text = F.coalesce(*[F.when(chosen == name, rx.first(head, p)) for name, p in P.ROUTES])
+    any_source = F.coalesce(F.col("_referred"), chosen, F.col("_marked"))
+    return [*fallback_split(), {
+        "_named": F.array_distinct(rx.every_if(low.contains("provider"), head, P.PROVIDER_PARAM, 2)),
+        "_marked": rx.first_if(low.contains("marking"), head, P.COOLDOWN_PROVIDER, 1),
+        "_referred": rx.first_if(low.contains("reference model"), head, P.REFERENCE_MODEL, 1),
+    }, {
+        "_routes": F.when((F.size("_named") == 0) & rx.mentions(low, *ROUTE_WORDS), routes)
+        .otherwise(F.array().cast("array<string>")),
+    }, {
+        "provider": any_source,
+        "provider_evidence": F.when(F.col("_referred").isNotNull(), rx.first(head, P.REFERENCE_MODEL))
         .when(F.size("_named") == 1, rx.first(head, P.PROVIDER_PARAM, 1))
-        .when(F.size("_routes") == 1, pattern_of_route)
+        .when(F.size("_routes") == 1, route_text)
         .when(F.col("_marked").isNotNull(), rx.first(head, P.COOLDOWN_PROVIDER)),
-        "provider_certainty": F.when(F.col("_reference").isNull() & (F.size("_routes") == 1), "derived")
-        .when(F.coalesce(F.col("_reference"), chosen, F.col("_marked")).isNotNull(), "explicit"),
+        "provider_certainty": F.when(F.col("_referred").isNull() & (F.size("_routes") == 1), "derived")
+        .when(any_source.isNotNull(), "explicit"),
         "provider_conflict": F.when(F.size("_named") > 1, F.col("_named")).when(F.size("_routes") > 1, F.col("_routes")),
-    }).drop("_named", "_marked", "_reference", "_routes")
+    }]
+
+
+def _model() -> rx.Steps:
+    head, low = F.col(HEAD), F.col(LOW)
+    said = low.contains("model")
+    return [*fallback_split(), {
+        "_params": F.array_distinct(F.concat(
+            rx.every_if(said, head, P.MODEL_PARAM, 1), rx.every_if(said, head, P.MODEL_QUOTED, 1))),
+        "_model_ref": rx.first_if(low.contains("reference model"), head, P.REFERENCE_MODEL, 2),
+    }, {
+        "_models": F.when(F.size("_params") > 0, F.col("_params")).otherwise(
+            F.array_distinct(rx.every_if(rx.mentions(low, *MODEL_WORDS), head, P.MODEL_NAME, 1))),
+    }, {
+        "model": F.coalesce(F.col("_model_ref"), rx.only(F.col("_models"))),
+        "model_conflict": F.when(F.size("_models") > 1, F.col("_models")),
+    }]
+
+
+def _fallback_route() -> rx.Steps:
+    tail, body, low = F.col(TAIL), F.col("body"), F.col(LOW)
+    explicit = r"(?i)\b{}=['\"]?([\w./:-]+)"
+
+    def stated(key: str) -> Column:
+        return rx.first_if(low.contains(key), body, explicit.format(key), 1)
+
+    return [*fallback_split(), {
+        "fallback_provider": F.coalesce(stated("fallback_provider"), rx.first_if(tail.isNotNull(), tail, P.PROVIDER_PARAM, 2)),
+        "fallback_model": F.coalesce(stated("fallback_model"), F.when(tail.isNotNull(), F.coalesce(
+            rx.first(tail, P.MODEL_PARAM, 1), rx.first(tail, P.MODEL_QUOTED, 1), rx.first(tail, P.MODEL_NAME, 1)))),
+    }]
+
+
+def add_provider(df: DataFrame) -> DataFrame:
+    return rx.staged(df, _provider())
 
 
 def add_model(df: DataFrame) -> DataFrame:
-    head = F.col("_head")
-    staged = df.withColumns({
-        "_params": _stripped(F.concat(rx.every(head, P.MODEL_PARAM, 1), rx.every(head, P.MODEL_QUOTED, 1))),
-        "_reference": rx.first(head, P.REFERENCE_MODEL, 2),
-    }).withColumn("_models", F.when(F.size("_params") > 0, F.col("_params")).otherwise(rx.distinct(head, P.MODEL_NAME, 1)))
-    return staged.withColumns({
-        "model": F.coalesce(F.col("_reference"), rx.only(F.col("_models"))),
-        "model_conflict": F.when(F.size("_models") > 1, F.col("_models")),
-    }).drop("_params", "_reference", "_models")
+    return rx.staged(df, _model())
 
 
 def add_fallback_route(df: DataFrame) -> DataFrame:
-    tail, body = F.col("_tail"), F.col("body")
-    explicit = r"(?i)\b{}=['\"]?([\w./:-]+)"
-    return df.withColumns({
-        "fallback_provider": F.coalesce(
-            rx.first(body, explicit.format("fallback_provider"), 1), rx.first(tail, P.PROVIDER_PARAM, 2)),
-        "fallback_model": F.coalesce(
-            rx.first(body, explicit.format("fallback_model"), 1), rx.first(tail, P.MODEL_PARAM, 1),
-            rx.first(tail, P.MODEL_QUOTED, 1), rx.first(tail, P.MODEL_NAME, 1)),
-    })
+    return rx.staged(df, _fallback_route())
 
 
-def platform(component: Column, body: Column) -> Column:
+def platform(component: Column, body: Column, lowered: Column | None = None) -> Column:
     """First platform named by the component, a tag, or a phrase."""
     where = F.lower(F.coalesce(component, F.lit("")))
-    low = F.lower(body)
+    low = _low(body, lowered)
 
     def named(name: str) -> Column:
         phrase = rf"(?i)\[{name}\]|\b{name}{P.PLATFORM_AFTER}|{P.PLATFORM_BEFORE}{name}\b"
-        # The plain substring test is cheap and spares most lines the pattern.
         return where.contains(name) | (low.contains(name) & rx.has(body, phrase))
 
-    first, *others = P.PLATFORMS
-    return reduce(lambda acc, name: acc.when(named(name), name), others, F.when(named(first), first))
+    return F.coalesce(*[F.when(named(name), F.lit(name)) for name in P.PLATFORMS])
 
 
-def tool(body: Column) -> Column:
-    return F.coalesce(rx.first(body, P.TOOL_NAMED, 1), rx.first(body, P.TOOL_KEYED, 1), rx.first(body, P.TOOL_DEADLINE, 1))
+def tool(body: Column, lowered: Column | None = None) -> Column:
+    low = _low(body, lowered)
+    return F.coalesce(
+        F.when(low.contains("tool"), F.coalesce(rx.first(body, P.TOOL_NAMED, 1), rx.first(body, P.TOOL_KEYED, 1))),
+        rx.first_if(low.contains("[deadline]"), body, P.TOOL_DEADLINE, 1))
 
 
-def add_tool_target(df: DataFrame) -> DataFrame:
+def _tool_target() -> rx.Steps:
     """tool, target and database; later evidence for the target overrides weaker evidence."""
-    body = F.col("body")
-    staged = df.withColumns({
-        "tool": tool(body),
-        "database": rx.first(body, P.DATABASE_FILE, 1),
-        "_server": rx.first(body, P.MCP_SERVER, 1),
-    })
-    return staged.withColumn("target", F.coalesce(
-        rx.first(body, P.CHECK_FUNCTION, 1),
-        F.concat(F.lit("mcp:"), F.col("_server")),
-        F.concat(F.lit("tool:"), F.col("tool")),
-        rx.first(body, P.ENDPOINT, 1),
-        F.col("database"),
-    ))
+    body, low = F.col("body"), F.col(LOW)
+    return [{
+        "tool": tool(body, low),
+        "database": rx.first_if(rx.mentions(low, ".db", ".sqlite"), body, P.DATABASE_FILE, 1),
+        "mcp_server": rx.first_if(low.contains("mcp server"), body, P.MCP_SERVER, 1),
+    }, {
+        "target": F.coalesce(
+            rx.first_if(low.contains("check_fn"), body, P.CHECK_FUNCTION, 1),
+            F.concat(F.lit("mcp:"), F.col("mcp_server")),
+            F.concat(F.lit("tool:"), F.col("tool")),
+            rx.first_if(low.contains("host"), body, P.ENDPOINT, 1),
+            F.col("database")),
+    }]
 
 
-def path_basename(body: Column) -> Column:
-    return rx.first(body, P.FILE_BASENAME, 1)
+def add_tool_target(df: DataFrame) -> DataFrame:
+    return rx.staged(df, _tool_target())
 
 
-def add_exceptions(df: DataFrame) -> DataFrame:
+def path_basename(body: Column, lowered: Column | None = None) -> Column:
+    low = _low(body, lowered)
+    return rx.first_if(rx.mentions(low, ".yaml", ".yml", ".json", ".md", ".py", ".txt"), body, P.FILE_BASENAME, 1)
+
+
+def _exceptions() -> rx.Steps:
     body = F.col("body")
-    return df.withColumn("exceptions", rx.distinct(body, P.EXCEPTION, 1)).withColumn(
-        "exception", F.when(F.size("exceptions") > 0, F.coalesce(
-            rx.first(body, P.ERROR_TYPE, 1), F.element_at("exceptions", -1))))
+    named = rx.mentions(body, "Error", "Exception", "Timeout", "gaierror", "Forbidden", "NotFound", "BadRequest", "TimedOut")
+    return [
+        {"exceptions": F.array_distinct(rx.every_if(named, body, P.EXCEPTION, 1))},
+        {"exception": F.when(F.size("exceptions") > 0, F.coalesce(
+            rx.first_if(F.col(LOW).contains("error_type"), body, P.ERROR_TYPE, 1), F.element_at("exceptions", -1)))},
+    ]
+
+
+def add_exceptions(df: DataFrame) -> DataFrame:
+    return rx.staged(df, _exceptions())
 
 
 def is_predicted(body: Column) -> Column:
@@ -131,74 +171,100 @@ def is_predicted(body: Column) -> Column:
     return body.contains(P.PREDICTED)
 
 
+def _http_status() -> rx.Steps:
+    body, low = F.col("body"), F.col(LOW)
+    # Both patterns need a three-digit status; few lines have one.
+    numbered = body.rlike("[45][0-9][0-9]")
+    labelled = rx.every_if(rx.mentions(low, "http", "status", "code"), body, P.HTTP_LABELLED, 1)
+    found = F.array_union(labelled, rx.every(body, P.HTTP_PHRASED, 1))
+    return [
+        {"_statuses": F.when(numbered, found).otherwise(F.array().cast("array<string>"))},
+        {
+            "http_status": F.when(~is_predicted(body), rx.integer(rx.only(F.col("_statuses")))),
+            "http_conflict": F.when(F.size("_statuses") > 1, F.array_sort("_statuses")),
+        },
+    ]
+
+
 def add_http_status(df: DataFrame) -> DataFrame:
-    body = F.col("body")
-    found = F.array_union(rx.every(body, P.HTTP_LABELLED, 1), rx.every(body, P.HTTP_PHRASED, 1))
-    return df.withColumn("_statuses", found).withColumns({
-        "http_status": F.when(~is_predicted(body), rx.integer(rx.only(F.col("_statuses")))),
-        "http_conflict": F.when(F.size("_statuses") > 1, F.array_sort("_statuses")),
-    }).drop("_statuses")
+    return rx.staged(df, _http_status())
 
 
-def add_provider_codes(df: DataFrame) -> DataFrame:
-    body = F.col("body")
-    found = F.array_union(rx.every(body, P.CODE_QUOTED, 1), rx.every(body, P.CODE_NUMBER, 1))
+def _provider_codes() -> rx.Steps:
+    body, low = F.col("body"), F.col(LOW)
+    quoted = rx.every_if(rx.mentions(low, "code'", 'code"', "type'", 'type"'), body, P.CODE_QUOTED, 1)
+    number = rx.every_if(low.contains("error code"), body, P.CODE_NUMBER, 1)
     literal = F.coalesce(*[F.when(body.contains(code), F.lit(code)) for code in P.LITERAL_CODES])
-    return df.withColumn("provider_codes", found).withColumn("provider_code", F.when(
-        ~is_predicted(body),
-        F.when(F.size("provider_codes") > 0, F.try_element_at(
-            F.filter("provider_codes", lambda c: ~c.isin("error", "message")), F.lit(1))).otherwise(literal)))
+    telling = F.array_remove(F.array_remove("provider_codes", "error"), "message")
+    return [
+        {"provider_codes": F.array_union(quoted, number)},
+        {"provider_code": F.when(~is_predicted(body), F.when(
+            F.size("provider_codes") > 0, F.try_element_at(telling, F.lit(1))).otherwise(literal))},
+    ]
+
+
+def add_provider_codes(df: DataFrame) -> DataFrame:
+    return rx.staged(df, _provider_codes())
 
 
-def numeric_codes(body: Column) -> dict[str, Column]:
+def numeric_codes(body: Column, lowered: Column | None = None) -> dict[str, Column]:
+    low = _low(body, lowered)
+    tried = low.contains("attempt")
+    polled = low.contains("polling conflict")
+    exits = F.coalesce(rx.first(body, P.EXIT_LABELLED, 1), rx.first(body, P.EXIT_SYSTEMD, 1), rx.first(body, P.EXIT_PHRASED, 1))
     return {
-        "rpc_code": rx.integer(rx.first(body, P.RPC_CODE, 1)),
-        "errno": rx.integer(rx.first(body, P.ERRNO, 1)),
-        "exit_code": rx.integer(F.coalesce(
-            rx.first(body, P.EXIT_LABELLED, 1), rx.first(body, P.EXIT_SYSTEMD, 1), rx.first(body, P.EXIT_PHRASED, 1))),
-        "attempt": rx.integer(F.coalesce(rx.first(body, P.ATTEMPT, 1), rx.first(body, P.POLL_ATTEMPT, 1))),
-        "max_attempts": rx.integer(F.when(
-            rx.has(body, P.ATTEMPT), rx.first(body, P.ATTEMPT, 2)).otherwise(rx.first(body, P.POLL_ATTEMPT, 2))),
+        "rpc_code": rx.integer(rx.first_if(low.contains("-32"), body, P.RPC_CODE, 1)),
+        "errno": rx.integer(rx.first_if(low.contains("errno"), body, P.ERRNO, 1)),
+        "exit_code": rx.integer(F.when(low.contains("exit"), exits)),
+        "attempt": rx.integer(F.coalesce(rx.first_if(tried, body, P.ATTEMPT, 1), rx.first_if(polled, body, P.POLL_ATTEMPT, 1))),
+        "max_attempts": rx.integer(F.when(rx.has_if(tried, body, P.ATTEMPT), rx.first(body, P.ATTEMPT, 2))
+                                   .otherwise(rx.first_if(polled, body, P.POLL_ATTEMPT, 2))),
     }
 
 
-def signal(body: Column) -> Column:
-    return F.coalesce(rx.first(body, P.SIGNAL_NAME, 1), rx.first(body, P.SIGNAL_KILLED, 1))
+def signal(body: Column, lowered: Column | None = None) -> Column:
+    low = _low(body, lowered)
+    return F.coalesce(rx.first_if(low.contains("sig"), body, P.SIGNAL_NAME, 1),
+                      rx.first_if(low.contains("code=killed"), body, P.SIGNAL_KILLED, 1))
 
 
-def stream_stage(body: Column) -> Column:
-    return F.when(rx.has(body, P.STREAM_BEFORE), "before_delivery").when(rx.has(body, P.STREAM_AFTER), "after_delivery")
+def stream_stage(body: Column, lowered: Column | None = None) -> Column:
+    said = _low(body, lowered).contains("streaming failed")
+    return F.when(rx.has_if(said, body, P.STREAM_BEFORE), "before_delivery").when(
+        rx.has_if(said, body, P.STREAM_AFTER), "after_delivery")
 
 
 def is_system(profile: Column, text: Column) -> Column:
-    return F.coalesce(profile.startswith("system:"), F.lit(False)) | rx.has(text, P.CLEAR_SYSTEM)
+    named = F.coalesce(profile.startswith("system:"), F.lit(False))
+    return named | rx.has_if(rx.mentions(F.lower(text), *SYSTEM_WORDS), text, P.CLEAR_SYSTEM)
 
 
 def scopes(has_server: Column, tool_name: Column, platform_name: Column, provider: Column,
-           component: Column, body: Column, system: Column) -> Column:
+           component: Column, body: Column, low: Column, system: Column) -> Column:
     """Which families of rules may fire: tool, platform, llm."""
     where = F.coalesce(component, F.lit(""))
 
     def under(prefixes: tuple[str, ...]) -> Column:
         return reduce(lambda a, b: a | b, [where.startswith(p) for p in prefixes])
 
-    return F.array_compact(F.array(
-        F.when(tool_name.isNotNull() | has_server | where.startswith("tools.") | (where == "agent.tool_executor"),
-               F.lit("tool")),
-        F.when(platform_name.isNotNull() | under(P.PLATFORM_COMPONENTS) | rx.has(body, P.PLATFORM_SCOPE_TEXT),
-               F.lit("platform")),
-        F.when(~system & (provider.isNotNull() | under(P.LLM_COMPONENTS) | rx.has(body, P.LLM_SCOPE_TEXT)),
-               F.lit("llm")),
-    ))
+    on_platform = rx.has_if(rx.mentions(low, "discord", "telegram", "api_server"), body, P.PLATFORM_SCOPE_TEXT)
+    on_llm = rx.has_if(rx.mentions(low, "api call", "streaming failed", "codex stream", "geminiapi"), body, P.LLM_SCOPE_TEXT)
+    return rx.listed(
+        F.when(tool_name.isNotNull() | has_server | where.startswith("tools.") | (where == "agent.tool_executor"), F.lit("tool")),
+        F.when(platform_name.isNotNull() | under(P.PLATFORM_COMPONENTS) | on_platform, F.lit("platform")),
+        F.when(~system & (provider.isNotNull() | under(P.LLM_COMPONENTS) | on_llm), F.lit("llm")),
+    )
 
 
 def is_tuning(body: Column) -> Column:
-    return rx.has(body, P.TUNING)
+    return rx.has_if(body.rlike("(?i)openai-codex"), body, P.TUNING)
 
 
-def is_observation(body: Column) -> Column:
+def is_observation(body: Column, lowered: Column | None = None) -> Column:
     """The line reports success or telemetry; error words inside it are only quoted."""
-    return is_tuning(body) | rx.has(body, P.OBSERVATION)
+    low = _low(body, lowered)
+    told = rx.mentions(low, "api call #", "turn ended", "shell hook", "completed", "web search via", "[memory]", "registered /")
+    return rx.has_if(low.contains("openai-codex"), body, P.TUNING) | rx.has_if(told, body, P.OBSERVATION)
 
 
 def function_slot(tool_name: Column, operation: Column, component: Column) -> Column:
@@ -221,21 +287,19 @@ def function_slot(tool_name: Column, operation: Column, component: Column) -> Co
 
 
 def add_attributes(df: DataFrame) -> DataFrame:
-    body = F.col("body")
-    staged = with_fallback_split(df)
-    for step in (add_provider, add_model, add_fallback_route, add_tool_target, add_exceptions,
-                 add_http_status, add_provider_codes):
-        staged = step(staged)
-    staged = staged.withColumns({
-        "platform": platform(F.col("component"), body),
-        "path_basename": path_basename(body),
-        **numeric_codes(body),
-        "signal": signal(body),
-        "stream_stage": stream_stage(body),
+    body, low = F.col("body"), F.col(LOW)
+    flat = [{
+        "platform": platform(F.col("component"), body, low),
+        "path_basename": path_basename(body, low),
+        **numeric_codes(body, low),
+        "signal": signal(body, low),
+        "stream_stage": stream_stage(body, low),
         "is_system": is_system(F.col("profile"), F.col("text")),
-        "is_observation": is_observation(body),
+        "is_observation": is_observation(body, low),
         "is_continuation": F.col("log_level").isNull() & (rx.has(F.col("text"), P.FRAME) | rx.has(F.col("text"), P.CODE_LINE)),
-    })
+    }]
+    staged = rx.staged(df, _provider(), _model(), _fallback_route(), _tool_target(), _exceptions(),
+                       _http_status(), _provider_codes(), flat)
     return staged.withColumn("scopes", scopes(
-        F.col("_server").isNotNull(), F.col("tool"), F.col("platform"), F.col("provider"),
-        F.col("component"), body, F.col("is_system"))).drop("_head", "_tail", "_server")
+        F.col("mcp_server").isNotNull(), F.col("tool"), F.col("platform"), F.col("provider"),
+        F.col("component"), body, low, F.col("is_system")))

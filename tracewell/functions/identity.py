@@ -14,7 +14,8 @@ def packed(*parts: Column) -> Column:
 
 
 def packed_list(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: packed(v)), ",")
+    """Number of elements, then the elements with a separator that no label or path contains."""
+    return F.concat_ws("\x1e", F.size(values).cast("string"), values)
 
 
 def digest(*parts: Column) -> Column:

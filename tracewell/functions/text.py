@@ -16,7 +16,7 @@ def log_level(text: Column) -> Column:
 
 
 def parse_prefix(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds text_stamp, log_level, session, component and body.
+    """Adds text_stamp, log_level, session, component, body and body_lower.
 
     A levelled prefix wins; otherwise a bare logger name counts as component
     unless it is really an exception name, and the body is what follows.
@@ -35,7 +35,7 @@ def parse_prefix(df: DataFrame, text: str = "text") -> DataFrame:
         "body": F.when(levelled, F.regexp_replace(line, P.PREFIX, ""))
         .when(named, F.regexp_replace(line, P.LOGGER, ""))
         .otherwise(line),
-    }).drop("_logger")
+    }).drop("_logger").withColumn("body_lower", F.lower("body"))
 
 
 def is_continuation(text: Column) -> Column:
@@ -139,6 +139,14 @@ def redact(text: Column) -> Column:
     return _replace_all(text, [*REDACTIONS, (P.KEYED_SECRET, "$1=<REDACTED>")])
 
 
+SECRET_WORDS = ("sk-", "gh", "xox", "bearer", "key", "token", "secret", "password")
+
+
+def redact_guarded(text: Column) -> Column:
+    """Same as ``redact``, skipping texts that mention nothing secret."""
+    return F.when(rx.mentions(F.lower(text), *SECRET_WORDS), redact(text)).otherwise(text)
+
+
 # Ordered: later steps see the output of earlier ones.
 TEMPLATE_STEPS = [
     (P.SCHEDULED_RUN, "[$1_<RUN>]"),
@@ -162,31 +170,42 @@ def add_template(df: DataFrame, text: Column, is_system: Column, out: str = "nor
     """Adds the message template: volatile parts become placeholders, URLs stay as written.
 
     Paths are dropped for application records and cut to their base name for
-    system records.
+    system records. Every step is staged and only runs on lines that mention
+    what it looks for.
     """
+    c = F.col
+
+    def when_mentions(source: str, words: tuple[str, ...], steps: list[tuple[str, str]]) -> Column:
+        return F.when(rx.mentions(c(source), *words), _replace_all(c(source), steps)).otherwise(c(source))
+
     staged = (
-        df.withColumn("_safe", redact(F.coalesce(text, F.lit(""))))
+        df.withColumn("_text", F.coalesce(text, F.lit("")))
+        .withColumn("_safe", redact_guarded(c("_text")))
         .withColumns({
-            "_urls": F.regexp_extract_all("_safe", F.lit(P.URL), F.lit(0)),
-            "_plain": _replace_all(F.col("_safe"), [
-                (P.URL, P.URL_MARK), (P.LEADING_STAMP, ""), (P.FRAME_REFERENCE, 'File "<F>", line')]),
+            "_urls": rx.every_if(c("_safe").contains("://"), c("_safe"), P.URL),
+            "_plain": when_mentions("_safe", ("://",), [(P.URL, P.URL_MARK)]),
         })
-        .withColumn("_plain", F.when(is_system, _replace_all(F.col("_plain"), SHORTEN_PATHS))
-                    .otherwise(_replace_all(F.col("_plain"), DROP_PATHS)))
-        .withColumn("_plain", _replace_all(F.col("_plain"), TEMPLATE_STEPS))
+        .withColumn("_plain", F.regexp_replace("_plain", P.LEADING_STAMP, ""))
+        .withColumn("_plain", when_mentions("_plain", ('File "',), [(P.FRAME_REFERENCE, 'File "<F>", line')]))
+        .withColumn("_plain", F.when(~rx.mentions(c("_plain"), "/", "\\"), c("_plain"))
+                    .when(is_system, _replace_all(c("_plain"), SHORTEN_PATHS))
+                    .otherwise(_replace_all(c("_plain"), DROP_PATHS)))
+        .withColumn("_plain", when_mentions("_plain", ("[", "Subsequent"), TEMPLATE_STEPS[:3]))
+        .withColumn("_plain", F.when(c("_plain").rlike("[0-9]|[iI][dD]"), _replace_all(c("_plain"), TEMPLATE_STEPS[3:]))
+                    .otherwise(c("_plain")))
     )
     restored = F.array_join(
         F.zip_with(F.split("_plain", P.URL_MARK, -1), "_urls", lambda part, url: F.concat(
             F.coalesce(part, F.lit("")), F.coalesce(url, F.lit("")))), "")
-    with_urls = F.when(F.size("_urls") > 0, restored).otherwise(F.col("_plain"))
-    return staged.withColumn(out, F.trim(F.regexp_replace(with_urls, r"\s+", " "))).drop("_safe", "_urls", "_plain")
+    with_urls = F.when(F.size("_urls") > 0, restored).otherwise(c("_plain"))
+    return staged.withColumn(out, F.trim(F.regexp_replace(with_urls, r"\s+", " "))).drop("_text", "_safe", "_urls", "_plain")
 
 
 def resources(text: Column) -> Column:
     """Sorted distinct absolute paths, after removing traceback frames and secrets."""
     clean = _replace_all(text, [(P.FRAME_REFERENCE, ""), *REDACTIONS, (P.KEYED_SECRET, "<REDACTED>")])
-    return F.array_sort(F.array_distinct(F.concat(
-        rx.every(clean, P.WINDOWS_PATH), rx.every(clean, P.POSIX_PATH, 2))))
+    found = F.array_sort(F.array_distinct(F.concat(rx.every(clean, P.WINDOWS_PATH), rx.every(clean, P.POSIX_PATH, 2))))
+    return F.when(rx.mentions(text, "/", "\\"), found).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_host(host: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -41,9 +41,10 @@ CONTEXT_LINE = (
 FRAME_REFERENCE = r'File "[^"]*", line(?:\s+\d+)?'
 
 # --- attributes -------------------------------------------------------------
-PROVIDER_PARAM = r"(?i)(?:^|[^\w-])(provider\s*[=:]\s*['\"]?([\w./:-]+))"
-MODEL_PARAM = r"(?i)(?:^|[^\w-])model(?:_name)?\s*[=:]\s*['\"]?([\w./:@+-]+)"
-MODEL_QUOTED = r"(?i)\bmodel\s+['\"]([^'\"]+)['\"]"
+# The value groups end before trailing full stops, commas and semicolons.
+PROVIDER_PARAM = r"(?i)(?:^|[^\w-])(provider\s*[=:]\s*['\"]?([\w./:-]*[\w/:-]))"
+MODEL_PARAM = r"(?i)(?:^|[^\w-])model(?:_name)?\s*[=:]\s*['\"]?([\w./:@+-]*[\w/:@+-])"
+MODEL_QUOTED = r"(?i)\bmodel\s+['\"]([^'\"]*[^'\".,;])[.,;]*['\"]"
 MODEL_NAME = (
     r"(?i)\b(gpt-\d[\w.-]*|o[134](?:-[\w.-]+)?|gemini-\d[\w.-]*|claude-\d[\w.-]*"
     r"|claude-(?:sonnet|opus|haiku)-[\w.-]+|deepseek-(?:chat|reasoner|v\d[\w.-]*)|grok-[\w.-]+)\b"

@@ -21,7 +21,6 @@ from tracewell.functions import attributes as A
 from tracewell.functions import regex as rx
 
 Rule = dict[str, Any]
-MATCHES = "array<struct<id:string,matched:string>>"
 SYSTEM_NUMBERS = ("errno", "exit_code")
 SYSTEM_ATTRIBUTES = (
     "event", "cause", "operation", "target", "component", "kind", "platform", "signal",
@@ -58,27 +57,36 @@ def _fires(rule: Rule, text: Column, lowered: Column) -> Column:
     return test
 
 
-def _hit(rule: Rule, fires: Column, text: Column) -> Column:
-    return F.when(fires, F.struct(F.lit(rule["id"]).alias("id"), F.regexp_extract(text, _pattern(rule), 0).alias("matched")))
+def _hit(family: str, rule: Rule, fires: Column, text: Column) -> Column:
+    """One string "family.id=matched text"; rule ids contain no equals sign."""
+    return F.when(fires, F.concat(F.lit(f"{family}{rule['id']}="), F.regexp_extract(text, _pattern(rule), 0)))
 
 
 def _bank(hits: list[Column], gate: Column) -> Column:
-    found = F.array_compact(F.array(*hits)) if hits else F.array()
-    return F.when(gate, found.cast(MATCHES)).otherwise(F.array().cast(MATCHES))
+    return F.when(gate, rx.listed(*hits)).otherwise(_empty())
 
 
-def _ids(matches: str) -> Column:
-    return F.transform(matches, lambda m: m["id"])
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _ids(matches: str, family: str) -> Column:
+    return F.when(F.size(matches) == 0, _empty()).otherwise(
+        F.transform(matches, lambda m: F.substr(F.substring_index(m, "=", 1), F.lit(len(family) + 1))))
+
+
+def matched_text(match: Column) -> Column:
+    return F.substr(match, F.locate("=", match) + 1)
 
 
 def match_causes(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """cause_matches (id, matched text) and causes; observations and continuations have none."""
-    body, lowered = F.col("body"), F.col("_low")
+    """cause_matches ("cause.id=matched text") and causes; observations and continuations have none."""
+    body, lowered = F.col("body"), F.col("body_lower")
     predicted = A.is_predicted(body)
 
     def hit(rule: Rule) -> Column:
         fires = _fires(rule, body, lowered)
-        return _hit(rule, fires & ~predicted if rule["id"] in PREDICTED_CAUSES else fires, body)
+        return _hit("cause.", rule, fires & ~predicted if rule["id"] in PREDICTED_CAUSES else fires, body)
 
     gate = ~F.col("is_observation") & ~F.col("is_continuation")
     staged = df.withColumn("cause_matches", _bank([hit(r) for r in rules], gate))
@@ -87,14 +95,14 @@ def match_causes(df: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.coalesce(*[F.when(F.col(code) == number, F.lit(name)) for number, name in table])
 
     ended = F.when(gate & F.array_contains("scopes", "tool"), by_code("exit_code", EXIT_CAUSES))
-    staged = staged.withColumn("_found", F.concat(_ids("cause_matches"), F.array_compact(F.array(ended))))
+    staged = staged.withColumn("_found", F.concat(_ids("cause_matches", "cause."), rx.listed(ended)))
     status = F.when(gate & (F.size("_found") == 0), by_code("http_status", HTTP_CAUSES))
-    return staged.withColumn("_causes", F.concat("_found", F.array_compact(F.array(status)))).drop("_found")
+    return staged.withColumn("_causes", F.concat("_found", rx.listed(status))).drop("_found")
 
 
 def match_events(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """event_matches and events; an observation only reports telemetry events."""
-    body, lowered = F.col("body"), F.col("_low")
+    body, lowered = F.col("body"), F.col("body_lower")
     predicted = A.is_predicted(body)
 
     def hit(rule: Rule) -> Column:
@@ -105,15 +113,13 @@ def match_events(df: DataFrame, rules: list[Rule]) -> DataFrame:
             fires = F.arrays_overlap("_causes", F.array(*[F.lit(c) for c in rule["requires"]])) & fires
         if rule["id"] in PREDICTED_EVENTS:
             fires = fires & ~predicted
-        return _hit(rule, fires, body)
+        return _hit("event.", rule, fires, body)
 
     operations = F.create_map(*[F.lit(v) for r in {r["id"]: r for r in reversed(rules)}.values()
                                 for v in (r["id"], r["operation"])])
     staged = df.withColumn("event_matches", _bank([hit(r) for r in rules], ~F.col("is_continuation")))
-    return staged.withColumns({
-        "_events": _ids("event_matches"),
-        "_operation": F.try_element_at(operations, F.try_element_at("event_matches", F.lit(1))["id"]),
-    })
+    return staged.withColumn("_events", _ids("event_matches", "event.")).withColumn(
+        "_operation", F.try_element_at(operations, F.try_element_at("_events", F.lit(1))))
 
 
 def _emitted(template: str, rule: Rule, text: Column) -> Column:
@@ -130,9 +136,8 @@ def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
     descending specificity: no grouping is needed.
     """
     text = F.col("text")
-    lowered = F.lower(text)
-    staged = df.withColumn("_hits", F.when(F.col("is_system"), F.array(
-        *[_may_match(r, lowered) & text.rlike(_pattern(r)) for r in rules])))
+    staged = df.withColumn("_text_lower", F.lower(text)).withColumn("_hits", F.when(F.col("is_system"), F.array(
+        *[_may_match(r, F.col("_text_lower")) & text.rlike(_pattern(r)) for r in rules])))
     hits = F.col("_hits")
     ranked = sorted(range(len(rules)), key=lambda i: (-rules[i]["specificity"], i))
 
@@ -143,23 +148,19 @@ def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
         return rx.integer(value) if attribute in SYSTEM_NUMBERS else value
 
     def named(attribute: str) -> Column:
-        found = [F.when(hits[i], F.lit(r["emits"][attribute])) for i, r in enumerate(rules) if attribute in r["emits"]]
-        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        return rx.listed(*[F.when(hits[i], F.lit(r["emits"][attribute])) for i, r in enumerate(rules) if attribute in r["emits"]])
 
-    matches = F.array_compact(F.array(*[
-        F.when(hits[i], F.struct(F.lit(r["id"]).alias("id"), F.regexp_extract(text, _pattern(r), 0).alias("matched")))
-        for i, r in enumerate(rules)]))
-    nothing = F.array().cast("array<string>")
+    matches = [_hit("", r, hits[i], text) for i, r in enumerate(rules)]
     return staged.withColumns({
         **{f"sys_{a}": F.when(F.col("is_system"), winner(a)) for a in SYSTEM_ATTRIBUTES},
-        "_sys_events": F.when(F.col("is_system"), named("event")).otherwise(nothing),
-        "_sys_causes": F.when(F.col("is_system"), named("cause")).otherwise(nothing),
-        "system_matches": F.when(F.col("is_system"), matches.cast(MATCHES)).otherwise(F.array().cast(MATCHES)),
-    }).drop("_hits")
+        "_sys_events": F.when(F.col("is_system"), named("event")).otherwise(_empty()),
+        "_sys_causes": F.when(F.col("is_system"), named("cause")).otherwise(_empty()),
+        "system_matches": _bank(matches, F.col("is_system")),
+    }).drop("_hits", "_text_lower")
 
 
 def _single(value: Column) -> Column:
-    return F.array_compact(F.array(value))
+    return rx.listed(value)
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -218,11 +219,8 @@ def finalize(df: DataFrame) -> DataFrame:
         "domain": F.coalesce(F.try_element_at(domains, family), F.when(c("is_system"), "system")),
         "kind": F.when(c("is_continuation"), "continuation").when(c("is_observation") | quiet, "observation")
         .otherwise(F.coalesce(c("sys_kind"), F.lit("incident"))),
-        "matched_rules": F.concat(
-            F.transform("cause_matches", lambda m: F.struct(F.concat(F.lit("cause."), m["id"]).alias("id"), m["matched"].alias("matched"))),
-            F.transform("event_matches", lambda m: F.struct(F.concat(F.lit("event."), m["id"]).alias("id"), m["matched"].alias("matched"))),
-            "system_matches"),
-    }).drop("_tuning", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "_low",
+        "matched_rules": F.concat("cause_matches", "event_matches", "system_matches"),
+    }).drop("_tuning", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "body_lower",
             *[f"sys_{a}" for a in SYSTEM_ATTRIBUTES])
 
 
@@ -248,8 +246,8 @@ def field_evidence(df: DataFrame) -> DataFrame:
     evidence = [(n, c(n).cast("string")) for n, _ in EVIDENCE_FIELDS if n != "provider"]
     evidence += [
         ("provider", c("provider_evidence")),
-        ("cause", first_match("cause_matches", F.lit(1))["matched"]),
-        ("event", first_match("event_matches", F.lit(1))["matched"]),
+        ("cause", matched_text(first_match("cause_matches", F.lit(1)))),
+        ("event", matched_text(first_match("event_matches", F.lit(1)))),
     ]
     conflict = "array<struct<field:string,candidates:array<string>>>"
     conflicts = F.array_compact(F.array(*[
@@ -264,6 +262,6 @@ def classify(df: DataFrame, book: dict[str, Any] | None = None) -> DataFrame:
     from tracewell.functions.text import parse_prefix
 
     book = book or load()
-    staged = A.add_attributes(parse_prefix(df)).withColumn("_low", F.lower("body"))
+    staged = A.add_attributes(parse_prefix(df))
     staged = match_events(match_causes(staged, book["causes"]), book["events"])
     return finalize(match_system(staged, book["system"])).withColumn("rule_version", F.lit(book["version"]))

@@ -114,25 +114,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 
+def stage(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read back."""
+    session.configure(spark)
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STAGED:
+        target = f"{session.shared_dir(spark)}/{name}-{key[0]}-{len(_STAGED)}"
+        build().write.mode("overwrite").parquet(target)
+        _STAGED[key] = target
+    return spark.read.parquet(_STAGED[key])
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines as stored data: path, byte range, identity and text.
 
-    The adapter is written once per application to the shared folder, so that
-    the operators under test read a table, with pruning and pushdown, instead
-    of re-deriving every line.
+    Stored once, so that the operators under test read a table, with pruning
+    and pushdown, instead of re-deriving every line.
     """
-    session.configure(spark)
-    key = (spark.sparkContext.applicationId, folder, "lines")
-    if key not in _STAGED:
-        target = f"{session.shared_dir(spark)}/staged-{key[0]}-{len(_STAGED)}"
+    def build() -> DataFrame:
         table(spark, folder, "events").createOrReplaceTempView("events")
         derived = spark.sql(f"WITH {LINES_CTE} SELECT *, CAST(ts AS TIMESTAMP) AS stored_at FROM lines")
         lanes = spark.sparkContext.defaultParallelism
-        if derived.rdd.getNumPartitions() < lanes:  # a single small input file: use all cores
-            derived = derived.repartition(lanes)
-        derived.write.mode("overwrite").parquet(target)
-        _STAGED[key] = target
-    return spark.read.parquet(_STAGED[key])
+        # A single small input file would otherwise keep all but one core idle.
+        return derived.repartition(lanes) if derived.rdd.getNumPartitions() < lanes else derived
+
+    return stage(spark, folder, "lines", build)
 
 
 def from_lines(spark: SparkSession, folder: str, ctes: str, select: str) -> DataFrame:

@@ -61,6 +61,10 @@ def digest(*parts: str) -> str:
     return f"sha256({packed(*parts)})"
 
 
+def packed_list(items: str) -> str:
+    return f"array_to_string(list_concat([CAST(len({items}) AS STRING)], {items}), chr(30))"
+
+
 def iso(ts: str) -> str:
     """Instant as canonical UTC text."""
     return f"strftime({ts}, '%Y-%m-%dT%H:%M:%SZ')"

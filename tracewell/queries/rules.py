@@ -143,12 +143,12 @@ LABEL, RULE_ID = severity_sql(POLICY)
 SEVERE = FINAL + f", graded AS (SELECT *, {LABEL} AS severity, {RULE_ID} AS severity_rule_id FROM classified)"
 _KEY_PARTS = []
 for _f in E.SEMANTIC_FIELDS:
-    _KEY_PARTS.append(f"array_to_string(list_transform({_f}, lambda v: {d.packed('v')}), ',')" if _f in E.LIST_FIELDS else _f)
+    _KEY_PARTS.append(d.packed_list(_f) if _f in E.LIST_FIELDS else _f)
 _SYS_PROFILE = "(coalesce(domain = 'system', false) OR coalesce(starts_with(profile, 'system:'), false))"
 _HOST = "CASE WHEN host IS NULL OR host = '' THEN 'UNKNOWN' WHEN lower(trim(host)) = 'node-b' THEN 'beta' ELSE trim(host) END"
 FINGERPRINTED = SEVERE + ", tmpl_in AS (SELECT * FROM graded), " + template_sql("text", _SYS_PROFILE) + f""",
  keyed AS (SELECT *, {_HOST} AS fp_host, {resources_sql('text')} AS resources FROM templated),
- enriched AS (SELECT *, {d.digest("array_to_string(list_transform(resources, lambda v: " + d.packed('v') + "), ',')", 'fp_host', 'profile', 'normalized_text', *_KEY_PARTS)} AS fingerprint FROM keyed)"""
+ enriched AS (SELECT *, {d.digest(d.packed_list('resources'), 'fp_host', 'profile', 'normalized_text', *_KEY_PARTS)} AS fingerprint FROM keyed)"""
 
 
 def classified(spark, folder):
@@ -165,24 +165,24 @@ def _list(column, name=None):
     return F.array_join(column, "|").alias(name or column)
 
 
-def _pair_list(column, name):
-    return F.array_join(F.transform(column, lambda m: F.concat(m["id"], F.lit("="), m["matched"])), "|").alias(name)
+def _pair_list(column, name, family=""):
+    return F.regexp_replace(F.array_join(column, "|"), r"(^|\|)" + family.replace(".", r"\."), "$1").alias(name)
 
 
 def _prepared(spark, folder):
-    return attributes(spark, folder).withColumn("_low", F.lower("body"))
+    return attributes(spark, folder)
 
 
 @query("rule_causes", with_parsed(f"SELECT line_id, {d.join('causes0')} AS causes, {d.join('cause_pairs')} AS matched FROM c3", MATCHED))
 def rule_causes(spark, folder):
     return R.match_causes(_prepared(spark, folder), BOOK["causes"]).select(
-        "line_id", _list("_causes", "causes"), _pair_list("cause_matches", "matched"))
+        "line_id", _list("_causes", "causes"), _pair_list("cause_matches", "matched", "cause."))
 
 
 @query("rule_events", with_parsed(f"SELECT line_id, {d.join('events0')} AS events, {d.join('event_pairs')} AS matched FROM e2", MATCHED))
 def rule_events(spark, folder):
     staged = R.match_events(R.match_causes(_prepared(spark, folder), BOOK["causes"]), BOOK["events"])
-    return staged.select("line_id", _list("_events", "events"), _pair_list("event_matches", "matched"))
+    return staged.select("line_id", _list("_events", "events"), _pair_list("event_matches", "matched", "event."))
 
 
 @query("rule_system", with_parsed(

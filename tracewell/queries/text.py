@@ -93,7 +93,7 @@ SPLIT = f"""split AS (SELECT *,
 
 
 def _strip(items: str) -> str:
-    return d.distinct(f"list_transform({items}, lambda v: rtrim(v, '.,;'))")
+    return d.distinct(items)
 
 
 ATTRS = SPLIT + f""", attr_lists AS (SELECT *,
@@ -184,18 +184,18 @@ _EVIDENCE = "CASE WHEN ref_provider IS NOT NULL THEN " + d.first("head", P.REFER
 @query("fn_provider", with_parsed(f"""SELECT line_id, provider, provider_certainty, {_EVIDENCE} AS provider_evidence,
     {d.join('provider_conflict')} AS provider_conflict FROM attrs""", ATTRIBUTES))
 def provider(spark, folder):
-    return A.add_provider(A.with_fallback_split(parsed(spark, folder))).select(
+    return A.add_provider(parsed(spark, folder)).select(
         "line_id", "provider", "provider_certainty", "provider_evidence", _joined("provider_conflict"))
 
 
 @query("fn_model", with_parsed(f"SELECT line_id, model, {d.join('model_conflict')} AS model_conflict FROM attrs", ATTRIBUTES))
 def model(spark, folder):
-    return A.add_model(A.with_fallback_split(parsed(spark, folder))).select("line_id", "model", _joined("model_conflict"))
+    return A.add_model(parsed(spark, folder)).select("line_id", "model", _joined("model_conflict"))
 
 
 @query("fn_fallback_route", with_parsed("SELECT line_id, fallback_provider, fallback_model FROM attrs", ATTRIBUTES))
 def fallback_route(spark, folder):
-    return A.add_fallback_route(A.with_fallback_split(parsed(spark, folder))).select(
+    return A.add_fallback_route(parsed(spark, folder)).select(
         "line_id", "fallback_provider", "fallback_model")
 
 
