@@ -33,6 +33,19 @@ def carry_last(df: DataFrame, keys: list[str], chunk: str, order: str, value: Co
     )
 
 
+def running_min(df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk_size: int) -> DataFrame:
+    """Adds the least non-null ``value`` over rows with an equal or greater ``order`` (a whole number)."""
+    staged = df.withColumns({"_value": value, "_chunk": F.floor(F.col(order) / chunk_size).cast("bigint")})
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(order).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = staged.groupBy(*keys, "_chunk").agg(F.min("_value").alias("_end"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_chunk", F.min("_end").over(later).alias("_carry"))
+    return (
+        staged.withColumn("_local", F.min("_value").over(inside)).join(carried, [*keys, "_chunk"], "left")
+        .withColumn(out, F.least("_local", "_carry")).drop("_value", "_chunk", "_local", "_carry")
+    )
+
+
 def global_order(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
     """Adds _pid and _row: a global sort, fixed by a checkpoint, with positions inside each partition.
 
