@@ -39,6 +39,7 @@ def fallback_split() -> rx.Steps:
     }]
 
 
+@rx.once
 def _provider() -> rx.Steps:
     """provider, its evidence and certainty, and the candidates when they disagree."""
     head, low = F.col(HEAD), F.col(LOW)
@@ -65,6 +66,7 @@ def _provider() -> rx.Steps:
     }]
 
 
+@rx.once
 def _model() -> rx.Steps:
     head, low = F.col(HEAD), F.col(LOW)
     said = low.contains("model")
@@ -81,6 +83,7 @@ def _model() -> rx.Steps:
     }]
 
 
+@rx.once
 def _fallback_route() -> rx.Steps:
     tail, body, low = F.col(TAIL), F.col("body"), F.col(LOW)
     explicit = r"(?i)\b{}=['\"]?([\w./:-]+)"
@@ -126,6 +129,7 @@ def tool(body: Column, lowered: Column | None = None) -> Column:
         rx.first_if(low.contains("[deadline]"), body, P.TOOL_DEADLINE, 1))
 
 
+@rx.once
 def _tool_target() -> rx.Steps:
     """tool, target and database; later evidence for the target overrides weaker evidence."""
     body, low = F.col("body"), F.col(LOW)
@@ -152,6 +156,7 @@ def path_basename(body: Column, lowered: Column | None = None) -> Column:
     return rx.first_if(rx.mentions(low, ".yaml", ".yml", ".json", ".md", ".py", ".txt"), body, P.FILE_BASENAME, 1)
 
 
+@rx.once
 def _exceptions() -> rx.Steps:
     body = F.col("body")
     named = rx.mentions(body, "Error", "Exception", "Timeout", "gaierror", "Forbidden", "NotFound", "BadRequest", "TimedOut")
@@ -171,6 +176,7 @@ def is_predicted(body: Column) -> Column:
     return body.contains(P.PREDICTED)
 
 
+@rx.once
 def _http_status() -> rx.Steps:
     body, low = F.col("body"), F.col(LOW)
     # Both patterns need a three-digit status; few lines have one.
@@ -190,6 +196,7 @@ def add_http_status(df: DataFrame) -> DataFrame:
     return rx.staged(df, _http_status())
 
 
+@rx.once
 def _provider_codes() -> rx.Steps:
     body, low = F.col("body"), F.col(LOW)
     quoted = rx.every_if(rx.mentions(low, "code'", 'code"', "type'", 'type"'), body, P.CODE_QUOTED, 1)
@@ -286,9 +293,10 @@ def function_slot(tool_name: Column, operation: Column, component: Column) -> Co
     )
 
 
-def add_attributes(df: DataFrame) -> DataFrame:
+@rx.once
+def _flat() -> rx.Steps:
     body, low = F.col("body"), F.col(LOW)
-    flat = [{
+    return [{
         "platform": platform(F.col("component"), body, low),
         "path_basename": path_basename(body, low),
         **numeric_codes(body, low),
@@ -298,8 +306,16 @@ def add_attributes(df: DataFrame) -> DataFrame:
         "is_observation": is_observation(body, low),
         "is_continuation": F.col("log_level").isNull() & (rx.has(F.col("text"), P.FRAME) | rx.has(F.col("text"), P.CODE_LINE)),
     }]
-    staged = rx.staged(df, _provider(), _model(), _fallback_route(), _tool_target(), _exceptions(),
-                       _http_status(), _provider_codes(), flat)
-    return staged.withColumn("scopes", scopes(
+
+
+@rx.once
+def _scopes() -> rx.Steps:
+    return [{"scopes": scopes(
         F.col("mcp_server").isNotNull(), F.col("tool"), F.col("platform"), F.col("provider"),
-        F.col("component"), body, low, F.col("is_system")))
+        F.col("component"), F.col("body"), F.col(LOW), F.col("is_system"))}]
+
+
+def add_attributes(df: DataFrame) -> DataFrame:
+    staged = rx.staged(df, _provider(), _model(), _fallback_route(), _tool_target(), _exceptions(),
+                       _http_status(), _provider_codes(), _flat())
+    return rx.staged(staged, _scopes())

@@ -13,6 +13,12 @@ def packed(*parts: Column) -> Column:
     return F.concat_ws(",", *[one(p) for p in parts])
 
 
+def packed_columns(names: tuple[str, ...] | list[str]) -> Column:
+    """``packed`` of plain columns, as one parsed expression."""
+    return F.expr("concat_ws(',', " + ", ".join(
+        f"coalesce(concat(length(CAST({n} AS string)), ':', CAST({n} AS string)), '-')" for n in names) + ")")
+
+
 def packed_list(values: Column) -> Column:
     """Number of elements, then the elements with a separator that no label or path contains."""
     return F.concat_ws("\x1e", F.size(values).cast("string"), values)

@@ -6,9 +6,11 @@ passes a ``mentions`` test and the pattern only runs on lines that pass it.
 """
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Hashable
+from functools import reduce, wraps
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,6 +67,24 @@ def listed(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
+_BUILT: dict[tuple[Hashable, ...], Any] = {}
+
+
+def once(build: Callable[..., Any]) -> Callable[..., Any]:
+    """Keeps column definitions for the life of the application.
+
+    Building thousands of Column objects takes seconds in Python; they are
+    immutable, so a second use of the same definitions can share them.
+    """
+    @wraps(build)
+    def kept(*args: Hashable) -> Any:
+        key = (SparkSession.active().sparkContext.applicationId, build, *args)
+        if key not in _BUILT:
+            _BUILT[key] = build(*args)
+        return _BUILT[key]
+    return kept
+
+
 Steps = list[dict[str, Column]]
 
 

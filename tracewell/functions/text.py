@@ -166,39 +166,42 @@ DROP_PATHS = [(P.WINDOWS_PATH, ""), (P.POSIX_PATH, "$1")]
 SHORTEN_PATHS = [(P.WINDOWS_DIRECTORY, "$1"), (P.POSIX_DIRECTORY, "$1$2")]
 
 
-def add_template(df: DataFrame, text: Column, is_system: Column, out: str = "normalized_text") -> DataFrame:
-    """Adds the message template: volatile parts become placeholders, URLs stay as written.
-
-    Paths are dropped for application records and cut to their base name for
-    system records. Every step is staged and only runs on lines that mention
-    what it looks for.
-    """
+@rx.once
+def _template() -> rx.Steps:
+    """From _text and _is_system to _template; every step only runs on lines that mention what it looks for."""
     c = F.col
 
     def when_mentions(source: str, words: tuple[str, ...], steps: list[tuple[str, str]]) -> Column:
         return F.when(rx.mentions(c(source), *words), _replace_all(c(source), steps)).otherwise(c(source))
 
-    staged = (
-        df.withColumn("_text", F.coalesce(text, F.lit("")))
-        .withColumn("_safe", redact_guarded(c("_text")))
-        .withColumns({
-            "_urls": rx.every_if(c("_safe").contains("://"), c("_safe"), P.URL),
-            "_plain": when_mentions("_safe", ("://",), [(P.URL, P.URL_MARK)]),
-        })
-        .withColumn("_plain", F.regexp_replace("_plain", P.LEADING_STAMP, ""))
-        .withColumn("_plain", when_mentions("_plain", ('File "',), [(P.FRAME_REFERENCE, 'File "<F>", line')]))
-        .withColumn("_plain", F.when(~rx.mentions(c("_plain"), "/", "\\"), c("_plain"))
-                    .when(is_system, _replace_all(c("_plain"), SHORTEN_PATHS))
-                    .otherwise(_replace_all(c("_plain"), DROP_PATHS)))
-        .withColumn("_plain", when_mentions("_plain", ("[", "Subsequent"), TEMPLATE_STEPS[:3]))
-        .withColumn("_plain", F.when(c("_plain").rlike("[0-9]|[iI][dD]"), _replace_all(c("_plain"), TEMPLATE_STEPS[3:]))
-                    .otherwise(c("_plain")))
-    )
     restored = F.array_join(
         F.zip_with(F.split("_plain", P.URL_MARK, -1), "_urls", lambda part, url: F.concat(
             F.coalesce(part, F.lit("")), F.coalesce(url, F.lit("")))), "")
     with_urls = F.when(F.size("_urls") > 0, restored).otherwise(c("_plain"))
-    return staged.withColumn(out, F.trim(F.regexp_replace(with_urls, r"\s+", " "))).drop("_text", "_safe", "_urls", "_plain")
+    return [
+        {"_safe": redact_guarded(c("_text"))},
+        {"_urls": rx.every_if(c("_safe").contains("://"), c("_safe"), P.URL),
+         "_plain": when_mentions("_safe", ("://",), [(P.URL, P.URL_MARK)])},
+        {"_plain": F.regexp_replace("_plain", P.LEADING_STAMP, "")},
+        {"_plain": when_mentions("_plain", ('File "',), [(P.FRAME_REFERENCE, 'File "<F>", line')])},
+        {"_plain": F.when(~rx.mentions(c("_plain"), "/", "\\"), c("_plain"))
+         .when(c("_is_system"), _replace_all(c("_plain"), SHORTEN_PATHS))
+         .otherwise(_replace_all(c("_plain"), DROP_PATHS))},
+        {"_plain": when_mentions("_plain", ("[", "Subsequent"), TEMPLATE_STEPS[:3])},
+        {"_plain": F.when(c("_plain").rlike("[0-9]|[iI][dD]"), _replace_all(c("_plain"), TEMPLATE_STEPS[3:]))
+         .otherwise(c("_plain"))},
+        {"normalized_text": F.trim(F.regexp_replace(with_urls, r"\s+", " "))},
+    ]
+
+
+def add_template(df: DataFrame, text: Column, is_system: Column) -> DataFrame:
+    """Adds normalized_text, the message template: volatile parts become placeholders, URLs stay as written.
+
+    Paths are dropped for application records and cut to their base name for
+    system records.
+    """
+    given = df.withColumns({"_text": F.coalesce(text, F.lit("")), "_is_system": is_system})
+    return rx.staged(given, _template()).drop("_text", "_is_system")
 
 
 def resources(text: Column) -> Column:

@@ -39,13 +39,15 @@ def add_fingerprint(df: DataFrame, aliases: dict[str, str] | None = None) -> Dat
         "_profile": F.when(F.col("profile").isNull() | (F.col("profile") == ""), "UNKNOWN").otherwise(F.col("profile")),
         "_resources": T.resources(F.col("text")),
     })
-    semantic = [I.packed_list(F.col(f)) if f in LIST_FIELDS else F.col(f) for f in SEMANTIC_FIELDS]
-    key = I.digest(I.packed_list(F.col("_resources")), F.col("_host"), F.col("_profile"), F.col("normalized_text"), *semantic)
+    staged = staged.withColumns({f"_{f}": I.packed_list(F.col(f)) for f in (*LIST_FIELDS, "_resources")})
+    parts = ["__resources", "_host", "_profile", "normalized_text", *[f"_{f}" if f in LIST_FIELDS else f for f in SEMANTIC_FIELDS]]
+    key = F.sha2(I.packed_columns(parts), 256)
     shown = ("event", "events", "cause", "causes", "provider", "model", "domain", "kind", "platform", "component",
              "tool", "target", "operation")
     return staged.withColumn("fingerprint", F.struct(
         key.alias("key"), F.col("_host").alias("host"), F.col("_profile").alias("profile"), "normalized_text",
-        F.col("_resources").alias("resources"), *shown)).drop("_host", "_profile", "_resources", "normalized_text")
+        F.col("_resources").alias("resources"), *shown)).drop(
+            "_host", "_profile", "_resources", "normalized_text", "__resources", *[f"_{f}" for f in LIST_FIELDS])
 
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 from importlib import resources
 from typing import Any
 
@@ -41,38 +40,44 @@ def load(path: str | None = None) -> dict[str, Any]:
     return json.loads(resources.files("tracewell.resources").joinpath("rules.json").read_text(encoding="utf-8"))
 
 
-def _pattern(rule: Rule) -> str:
-    return "(?i)" + rule["pattern"]
+# The banks are written as SQL text: one parsed expression per bank is built much
+# faster than thousands of Column calls, and plans to the same expressions.
+def _q(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _may_match(rule: Rule, lowered: Column) -> Column:
-    """A substring test that is implied by the pattern."""
-    return reduce(lambda a, b: a | b, [lowered.contains(n) for n in rule["needles"]])
+def _pattern(rule: Rule) -> str:
+    return _q("(?i)" + rule["pattern"])
 
 
-def _fires(rule: Rule, text: Column, lowered: Column) -> Column:
-    test = _may_match(rule, lowered) & text.rlike(_pattern(rule))
-    if rule.get("scope"):
-        test = F.array_contains("scopes", rule["scope"]) & test
-    return test
+def _fires(rule: Rule, text: str, lowered: str) -> str:
+    """Scope, then plain words the pattern implies, then the pattern itself."""
+    mentions = " OR ".join(f"contains({lowered}, {_q(n)})" for n in rule["needles"])
+    scope = f"array_contains(scopes, {_q(rule['scope'])}) AND " if rule.get("scope") else ""
+    return f"{scope}({mentions}) AND {text} RLIKE {_pattern(rule)}"
 
 
-def _hit(family: str, rule: Rule, fires: Column, text: Column) -> Column:
+def _hit(family: str, rule: Rule, fires: str, text: str) -> str:
     """One string "family.id=matched text"; rule ids contain no equals sign."""
-    return F.when(fires, F.concat(F.lit(f"{family}{rule['id']}="), F.regexp_extract(text, _pattern(rule), 0)))
+    return f"CASE WHEN {fires} THEN concat({_q(family + rule['id'] + '=')}, regexp_extract({text}, {_pattern(rule)}, 0)) END"
 
 
-def _bank(hits: list[Column], gate: Column) -> Column:
-    return F.when(gate, rx.listed(*hits)).otherwise(_empty())
+EMPTY = "CAST(array() AS array<string>)"
 
 
-def _empty() -> Column:
-    return F.array().cast("array<string>")
+def _bank(items: list[str], gate: str) -> Column:
+    """The non-null items, in order.
+
+    array_compact makes Spark evaluate the list as an expression tree. As one
+    piece of generated code it would be a method too large for the JIT.
+    """
+    if not items:
+        return F.expr(EMPTY)
+    return F.expr(f"CASE WHEN {gate} THEN array_compact(array({', '.join(items)})) ELSE {EMPTY} END")
 
 
 def _ids(matches: str, family: str) -> Column:
-    return F.when(F.size(matches) == 0, _empty()).otherwise(
-        F.transform(matches, lambda m: F.substr(F.substring_index(m, "=", 1), F.lit(len(family) + 1))))
+    return F.expr(f"transform({matches}, m -> substr(substring_index(m, '=', 1), {len(family) + 1}))")
 
 
 def matched_text(match: Column) -> Column:
@@ -81,81 +86,75 @@ def matched_text(match: Column) -> Column:
 
 def match_causes(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """cause_matches ("cause.id=matched text") and causes; observations and continuations have none."""
-    body, lowered = F.col("body"), F.col("body_lower")
-    predicted = A.is_predicted(body)
+    predicted = f"contains(body, {_q(P.PREDICTED)})"
 
-    def hit(rule: Rule) -> Column:
-        fires = _fires(rule, body, lowered)
-        return _hit("cause.", rule, fires & ~predicted if rule["id"] in PREDICTED_CAUSES else fires, body)
+    def hit(rule: Rule) -> str:
+        fires = _fires(rule, "body", "body_lower")
+        return _hit("cause.", rule, f"NOT {predicted} AND {fires}" if rule["id"] in PREDICTED_CAUSES else fires, "body")
 
-    gate = ~F.col("is_observation") & ~F.col("is_continuation")
+    gate = "NOT is_observation AND NOT is_continuation"
     staged = df.withColumn("cause_matches", _bank([hit(r) for r in rules], gate))
 
-    def by_code(code: str, table: tuple[tuple[int, str], ...]) -> Column:
-        return F.coalesce(*[F.when(F.col(code) == number, F.lit(name)) for number, name in table])
+    def by_code(code: str, table: tuple[tuple[int, str], ...]) -> str:
+        return f"CASE {code} " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in table) + " END"
 
-    ended = F.when(gate & F.array_contains("scopes", "tool"), by_code("exit_code", EXIT_CAUSES))
-    staged = staged.withColumn("_found", F.concat(_ids("cause_matches", "cause."), rx.listed(ended)))
-    status = F.when(gate & (F.size("_found") == 0), by_code("http_status", HTTP_CAUSES))
-    return staged.withColumn("_causes", F.concat("_found", rx.listed(status))).drop("_found")
+    ended = _bank([by_code("exit_code", EXIT_CAUSES)], f"{gate} AND array_contains(scopes, 'tool')")
+    staged = staged.withColumn("_found", F.concat(_ids("cause_matches", "cause."), ended))
+    status = _bank([by_code("http_status", HTTP_CAUSES)], f"{gate} AND size(_found) = 0")
+    return staged.withColumn("_causes", F.concat("_found", status)).drop("_found")
 
 
 def match_events(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """event_matches and events; an observation only reports telemetry events."""
-    body, lowered = F.col("body"), F.col("body_lower")
-    predicted = A.is_predicted(body)
-
-    def hit(rule: Rule) -> Column:
-        fires = _fires(rule, body, lowered)
-        if not rule.get("telemetry"):
-            fires = ~F.col("is_observation") & fires
+    def hit(rule: Rule) -> str:
+        fires = _fires(rule, "body", "body_lower")
         if rule.get("requires"):
-            fires = F.arrays_overlap("_causes", F.array(*[F.lit(c) for c in rule["requires"]])) & fires
+            fires = f"arrays_overlap(_causes, array({', '.join(_q(c) for c in rule['requires'])})) AND {fires}"
+        if not rule.get("telemetry"):
+            fires = f"NOT is_observation AND {fires}"
         if rule["id"] in PREDICTED_EVENTS:
-            fires = fires & ~predicted
-        return _hit("event.", rule, fires, body)
+            fires = f"NOT contains(body, {_q(P.PREDICTED)}) AND {fires}"
+        return _hit("event.", rule, fires, "body")
 
-    operations = F.create_map(*[F.lit(v) for r in {r["id"]: r for r in reversed(rules)}.values()
-                                for v in (r["id"], r["operation"])])
-    staged = df.withColumn("event_matches", _bank([hit(r) for r in rules], ~F.col("is_continuation")))
+    first_of = {r["id"]: r["operation"] for r in reversed(rules)}
+    operations = ", ".join(f"{_q(k)}, {_q(v)}" for k, v in first_of.items())
+    staged = df.withColumn("event_matches", _bank([hit(r) for r in rules], "NOT is_continuation"))
     return staged.withColumn("_events", _ids("event_matches", "event.")).withColumn(
-        "_operation", F.try_element_at(operations, F.try_element_at("_events", F.lit(1))))
+        "_operation", F.expr(f"try_element_at(map({operations}), try_element_at(_events, 1))") if rules else F.lit(None).cast("string"))
 
 
-def _emitted(template: str, rule: Rule, text: Column) -> Column:
+def _emitted(template: str, rule: Rule) -> str:
     """A value of a system rule, with $n replaced by the n-th group."""
-    parts = [F.regexp_extract(text, _pattern(rule), int(p[1:])) if re.fullmatch(r"\$\d", p) else F.lit(p)
+    parts = [f"regexp_extract(text, {_pattern(rule)}, {p[1:]})" if re.fullmatch(r"\$\d", p) else _q(p)
              for p in re.split(r"(\$\d)", template) if p]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
 def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """System rules emit attributes; per attribute the most specific, then earliest, rule wins.
 
-    Specificity is static, so the winner is a coalesce over the rules in
-    descending specificity: no grouping is needed.
+    Specificity is static, so the winner is the first branch of a CASE over the
+    rules in descending specificity: no grouping is needed.
     """
-    text = F.col("text")
-    staged = df.withColumn("_text_lower", F.lower(text)).withColumn("_hits", F.when(F.col("is_system"), F.array(
-        *[_may_match(r, F.col("_text_lower")) & text.rlike(_pattern(r)) for r in rules])))
-    hits = F.col("_hits")
+    tests = ", ".join(_fires(r, "text", "_text_lower") for r in rules)
+    staged = df.withColumn("_text_lower", F.lower("text")).withColumn(
+        "_hits", F.expr(f"CASE WHEN is_system THEN array({tests}) END"))
     ranked = sorted(range(len(rules)), key=lambda i: (-rules[i]["specificity"], i))
 
     def winner(attribute: str) -> Column:
-        values = [F.when(hits[i], _emitted(rules[i]["emits"][attribute], rules[i], text))
-                  for i in ranked if attribute in rules[i]["emits"]]
-        value = F.coalesce(*values) if values else F.lit(None).cast("string")
-        return rx.integer(value) if attribute in SYSTEM_NUMBERS else value
+        whens = [f"WHEN _hits[{i}] THEN {_emitted(rules[i]['emits'][attribute], rules[i])}"
+                 for i in ranked if attribute in rules[i]["emits"]]
+        value = f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS string)"
+        return F.expr(f"try_cast({value} AS bigint)" if attribute in SYSTEM_NUMBERS else value)
 
     def named(attribute: str) -> Column:
-        return rx.listed(*[F.when(hits[i], F.lit(r["emits"][attribute])) for i, r in enumerate(rules) if attribute in r["emits"]])
+        return _bank([f"CASE WHEN _hits[{i}] THEN {_q(r['emits'][attribute])} END"
+                      for i, r in enumerate(rules) if attribute in r["emits"]], "is_system")
 
-    matches = [_hit("", r, hits[i], text) for i, r in enumerate(rules)]
     return staged.withColumns({
-        **{f"sys_{a}": F.when(F.col("is_system"), winner(a)) for a in SYSTEM_ATTRIBUTES},
-        "_sys_events": F.when(F.col("is_system"), named("event")).otherwise(_empty()),
-        "_sys_causes": F.when(F.col("is_system"), named("cause")).otherwise(_empty()),
-        "system_matches": _bank(matches, F.col("is_system")),
+        **{f"sys_{a}": winner(a) for a in SYSTEM_ATTRIBUTES},
+        "_sys_events": named("event"), "_sys_causes": named("cause"),
+        "system_matches": _bank([_hit("", r, f"_hits[{i}]", "text") for i, r in enumerate(rules)], "is_system"),
     }).drop("_hits", "_text_lower")
 
 
@@ -233,8 +232,8 @@ EVIDENCE_FIELDS = (
 DERIVED_FIELDS = ("platform", "target", "operation", "event", "cause", "domain")
 
 
-def field_evidence(df: DataFrame) -> DataFrame:
-    """field_evidence, field_confidence (explicit or derived) and the list of conflicts."""
+@rx.once
+def _evidence() -> dict[str, Column]:
     def entries(fields: list[tuple[str, Column]]) -> Column:
         return F.map_from_entries(F.array_compact(F.array(*[
             F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value"))) for name, value in fields])))
@@ -253,8 +252,12 @@ def field_evidence(df: DataFrame) -> DataFrame:
     conflicts = F.array_compact(F.array(*[
         F.when(c(f"{name}_conflict").isNotNull(), F.struct(F.lit(field).alias("field"), c(f"{name}_conflict").alias("candidates")))
         for field, name in (("provider", "provider"), ("model", "model"), ("http_status", "http"))])).cast(conflict)
-    return df.withColumns({
-        "field_evidence": entries(evidence), "field_confidence": entries(certainty), "conflicts": conflicts})
+    return {"field_evidence": entries(evidence), "field_confidence": entries(certainty), "conflicts": conflicts}
+
+
+def field_evidence(df: DataFrame) -> DataFrame:
+    """field_evidence, field_confidence (explicit or derived) and the list of conflicts."""
+    return df.withColumns(_evidence())
 
 
 def classify(df: DataFrame, book: dict[str, Any] | None = None) -> DataFrame:

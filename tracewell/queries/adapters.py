@@ -111,6 +111,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A single small input file would keep all but one core idle; larger inputs are left alone."""
+    lanes = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(lanes) if df.rdd.getNumPartitions() < lanes else df
+
+
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 
@@ -133,10 +139,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     """
     def build() -> DataFrame:
         table(spark, folder, "events").createOrReplaceTempView("events")
-        derived = spark.sql(f"WITH {LINES_CTE} SELECT *, CAST(ts AS TIMESTAMP) AS stored_at FROM lines")
-        lanes = spark.sparkContext.defaultParallelism
-        # A single small input file would otherwise keep all but one core idle.
-        return derived.repartition(lanes) if derived.rdd.getNumPartitions() < lanes else derived
+        return spread(spark.sql(f"WITH {LINES_CTE} SELECT *, CAST(ts AS TIMESTAMP) AS stored_at FROM lines"))
 
     return stage(spark, folder, "lines", build)
 
