@@ -76,12 +76,16 @@ def test_bucket_replay_changes_nothing(spark, tmp_path):
 
 def test_raw_logs_and_guard(spark, tmp_path):
     (tmp_path / "logs").mkdir()
-    (tmp_path / "profiles" / "ana" / "logs").mkdir(parents=True)
+    (tmp_path / "profiles" / "blue" / "logs").mkdir(parents=True)
     (tmp_path / "logs" / "agent.log").write_text("one\ntwo\n\n")
     (tmp_path / "logs" / "agentX.log").write_text("not a known kind\n")
-    (tmp_path / "profiles" / "ana" / "logs" / "errors.log.1").write_text("three\r\n")
+    (tmp_path / "profiles" / "blue" / "logs" / "errors.log.1").write_text("three\r\n")
     got = {(r.text, r.profile, r.kind) for r in S.read_raw_logs(spark, str(tmp_path)).collect()}
-    assert got == {("one", "default", "agent.log"), ("two", "default", "agent.log"), ("three", "ana", "errors.log")}
+    assert got == {("one", "default", "agent.log"), ("two", "default", "agent.log"), ("three", "blue", "errors.log")}
+    (tmp_path / "events.jsonl").write_bytes('{"text": "é1", "keep_me": 1}\n\n[1]\n{"text": "unfinished"'.encode())
+    rows = S.read_events(spark, [f"{tmp_path}/*.jsonl", f"{tmp_path}/events*"], positions=True).orderBy("byte_start").collect()
+    assert [(r.byte_start, r.byte_end, r.text, r.is_object) for r in rows] == [(0, 30, "é1", True), (31, 35, None, False)]
+    assert "keep_me" in rows[0].raw
     rows = spark.createDataFrame([("a", '{"x": 1}'), ("b", '{"x": 1}'), ("b", "[1]"), ("c", "{bad")], "path string, row string")
     clean, rejects = S.guard(rows, "path", "row")
     assert [r.path for r in clean.collect()] == ["a"] and {(r.path, r.reject_reason) for r in rejects.collect()} == {("b", "not an object"), ("c", "malformed")}
@@ -102,3 +106,10 @@ def test_groups_aggregate_before_the_shuffle(spark):
     rows = spark.createDataFrame([], "fingerprint string, n long, first_at timestamp, last_at timestamp, first_id long, last_id long, "
                                      "sample struct<a:string>, latest struct<b:string>, source_files array<string>")
     assert "partial_sum" in plan(G.merge(rows)) and "Window" not in plan(G.merge(rows))
+
+
+def test_first_rows_per_host_are_cut_before_the_shuffle(spark):
+    from tracewell.operators import alarms
+    names = "host string, ts string, line_id long, profile string, text string, source_path string, byte_start long, byte_end long, " \
+            "event string, cause string, tool string, operation string, component string, provider string, model string"
+    assert "WindowGroupLimit" in plan(alarms.format_alarm(spark.createDataFrame([], names), ["ts", "line_id"]))

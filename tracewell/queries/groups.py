@@ -222,8 +222,7 @@ def half_day_buckets(spark, folder):
     stores.write_buckets(rows.filter("line_id % 2 = 0"), path, "Asia/Dubai")
     # The second increment brings the other half, and repeats a part of the first.
     stores.write_buckets(rows.filter("line_id % 2 = 1 OR line_id % 10 = 0"), path, "Asia/Dubai")
-    stored = spark.read.parquet(path)
-    return stored.groupBy(F.col("bucket_day").cast("string").alias("bucket_day"), F.lpad(F.col("bucket_half").cast("string"), 2, "0").alias("bucket_half")).agg(
+    return stores.read_buckets(spark, path).groupBy("bucket_day", "bucket_half").agg(
         F.count("*").alias("rows"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
 
 

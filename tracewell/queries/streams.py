@@ -1,7 +1,6 @@
 """Streaming queries, each run to completion and checked against its batch form, and excerpts."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
@@ -14,6 +13,7 @@ from tracewell.queries import lines as QL
 from tracewell.queries import rules as QR
 from tracewell.queries.registry import query
 from tracewell.queries.text import HOST_ALIASES, LEADING_CTE
+from tracewell.sinks import stores
 from tracewell.sources import files as S
 from tracewell.streaming import jobs
 
@@ -91,8 +91,7 @@ def stream_enrich(spark, folder):
 
     path = Q._fresh(spark, "enriched-stream")
     _finish(jobs.enrich_to_buckets(_stream(spark, adapters.lines(spark, folder)), enrich, path, f"{path}-checkpoint"))
-    day, half = F.col("bucket_day").cast("string"), F.lpad(F.col("bucket_half").cast("string"), 2, "0")
-    return spark.read.parquet(path).groupBy(day.alias("bucket_day"), half.alias("bucket_half")).agg(
+    return stores.read_buckets(spark, path).groupBy("bucket_day", "bucket_half").agg(
         F.count("*").alias("rows"), F.countDistinct("fingerprint").alias("fingerprints"),
         F.count_if(F.col("severity") == "needs-attention").alias("attention"))
 
@@ -104,18 +103,14 @@ def evidence_excerpt(spark, folder):
     text = adapters.lines(spark, folder).select(F.concat(F.col("line_id").cast("string"), F.lit("\t"), "text").alias("value"))
     path = QL._export(spark, folder, "excerpt-source", text)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    # Positions of the lines: sizes summed within each (size-bounded) output file.
-    rows = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "line"))
-    earlier = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("line_start", F.coalesce(F.sum(F.octet_length("line") + 1).over(earlier), F.lit(0))).filter("line != ''")
     c = F.col
     prefix = F.instr("line", "\t")
     number = F.substring_index("line", "\t", 1).cast("bigint")
-    evidence = placed.select(
-        number.alias("id"), F.when(number % 10 == 4, F.lit("/gone")).when(number % 10 == 5, F.lit("journald")).otherwise(c("path")).alias("source_path"),
-        (c("line_start") + prefix).alias("byte_start"), (c("line_start") + F.octet_length("line")).alias("byte_end"),
+    evidence = S.read_lines(spark, [f"{path}/*.txt"]).withColumnRenamed("text", "line").select(
+        number.alias("id"), F.when(number % 10 == 4, F.lit("/gone")).when(number % 10 == 5, F.lit("journald")).otherwise(c("source_path")).alias("source_path"),
+        (c("byte_start") + prefix).alias("byte_start"), (c("byte_end") - 1).alias("byte_end"),
         F.substr("line", prefix + 1).alias("text"),
-        F.when(number % 10 == 3, F.lit("another file")).when(number % 2 == 0, F.when(number % 10 != 4, F.sha2(F.substr("line", prefix + 1), 256))).alias("content_hash"),
+        F.when(number % 10 == 3, F.lit("another file")).when((number % 2 == 0) & (number % 10 != 4), F.sha2(F.substr("line", prefix + 1), 256)).alias("content_hash"),
         F.when(number % 10 == 5, F.lit("s=1")).alias("cursor"), F.lit(None).cast("string").alias("boot_id"))
     found = excerpts.excerpt(evidence, files, max_bytes=300, block_bytes=4096)
     return found.groupBy(c("excerpt_status").alias("status")).agg(

@@ -1,7 +1,7 @@
 """File sources: JSON lines, raw logs, journal exports, changed files."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,20 +21,43 @@ def list_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
         "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).dropDuplicates(["path"])
 
 
-def read_events(spark: SparkSession, patterns: list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """Complete lines of the matched files with their exact byte range.
+
+    Files are read whole, so this is for logs cut by rotation (below 2 GB each).
+    Bytes are counted on a Latin-1 reading, where one character is one byte; an
+    unfinished last line is left for later and blank lines are skipped.
+    """
+    c = F.col
+    files = spark.read.format("binaryFile").load(patterns).dropDuplicates(["path"])
+    pieces = files.select(
+        c("path").alias("source_path"), F.split(F.decode("content", "ISO-8859-1"), "\n").alias("_lines")).select(
+        "source_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_number", "_line"))
+    # A file is one row of binaryFile, so a window per file holds no more than that row did.
+    earlier = Window.partitionBy("source_path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("byte_start", F.coalesce(F.sum(F.length("_line") + 1).over(earlier), F.lit(0)).cast("bigint"))
+    text = F.decode(F.encode(F.regexp_replace("_line", r"\r+\z", ""), "ISO-8859-1"), "UTF-8")
+    return placed.filter(c("line_number") < c("_n") - 1).select(
+        "source_path", "byte_start", (c("byte_start") + F.length("_line") + 1).alias("byte_end"), text.alias("text")).filter("text != ''")
+
+
+def read_events(spark: SparkSession, patterns: list[str], positions: bool = False) -> DataFrame:
     """JSON objects, one per line, from several globs; each file is read once.
 
-    Keeps the raw row for unknown keys, the path, and the block position of
-    the row. The globs are resolved to distinct paths before the scan.
+    The globs are resolved to distinct paths before the scan. Keeps the raw row,
+    so unknown keys survive, and the path. With ``positions`` also the byte range
+    of the row, at the price of reading each file whole; without, files split.
     """
     paths = sorted(row.path for row in list_files(spark, patterns).select("path").toLocalIterator())
-    rows = spark.read.text(paths).select(
-        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
-    rows = rows.filter(F.trim("raw") != "")
-    return rows.withColumns({
+    if positions:
+        rows = read_lines(spark, paths).withColumnRenamed("text", "raw")
+    else:
+        rows = spark.read.text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
+    rows = rows.filter(F.trim("raw") != "").withColumns({
         "is_object": is_json_object(F.col("raw")),
         "event": F.from_json("raw", EVENT_SCHEMA),
-    }).select("source_path", "raw", "is_object", "event.*")
+    })
+    return rows.select(*[c for c in rows.columns if c != "event"], "event.*")
 
 
 def is_json_object(row: Column) -> Column:
@@ -56,20 +79,12 @@ def guard(df: DataFrame, path: str, row: str, limit: int = MAX_ROW_BYTES) -> tup
 
 
 def read_raw_logs(spark: SparkSession, root: str, host: str = "UNKNOWN") -> DataFrame:
-    """Lines of the agent, errors and gateway logs under a root and its profiles.
-
-    Each file is read whole so that byte positions are true; files larger than
-    a task should be cut by rotation before they get here.
-    """
+    """Lines of the agent, errors and gateway logs, rotated ones included, under a root and its profiles."""
     globs = [f"{root}/{sub}/{base}*" for base in P.LOG_KINDS for sub in ("logs", "profiles/*/logs")]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(_existing(spark, globs))
-    lines = files.select(
-        F.col("path").alias("source_path"), F.substring_index("path", "/", -1).alias("source_name"),
-        F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_number", "text"))
-    return lines.withColumns({
+    named = read_lines(spark, _existing(spark, globs)).withColumn("source_name", F.substring_index("source_path", "/", -1))
+    return named.withColumns({
         "kind": source_kind(F.col("source_name")), "profile": profile_of(F.col("source_path")), "host": F.lit(host),
-        "text": F.regexp_replace("text", r"\r\z", ""),
-    }).filter((F.col("kind") != "") & (F.col("text") != ""))
+    }).filter(F.col("kind") != "")
 
 
 def _existing(spark: SparkSession, globs: list[str]) -> list[str]:
