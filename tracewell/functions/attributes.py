@@ -16,6 +16,7 @@ from tracewell.functions import regex as rx
 
 
 def _low(body: Column, lowered: Column | None) -> Column:
+    """The staged lower-cased text where there is one; lower() in every test would run every time."""
     return F.lower(body) if lowered is None else lowered
 
 
@@ -241,9 +242,9 @@ def stream_stage(body: Column, lowered: Column | None = None) -> Column:
         rx.has_if(said, body, P.STREAM_AFTER), "after_delivery")
 
 
-def is_system(profile: Column, text: Column) -> Column:
+def is_system(profile: Column, text: Column, lowered: Column | None = None) -> Column:
     named = F.coalesce(profile.startswith("system:"), F.lit(False))
-    return named | rx.has_if(rx.mentions(F.lower(text), *SYSTEM_WORDS), text, P.CLEAR_SYSTEM)
+    return named | rx.has_if(rx.mentions(_low(text, lowered), *SYSTEM_WORDS), text, P.CLEAR_SYSTEM)
 
 
 def scopes(has_server: Column, tool_name: Column, platform_name: Column, provider: Column,
@@ -302,7 +303,7 @@ def _flat() -> rx.Steps:
         **numeric_codes(body, low),
         "signal": signal(body, low),
         "stream_stage": stream_stage(body, low),
-        "is_system": is_system(F.col("profile"), F.col("text")),
+        "is_system": is_system(F.col("profile"), F.col("text"), F.col("text_lower")),
         "is_observation": is_observation(body, low),
         "is_continuation": F.col("log_level").isNull() & (rx.has(F.col("text"), P.FRAME) | rx.has(F.col("text"), P.CODE_LINE)),
     }]

@@ -16,7 +16,7 @@ def log_level(text: Column) -> Column:
 
 
 def parse_prefix(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds text_stamp, log_level, session, component, body and body_lower.
+    """Adds text_stamp, log_level, session, component, body, body_lower and text_lower.
 
     A levelled prefix wins; otherwise a bare logger name counts as component
     unless it is really an exception name, and the body is what follows.
@@ -35,7 +35,7 @@ def parse_prefix(df: DataFrame, text: str = "text") -> DataFrame:
         "body": F.when(levelled, F.regexp_replace(line, P.PREFIX, ""))
         .when(named, F.regexp_replace(line, P.LOGGER, ""))
         .otherwise(line),
-    }).drop("_logger").withColumn("body_lower", F.lower("body"))
+    }).drop("_logger").withColumns({"body_lower": F.lower("body"), "text_lower": F.lower(line)})
 
 
 def is_continuation(text: Column) -> Column:
@@ -142,9 +142,9 @@ def redact(text: Column) -> Column:
 SECRET_WORDS = ("sk-", "gh", "xox", "bearer", "key", "token", "secret", "password")
 
 
-def redact_guarded(text: Column) -> Column:
+def redact_guarded(text: Column, lowered: Column) -> Column:
     """Same as ``redact``, skipping texts that mention nothing secret."""
-    return F.when(rx.mentions(F.lower(text), *SECRET_WORDS), redact(text)).otherwise(text)
+    return F.when(rx.mentions(lowered, *SECRET_WORDS), redact(text)).otherwise(text)
 
 
 # Ordered: later steps see the output of earlier ones.
@@ -179,7 +179,8 @@ def _template() -> rx.Steps:
             F.coalesce(part, F.lit("")), F.coalesce(url, F.lit("")))), "")
     with_urls = F.when(F.size("_urls") > 0, restored).otherwise(c("_plain"))
     return [
-        {"_safe": redact_guarded(c("_text"))},
+        {"_lower": F.lower("_text")},
+        {"_safe": redact_guarded(c("_text"), c("_lower"))},
         {"_urls": rx.every_if(c("_safe").contains("://"), c("_safe"), P.URL),
          "_plain": when_mentions("_safe", ("://",), [(P.URL, P.URL_MARK)])},
         {"_plain": F.regexp_replace("_plain", P.LEADING_STAMP, "")},

@@ -10,8 +10,8 @@ MAX_EXCERPT = 128 * 1024
 
 
 def blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """path, block, bytes: file contents (columns path, content) cut into equal pieces."""
-    last = F.floor(F.greatest(F.length("content") - 1, F.lit(0)) / block_bytes)
+    """path, block, bytes: files as binaryFile reads them, cut into equal pieces."""
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / block_bytes)
     return files.select("path", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).select(
         "path", "block", F.substring("content", F.col("block").cast("int") * block_bytes + 1, F.lit(block_bytes)).alias("bytes"))
 
@@ -41,7 +41,7 @@ def excerpt(evidence: DataFrame, files: DataFrame, max_bytes: int = 8192, block_
     found = asked.join(blocks(files, block_bytes), ["path", "block"])
     # At most four blocks per evidence row.
     whole = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "bytes"))).alias("_blocks"))
-    sizes = files.select(c("path").alias("source_path"), F.length("content").cast("bigint").alias("_size"))
+    sizes = files.select(c("path").alias("source_path"), c("length").alias("_size"))  # from the listing, contents unread
     joined = evidence.join(whole, "id", "left").join(sizes, "source_path", "left")
     data = F.aggregate("_blocks", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["bytes"]))
     skip = c("byte_start") - c("_blocks")[0]["block"] * block_bytes

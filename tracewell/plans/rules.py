@@ -136,8 +136,8 @@ def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
     Specificity is static, so the winner is the first branch of a CASE over the
     rules in descending specificity: no grouping is needed.
     """
-    tests = ", ".join(_fires(r, "text", "_text_lower") for r in rules)
-    staged = df.withColumn("_text_lower", F.lower("text")).withColumn(
+    tests = ", ".join(_fires(r, "text", "text_lower") for r in rules)
+    staged = df.withColumn(
         "_hits", F.expr(f"CASE WHEN is_system THEN array({tests}) END"))
     ranked = sorted(range(len(rules)), key=lambda i: (-rules[i]["specificity"], i))
 
@@ -155,7 +155,7 @@ def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
         **{f"sys_{a}": winner(a) for a in SYSTEM_ATTRIBUTES},
         "_sys_events": named("event"), "_sys_causes": named("cause"),
         "system_matches": _bank([_hit("", r, f"_hits[{i}]", "text") for i, r in enumerate(rules)], "is_system"),
-    }).drop("_hits", "_text_lower")
+    }).drop("_hits")
 
 
 def _single(value: Column) -> Column:
@@ -219,7 +219,7 @@ def finalize(df: DataFrame) -> DataFrame:
         "kind": F.when(c("is_continuation"), "continuation").when(c("is_observation") | quiet, "observation")
         .otherwise(F.coalesce(c("sys_kind"), F.lit("incident"))),
         "matched_rules": F.concat("cause_matches", "event_matches", "system_matches"),
-    }).drop("_tuning", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "body_lower",
+    }).drop("_tuning", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "body_lower", "text_lower",
             *[f"sys_{a}" for a in SYSTEM_ATTRIBUTES])
 
 

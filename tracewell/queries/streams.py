@@ -102,7 +102,7 @@ def stream_enrich(spark, folder):
 def evidence_excerpt(spark, folder):
     text = adapters.lines(spark, folder).select(F.concat(F.col("line_id").cast("string"), F.lit("\t"), "text").alias("value"))
     path = QL._export(spark, folder, "excerpt-source", text)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     c = F.col
     prefix = F.instr("line", "\t")
     number = F.substring_index("line", "\t", 1).cast("bigint")

@@ -26,10 +26,11 @@ def read_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
 
     Files are read whole, so this is for logs cut by rotation (below 2 GB each).
     Bytes are counted on a Latin-1 reading, where one character is one byte; an
-    unfinished last line is left for later and blank lines are skipped.
+    unfinished last line is left for later and blank lines are skipped. The
+    patterns must not overlap: contents are never shuffled to find repeats.
     """
     c = F.col
-    files = spark.read.format("binaryFile").load(patterns).dropDuplicates(["path"])
+    files = spark.read.format("binaryFile").load(patterns)
     pieces = files.select(
         c("path").alias("source_path"), F.split(F.decode("content", "ISO-8859-1"), "\n").alias("_lines")).select(
         "source_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_number", "_line"))
