@@ -113,3 +113,29 @@ def test_first_rows_per_host_are_cut_before_the_shuffle(spark):
     names = "host string, ts string, line_id long, profile string, text string, source_path string, byte_start long, byte_end long, " \
             "event string, cause string, tool string, operation string, component string, provider string, model string"
     assert "WindowGroupLimit" in plan(alarms.format_alarm(spark.createDataFrame([], names), ["ts", "line_id"]))
+
+
+def test_evidence_is_reduced_before_it_is_joined(spark):
+    from tracewell.operators import coverage as C, ledger as O, serious as Z
+    evidence = spark.createDataFrame([], "gid string, ts long, id string, signature string, scope_key string, concrete boolean, impact string, "
+                                         "text string, profile string, event string, severity string, record_role string")
+    findings = spark.createDataFrame([], "id string, decision string")
+    coverage = spark.createDataFrame([], "finding_id string, history_id long, completed_at long, signature string, reopened_at long")
+
+    def joins_below_the_aggregate(df):
+        """True when some partial max_by or min_by of evidence has a join underneath."""
+        lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        for i, line in enumerate(lines):
+            if "Aggregate" in line and ("max_by" in line or "min_by" in line):
+                below = [lines[j] for j in range(i + 1, len(lines)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))]
+                if any(" Join " in f" {x.strip(' :+-')} " for x in below):
+                    return True
+        return False
+
+    few = findings.select(F.col("id").alias("gid"))
+    assert joins_below_the_aggregate(evidence.join(few, "gid", "left_semi").groupBy("gid").agg(F.max_by("text", "ts")))
+    assert not joins_below_the_aggregate(O.latest(evidence).join(few, "gid", "left_semi"))
+    assert not joins_below_the_aggregate(C.basis(evidence, findings, coverage))
+    assert not joins_below_the_aggregate(O.promote(findings, evidence))
+    assert not joins_below_the_aggregate(Z.first_per_finding(Z.serious(evidence)).join(few, "gid", "left_anti"))

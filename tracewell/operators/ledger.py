@@ -22,9 +22,14 @@ LANE_KINDS = ("rca", "rca-a", "rca-b")
 
 
 def latest(evidence: DataFrame) -> DataFrame:
-    """Newest row per finding, by time then id; a maximum instead of a sort per finding."""
-    others = [c for c in evidence.columns if c not in ("gid", "ts", "id")]
-    return evidence.groupBy("gid").agg(F.max_by(F.struct("ts", "id", *others), F.struct("ts", "id")).alias("_row")).select("gid", "_row.*")
+    """Newest row per finding, by time then id; a maximum instead of a sort per finding.
+
+    The finding id is taken from the winning row, not from the grouping: Spark
+    would push a later semi or anti join on the grouping key below the
+    aggregate, and then shuffle all evidence by finding, busy ones included.
+    """
+    return evidence.groupBy("gid").agg(
+        F.max_by(F.struct(*evidence.columns), F.struct("ts", "id")).alias("_row")).select("_row.*")
 
 
 def finding_stats(evidence: DataFrame) -> DataFrame:
