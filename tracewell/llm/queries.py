@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, packing, shared, token_files, url_rules
+from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +85,32 @@ def byte_level(spark: SparkSession, folder: str) -> DataFrame:
 def files_of_ids(spark: SparkSession, folder: str) -> DataFrame:
     parts = token_files.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read(parts).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
+
+
+# ------------------------------------------------------------------ quality
+
+@query("op5_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def held_out(doc_id: str, modulus: int, remainder: int) -> F.Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query("op8_line_crf")
+def line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = line_crf.train(docs, table(spark, folder, "labels"), allowed=~held_out("doc_id", 5, 0))
+    return line_crf.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------------ near duplicates
+
+@query("op4_shingle_join")
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.join(table(spark, folder, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
