@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, token_files, url_rules
+from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, substring_dedup, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +114,9 @@ def line_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_shingle_join")
 def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.join(table(spark, folder, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_substring_dedup")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
