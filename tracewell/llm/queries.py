@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, substring_dedup, token_files, url_rules
+from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, substring_dedup, suffix_tree, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,3 +120,10 @@ def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substring_dedup.remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ language model
+
+@query("op2_suffix_tree")
+def suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(table(spark, folder, "documents"), modulus=7, remainder=2)
