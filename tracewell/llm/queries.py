@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, line_crf, packing, quality, shared, shingle_join, substring_dedup, suffix_tree, token_files, url_rules
+from tracewell.llm import byte_bpe, line_crf, neighbours, packing, quality, shared, shingle_join, substring_dedup, suffix_tree, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,3 +127,12 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_suffix_tree")
 def suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(table(spark, folder, "documents"), modulus=7, remainder=2)
+
+
+# ------------------------------------------------------------------ nearest neighbours
+
+@query("op1_nn_descent")
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    index = neighbours.build(vectors)
+    return neighbours.search(index, vectors.where("vec_id % 50 = 0"), k=5).withColumnRenamed("id", "vec_id")
