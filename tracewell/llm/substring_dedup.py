@@ -110,17 +110,20 @@ def factors(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) -
         "doc_id", "uid", F.col("s.seed").alias("seed"), F.col("s.start").alias("start"), F.col("s.size").alias("size"))
     index = shared.stage(index, "seed-index")
     known = index.groupBy("seed").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select("seed")
+    known = shared.stage(known, "known-seeds")  # as a table of its own, the join may split a frequent seed
     spots = index.join(known, "seed", "left_semi").groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spots")).select(  # of one document
         "uid", F.col("spots.start").alias("starts"), F.col("spots.size").alias("sizes"))
     spots = shared.stage(spots, "seed-spots")
-    windows = shared.stage(_fingerprints(rows.join(spots, "uid"), width), "windows")
+    # texts are merged with what is known about them at every size, so the plan does not change with the input
+    windows = shared.stage(_fingerprints(rows.join(spots.hint("merge"), "uid"), width), "windows")
     first = windows.groupBy("h").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_hi")).where("source <> _hi").select("h", "source")
-    later = windows.join(first, "h").where("doc_id > source").select("uid", "doc_id", "b", "source").distinct()
+    first = shared.stage(first, "sources")
+    later = windows.join(first, "h").where("doc_id > source").select("uid", "doc_id", "b", "source")
     in_text = Window.partitionBy("uid", "source").orderBy("b")  # windows of one document
-    greedy = later.withColumn("_run", F.col("b") - F.row_number().over(in_text)).groupBy("uid", "doc_id", "source", "_run").agg(
-        F.min("b").alias("start"), (F.count("*") + width - 1).alias("words")).select("uid", "doc_id", "start", "words", "source")
-    return copies.distinct().unionByName(greedy)
+    greedy = later.withColumn("_run", F.col("b") - F.dense_rank().over(in_text)).groupBy("uid", "doc_id", "source", "_run").agg(
+        F.min("b").alias("start"), (F.max("b") - F.min("b") + width).alias("words")).select("uid", "doc_id", "start", "words", "source")
+    return copies.distinct().unionByName(greedy)  # rows that come twice have equal factors
 
 
 def remove(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -133,7 +136,7 @@ def remove(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) ->
     spans = shared.stage(spans, "removals")
     base = docs.drop("n_words", "n_removed", "kept")
     keyed = base.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
-    joined = keyed.join(spans, "_uid", "left").drop("_uid")
+    joined = keyed.join(spans.hint("merge"), "_uid", "left").drop("_uid")
     names = base.columns
     at, s, w = names.index("text"), len(names), len(names) + 1
 
