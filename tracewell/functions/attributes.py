@@ -30,6 +30,20 @@ SYSTEM_WORDS = ("systemd", "kernel", "cifs:", "networkmanager", "xrdp", "pam_",
 HEAD, TAIL = "_head", "_tail"
 
 
+def either(*patterns: str) -> str:
+    """One pattern for the first match of any; all ignore case."""
+    return "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in patterns)
+
+
+HTTP_EITHER = either(P.HTTP_LABELLED, P.HTTP_PHRASED)
+
+
+def fallback_columns(body: Column) -> tuple[Column, Column]:
+    """The text before a fallback clause, and the clause with the rest (null without one)."""
+    at = F.regexp_instr(body, F.lit(P.FALLBACK))
+    return F.when(at > 0, F.substr(body, F.lit(1), at - 1)).otherwise(body), F.when(at > 0, F.substr(body, at))
+
+
 def fallback_split() -> rx.Steps:
     """_head: the part before a fallback clause, which describes the failing route; _tail: the rest."""
     at = F.col("_at")
@@ -182,17 +196,51 @@ def _http_status() -> rx.Steps:
     body, low = F.col("body"), F.col(LOW)
     # Both patterns need a three-digit status; few lines have one.
     numbered = body.rlike("[45][0-9][0-9]")
-    labelled = rx.every_if(rx.mentions(low, "http", "status", "code"), body, P.HTTP_LABELLED, 1)
-    found = F.array_union(labelled, rx.every(body, P.HTTP_PHRASED, 1))
+    found = F.array_distinct(rx.every(body, HTTP_EITHER, 0))  # in the order of the text
+    found = F.array_distinct(F.transform(found, lambda m: F.regexp_extract(m, "[45][0-9][0-9]", 0)))
     return [
         {"_statuses": F.when(numbered, found).otherwise(F.array().cast("array<string>"))},
         {
             "http_status": F.when(~is_predicted(body), rx.integer(rx.only(F.col("_statuses")))),
-            "http_conflict": F.when(F.size("_statuses") > 1, F.array_sort("_statuses")),
+            "http_conflict": F.when(F.size("_statuses") > 1, F.col("_statuses")),
         },
     ]
 
 
+def http_text(body: Column) -> Column:
+    """The first mention of an HTTP status."""
+    return rx.first(body, HTTP_EITHER)
+
+
+def exit_text(body: Column) -> Column:
+    return rx.first(body, either(P.EXIT_LABELLED, P.EXIT_SYSTEMD, P.EXIT_PHRASED))
+
+
+def exception_text(body: Column, name: Column) -> Column:
+    return F.coalesce(rx.first_if(body.contains("error_type"), body, P.ERROR_TYPE), name)
+
+
+def evidence_texts(body: Column, component: Column) -> dict[str, Column]:
+    """The piece of the record that each attribute was read from."""
+    head, tail = fallback_columns(body)
+    stated = r"(?i)\b{}=['\"]?([\w./:-]+)"
+    tool_text = F.coalesce(rx.first(body, either(P.TOOL_NAMED, P.TOOL_KEYED)), rx.first(body, P.TOOL_DEADLINE))
+    attempts = rx.first(body, either(P.ATTEMPT, P.POLL_ATTEMPT))
+    where = F.coalesce(component, F.lit(""))
+    return {
+        "model": F.coalesce(rx.first(head, P.REFERENCE_MODEL), rx.first(head, either(P.MODEL_PARAM, P.MODEL_QUOTED))),
+        "fallback_provider": F.coalesce(rx.first(body, stated.format("fallback_provider")), rx.first(tail, P.PROVIDER_PARAM)),
+        "fallback_model": F.coalesce(rx.first(body, stated.format("fallback_model")), rx.first(tail, either(P.MODEL_PARAM, P.MODEL_QUOTED))),
+        "tool": tool_text, "database": rx.first(body, P.DATABASE_FILE), "path_basename": rx.first(body, P.FILE_BASENAME),
+        "exception": rx.first(body, P.ERROR_TYPE), "http_status": http_text(body), "rpc_code": rx.first(body, P.RPC_CODE),
+        "errno": rx.first(body, P.ERRNO), "exit_code": exit_text(body), "signal": rx.first(body, either(P.SIGNAL_NAME, P.SIGNAL_KILLED)),
+        "attempt": attempts, "max_attempts": attempts,
+        "stream_stage": F.coalesce(rx.first(body, P.STREAM_BEFORE), rx.first(body, P.STREAM_AFTER)),
+        "platform": F.when(where != "", where).otherwise(F.substring(body, 1, 100)),
+        "target": F.coalesce(rx.first(body, P.CHECK_FUNCTION), rx.first(body, P.MCP_SERVER), tool_text, rx.first(body, P.ENDPOINT), rx.first(body, P.DATABASE_FILE)),
+    }
+
+
 def add_http_status(df: DataFrame) -> DataFrame:
     return rx.staged(df, _http_status())
 

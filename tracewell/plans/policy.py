@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 DEFAULT_LABELS = ("ignore", "watch", "needs-attention")
 
 
-def load(path: str | None = None) -> dict[str, Any]:
+def load(path: str | None = None, basic: bool = False) -> dict[str, Any]:
+    """A policy file, the shipped policy, or the shipped table without tracked conditions."""
     if path is not None:
         with open(path, encoding="utf-8") as handle:
             return validate(json.load(handle))
-    return validate(json.loads(resources.files("tracewell.resources").joinpath("policy.json").read_text(encoding="utf-8")))
+    return validate(json.loads(resources.files("tracewell.resources").joinpath("policy_basic.json" if basic else "policy.json").read_text(encoding="utf-8")))
 
 
 def validate(policy: Any) -> dict[str, Any]:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from importlib import resources
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from tracewell import patterns as P
 from tracewell.functions import attributes as A
 from tracewell.functions import regex as rx
+from tracewell.plans import catalogue
 
 Rule = dict[str, Any]
 SYSTEM_NUMBERS = ("errno", "exit_code")
@@ -33,11 +33,11 @@ PREDICTED_EVENTS = ("api.model_resolution_failed",)
 
 
 def load(path: str | None = None) -> dict[str, Any]:
-    """The shipped catalogue, or one with the same layout."""
+    """The shipped catalogue, or a JSON file with the same layout: version, causes, events and system."""
     if path is not None:
         with open(path, encoding="utf-8") as handle:
             return json.load(handle)
-    return json.loads(resources.files("tracewell.resources").joinpath("rules.json").read_text(encoding="utf-8"))
+    return catalogue.shipped()
 
 
 # The banks are written as SQL text: one parsed expression per bank is built much
@@ -47,14 +47,14 @@ def _q(text: str) -> str:
 
 
 def _pattern(rule: Rule) -> str:
-    return _q("(?i)" + rule["pattern"])
+    return _q(rule["pattern"])
 
 
 def _fires(rule: Rule, text: str, lowered: str) -> str:
     """Scope, then plain words the pattern implies, then the pattern itself."""
     mentions = " OR ".join(f"contains({lowered}, {_q(n)})" for n in rule["needles"])
     scope = f"array_contains(scopes, {_q(rule['scope'])}) AND " if rule.get("scope") else ""
-    return f"{scope}({mentions}) AND {text} RLIKE {_pattern(rule)}"
+    return f"{scope}{f'({mentions}) AND ' if mentions else ''}{text} RLIKE {_pattern(rule)}"
 
 
 def _hit(family: str, rule: Rule, fires: str, text: str) -> str:
@@ -93,20 +93,40 @@ def match_causes(df: DataFrame, rules: list[Rule]) -> DataFrame:
         return _hit("cause.", rule, f"NOT {predicted} AND {fires}" if rule["id"] in PREDICTED_CAUSES else fires, "body")
 
     gate = "NOT is_observation AND NOT is_continuation"
-    staged = df.withColumn("cause_matches", _bank([hit(r) for r in rules], gate))
+    staged = df.withColumn("_cause_hits", _bank([hit(r) for r in rules], gate))
 
     def by_code(code: str, table: tuple[tuple[int, str], ...]) -> str:
         return f"CASE {code} " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in table) + " END"
 
     ended = _bank([by_code("exit_code", EXIT_CAUSES)], f"{gate} AND array_contains(scopes, 'tool')")
-    staged = staged.withColumn("_found", F.concat(_ids("cause_matches", "cause."), ended))
+    staged = staged.withColumn("_ended", ended).withColumn("_found", F.concat(_ids("_cause_hits", "cause."), "_ended"))
     status = _bank([by_code("http_status", HTTP_CAUSES)], f"{gate} AND size(_found) = 0")
-    return staged.withColumn("_causes", F.concat("_found", status)).drop("_found")
+    staged = staged.withColumn("_status", status)
+    return staged.withColumns({
+        "_causes": F.concat("_found", "_status"),
+        "cause_matches": F.concat(
+            "_cause_hits",
+            F.transform("_ended", lambda c: F.concat(F.lit("cause."), c, F.lit(".exit_status="), A.exit_text(F.col("body")))),
+            F.transform("_status", lambda _: F.concat(F.lit("cause.http_status="), A.http_text(F.col("body"))))),
+    }).drop("_cause_hits", "_ended", "_found", "_status")
+
+
+def labels(rules: list[Rule]) -> list[str]:
+    """Rule ids; where one id stands for several operations, later ones carry their number."""
+    seen: dict[str, list[str]] = {}
+    out = []
+    for rule in rules:
+        known = seen.setdefault(rule["id"], [])
+        if rule["operation"] not in known:
+            known.append(rule["operation"])
+        number = known.index(rule["operation"])
+        out.append(f"{rule['id']}#{number}" if number else rule["id"])
+    return out
 
 
 def match_events(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """event_matches and events; an observation only reports telemetry events."""
-    def hit(rule: Rule) -> str:
+    def hit(rule: Rule, label: str) -> str:
         fires = _fires(rule, "body", "body_lower")
         if rule.get("requires"):
             fires = f"arrays_overlap(_causes, array({', '.join(_q(c) for c in rule['requires'])})) AND {fires}"
@@ -114,20 +134,36 @@ def match_events(df: DataFrame, rules: list[Rule]) -> DataFrame:
             fires = f"NOT is_observation AND {fires}"
         if rule["id"] in PREDICTED_EVENTS:
             fires = f"NOT contains(body, {_q(P.PREDICTED)}) AND {fires}"
-        return _hit("event.", rule, fires, "body")
-
-    first_of = {r["id"]: r["operation"] for r in reversed(rules)}
-    operations = ", ".join(f"{_q(k)}, {_q(v)}" for k, v in first_of.items())
-    staged = df.withColumn("event_matches", _bank([hit(r) for r in rules], "NOT is_continuation"))
-    return staged.withColumn("_events", _ids("event_matches", "event.")).withColumn(
-        "_operation", F.expr(f"try_element_at(map({operations}), try_element_at(_events, 1))") if rules else F.lit(None).cast("string"))
-
-
-def _emitted(template: str, rule: Rule) -> str:
-    """A value of a system rule, with $n replaced by the n-th group."""
-    parts = [f"regexp_extract(text, {_pattern(rule)}, {p[1:]})" if re.fullmatch(r"\$\d", p) else _q(p)
-             for p in re.split(r"(\$\d)", template) if p]
-    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+        return _hit("event.", {**rule, "id": label}, fires, "body")
+
+    names = labels(rules)
+    operations = ", ".join(f"{_q(k)}, {_q(r['operation'])}" for k, r in {k: r for k, r in zip(names, rules)}.items())
+    staged = df.withColumn("_event_hits", _bank([hit(r, n) for r, n in zip(rules, names)], "NOT is_continuation"))
+    return staged.withColumn("_labels", _ids("_event_hits", "event.")).withColumns({
+        "_operation": F.expr(f"try_element_at(map({operations}), try_element_at(_labels, 1))") if rules else F.lit(None).cast("string"),
+        "_events": F.expr("transform(_labels, l -> substring_index(l, '#', 1))"),
+        "event_matches": F.expr("transform(_event_hits, m -> regexp_replace(m, '^([^=#]*)#[0-9]+=', '$1='))"),
+    }).drop("_event_hits", "_labels")
+
+
+def _emitted(template: str | dict[str, Any], rule: Rule) -> str:
+    """A value of a system rule. Text has $n replaced by the n-th group. Other forms: a group looked up in a map, a
+    group or else a text, text in lower case, and the first of some patterns inside the match or else a text."""
+    def group(n: int) -> str:
+        return f"regexp_extract(text, {_pattern(rule)}, {n})"
+
+    if isinstance(template, str):
+        parts = [group(int(p[1:])) if re.fullmatch(r"\$\d", p) else _q(p) for p in re.split(r"(\$\d)", template) if p]
+        return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    if "lower" in template:
+        return f"lower({_emitted(template['lower'], rule)})"
+    if "within" in template:
+        inner = ", ".join(f"nullif(regexp_extract({group(0)}, {_q(p)}, 1), '')" for p in template["within"])
+        return f"coalesce({inner}, {_q(template['else'])})"
+    if "map" in template:
+        whens = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in template["map"].items())
+        return f"CASE {group(template['group'])} {whens} ELSE {_q(template['else'])} END"
+    return f"coalesce(nullif({group(template['group'])}, ''), {_q(template['else'])})"
 
 
 def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -148,7 +184,7 @@ def match_system(df: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.expr(f"try_cast({value} AS bigint)" if attribute in SYSTEM_NUMBERS else value)
 
     def named(attribute: str) -> Column:
-        return _bank([f"CASE WHEN _hits[{i}] THEN {_q(r['emits'][attribute])} END"
+        return _bank([f"CASE WHEN _hits[{i}] THEN {_emitted(r['emits'][attribute], r)} END"
                       for i, r in enumerate(rules) if attribute in r["emits"]], "is_system")
 
     return staged.withColumns({
@@ -162,6 +198,10 @@ def _single(value: Column) -> Column:
     return rx.listed(value)
 
 
+def _single_list(values: list[Column]) -> Column:
+    return rx.listed(*values)
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Overrides, order, and the primary event, cause, domain and kind."""
     c = F.col
@@ -172,6 +212,7 @@ def finalize(df: DataFrame) -> DataFrame:
     # Application side: overrides in the order in which they may replace each other.
     staged = df.withColumns({
         "_tuning": tuning,
+        "_traced": c("is_continuation"),
         "_events": F.when(tuning, F.array(F.lit("api.watchdog_tuned"))).otherwise(c("_events")),
         "_causes": F.when(tuning, F.array(F.lit("watchdog_tuning"))).otherwise(c("_causes")),
         "_operation": F.when(tuning, "watchdog_tuning").otherwise(c("_operation")),
@@ -185,6 +226,7 @@ def finalize(df: DataFrame) -> DataFrame:
         "_events": F.when(
             (F.size("_events") == 0) & (F.size("exceptions") > 0) & ~c("is_system") & observed,
             F.array(F.lit("runtime.exception"))).otherwise(c("_events")),
+        "_raised": (F.size("_events") == 0) & (F.size("exceptions") > 0) & ~c("is_system") & observed,
         "_operation": F.when(
             c("tool").isNotNull() & F.coalesce(c("_operation") == "execute", F.lit(True)),
             F.when(c("tool") == "terminal", "command_exec").when(c("tool") == "delegate_task", "subagent_delegate")
@@ -198,9 +240,12 @@ def finalize(df: DataFrame) -> DataFrame:
     })
 
     # System side: its values come first and replace application values.
-    replaced = {a: F.coalesce(c(f"sys_{a}"), c(a)) for a in ("target", "component", "platform", "signal", "errno", "exit_code")}
+    shared = ("target", "component", "platform", "signal", "errno", "exit_code")
+    replaced = {a: F.coalesce(c(f"sys_{a}"), c(a)) for a in shared}
     staged = staged.withColumns({
         **replaced,
+        "app_component": c("component"),
+        "from_system": _single_list([F.when(c(f"sys_{a}").isNotNull(), F.lit(a)) for a in (*shared, "operation")]),
         "operation": F.coalesce(c("sys_operation"), c("_operation")),
         "service_result": c("sys_service_result"),
         "device": c("sys_device"),
@@ -218,8 +263,13 @@ def finalize(df: DataFrame) -> DataFrame:
         "domain": F.coalesce(F.try_element_at(domains, family), F.when(c("is_system"), "system")),
         "kind": F.when(c("is_continuation"), "continuation").when(c("is_observation") | quiet, "observation")
         .otherwise(F.coalesce(c("sys_kind"), F.lit("incident"))),
-        "matched_rules": F.concat("cause_matches", "event_matches", "system_matches"),
-    }).drop("_tuning", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "body_lower", "text_lower",
+        "matched_rules": F.concat(
+            "cause_matches", "event_matches",
+            _single(F.when(c("_tuning"), F.concat(F.lit("event.api.watchdog_tuned="), rx.first(body, P.TUNING)))),
+            _single(F.when(c("_traced"), F.concat(F.lit("evidence.traceback="), F.substring(body, 1, 100)))),
+            _single(F.when(c("_raised"), F.concat(F.lit("event.runtime.exception="), A.exception_text(body, c("exception"))))),
+            "system_matches"),
+    }).drop("_tuning", "_traced", "_raised", "_events", "_causes", "_operation", "_sys_events", "_sys_causes", "body_lower", "text_lower",
             *[f"sys_{a}" for a in SYSTEM_ATTRIBUTES])
 
 
@@ -230,6 +280,7 @@ EVIDENCE_FIELDS = (
     ("log_level", None), ("component", None), ("database", None), ("path_basename", None), ("stream_stage", None),
 )
 DERIVED_FIELDS = ("platform", "target", "operation", "event", "cause", "domain")
+SYSTEM_SOURCE = "system_rules"
 
 
 @rx.once
@@ -241,13 +292,26 @@ def _evidence() -> dict[str, Column]:
     c = F.col
     certainty = [(n, c(k) if k else F.when(c(n).isNotNull(), "explicit")) for n, k in EVIDENCE_FIELDS]
     certainty += [(n, F.when(c(n).isNotNull(), "derived")) for n in DERIVED_FIELDS]
-    first_match = F.try_element_at
-    evidence = [(n, c(n).cast("string")) for n, _ in EVIDENCE_FIELDS if n != "provider"]
-    evidence += [
-        ("provider", c("provider_evidence")),
-        ("cause", matched_text(first_match("cause_matches", F.lit(1)))),
-        ("event", matched_text(first_match("event_matches", F.lit(1)))),
-    ]
+
+    def first_of(family: str) -> Column:
+        of_family = F.filter("matched_rules", lambda m: m.startswith(family))
+        return matched_text(F.try_element_at(of_family, F.lit(1)))
+
+    texts = A.evidence_texts(c("body"), c("app_component"))
+    texts.update(log_level=F.lit("log_prefix"), component=F.lit("log_prefix"), provider=c("provider_evidence"), event=first_of("event."),
+                 cause=first_of("cause."), domain=F.when(c("event").isNotNull(), "event_family").otherwise("profile"))
+    texts["operation"] = F.when(F.coalesce(c("operation") == "watchdog_tuning", F.lit(False)), rx.first(c("body"), P.TUNING)).when(
+        c("tool").isNotNull() & c("operation").isin(c("tool"), F.lit("command_exec"), F.lit("subagent_delegate")), texts["tool"]).otherwise(first_of("event."))
+
+    def source(name: str) -> Column:
+        value = c(name).cast("string")
+        text = F.coalesce(texts[name], value) if name in texts else value
+        return F.when(F.array_contains("from_system", name), SYSTEM_SOURCE).otherwise(text)
+
+    names = [n for n, _ in EVIDENCE_FIELDS] + list(DERIVED_FIELDS)
+    # a cause or event without a match of its own (a prediction, a typing limit) has no evidence
+    own = {"cause": texts["cause"], "event": texts["event"]}
+    evidence = [(n, F.when(c(n).isNotNull(), own[n] if n in own else source(n))) for n in names]
     conflict = "array<struct<field:string,candidates:array<string>>>"
     conflicts = F.array_compact(F.array(*[
         F.when(c(f"{name}_conflict").isNotNull(), F.struct(F.lit(field).alias("field"), c(f"{name}_conflict").alias("candidates")))
@@ -256,7 +320,7 @@ def _evidence() -> dict[str, Column]:
 
 
 def field_evidence(df: DataFrame) -> DataFrame:
-    """field_evidence, field_confidence (explicit or derived) and the list of conflicts."""
+    """field_evidence (the matched text, or where the value is from), field_confidence (explicit or derived), conflicts."""
     return df.withColumns(_evidence())
 
 

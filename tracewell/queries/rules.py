@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
+from tracewell.functions import attributes as A
 from tracewell.functions import identity as I
 from tracewell.plans import enrich as E
 from tracewell.plans import policy as S
@@ -14,6 +15,7 @@ from tracewell.queries.text import ATTRIBUTES, HOST_ALIASES, attributes, resourc
 
 BOOK = R.load()
 POLICY = S.load()
+BASIC_POLICY = S.load(basic=True)
 # A second policy with other labels, a rule without id and an ill-formed rule.
 OTHER_POLICY = {"version": "strict", "default": "ignore", "rules": [
     {"when": {"causes_any": ["timeout", "missing_access"], "log_level": ["ERROR", "CRITICAL"]}, "label": "needs-attention"},
@@ -24,7 +26,7 @@ OTHER_POLICY = {"version": "strict", "default": "ignore", "rules": [
 
 # --- the same catalogue as DuckDB SQL, without the substring guards ----------------------------
 def _pat(rule):
-    return d.q("(?i)" + rule["pattern"])
+    return d.q(rule["pattern"])
 
 
 def _match(rule, text, extra=""):
@@ -52,23 +54,38 @@ for _r in BOOK["events"]:
         _extra += f"NOT {_PRED} AND "
     _EVENT_ITEMS.append((_match(_r, "body", _extra), _r["id"], "body", _pat(_r)))
 _IDS = "list_transform({}, lambda x: split_part(x, '=', 1))"
-_OPS = {}
-for _r in BOOK["events"]:
-    _OPS.setdefault(_r["id"], _r["operation"])
-MATCHED = ATTRIBUTES + f""", c1 AS (SELECT *, CASE WHEN is_observation OR is_continuation THEN [] ELSE {_pairs(_CAUSE_ITEMS)} END AS cause_pairs FROM attrs),
- c2 AS (SELECT *, list_concat({_IDS.format('cause_pairs')}, CASE WHEN NOT is_observation AND NOT is_continuation AND list_contains(scopes, 'tool')
-     THEN {d.compact([_codes('exit_code', R.EXIT_CAUSES)])} ELSE [] END) AS causes_a FROM c1),
- c3 AS (SELECT *, list_concat(causes_a, CASE WHEN NOT is_observation AND NOT is_continuation AND len(causes_a) = 0
-     THEN {d.compact([_codes('http_status', R.HTTP_CAUSES)])} ELSE [] END) AS causes0 FROM c2),
- e1 AS (SELECT *, CASE WHEN is_continuation THEN [] ELSE {_pairs(_EVENT_ITEMS)} END AS event_pairs FROM c3),
+_EXIT_TEXT, _HTTP_TEXT = (d.first("body", p) for p in (A.either(P.EXIT_LABELLED, P.EXIT_SYSTEMD, P.EXIT_PHRASED), A.HTTP_EITHER))
+_OPERATION = "CASE " + " ".join(f"WHEN {c} THEN '{r['operation']}'" for (c, *_), r in zip(_EVENT_ITEMS, BOOK["events"])) + " END"
+MATCHED = ATTRIBUTES + f""", c1 AS (SELECT *, CASE WHEN is_observation OR is_continuation THEN [] ELSE {_pairs(_CAUSE_ITEMS)} END AS cause_hits FROM attrs),
+ c2 AS (SELECT *, CASE WHEN NOT is_observation AND NOT is_continuation AND list_contains(scopes, 'tool')
+     THEN {d.compact([_codes('exit_code', R.EXIT_CAUSES)])} ELSE [] END AS by_exit FROM c1),
+ c2b AS (SELECT *, list_concat({_IDS.format('cause_hits')}, by_exit) AS causes_a FROM c2),
+ c2c AS (SELECT *, CASE WHEN NOT is_observation AND NOT is_continuation AND len(causes_a) = 0
+     THEN {d.compact([_codes('http_status', R.HTTP_CAUSES)])} ELSE [] END AS by_status FROM c2b),
+ c3 AS (SELECT *, list_concat(causes_a, by_status) AS causes0,
+     list_concat(cause_hits, list_transform(by_exit, lambda x: x || '.exit_status=' || {_EXIT_TEXT}),
+       list_transform(by_status, lambda x: 'http_status=' || {_HTTP_TEXT})) AS cause_pairs FROM c2c),
+ e1 AS (SELECT *, CASE WHEN is_continuation THEN [] ELSE {_pairs(_EVENT_ITEMS)} END AS event_pairs,
+     CASE WHEN NOT is_continuation THEN {_OPERATION} END AS first_op FROM c3),
  e2 AS (SELECT *, {_IDS.format('event_pairs')} AS events0 FROM e1)"""
 
 
 def _emit(template, rule):
     import re
-    parts = [f"regexp_extract(text, {_pat(rule)}, {p[1:]})" if re.fullmatch(r"\$\d", p) else d.q(p)
-             for p in re.split(r"(\$\d)", template) if p]
-    return " || ".join(parts)
+
+    def group(n):
+        return f"regexp_extract(text, {_pat(rule)}, {n})"
+
+    if isinstance(template, str):
+        return " || ".join(group(int(p[1:])) if re.fullmatch(r"\$\d", p) else d.q(p) for p in re.split(r"(\$\d)", template) if p)
+    if "lower" in template:
+        return f"lower({_emit(template['lower'], rule)})"
+    if "within" in template:
+        inner = ", ".join(f"nullif(regexp_extract({group(0)}, {d.q(p)}, 1), '')" for p in template["within"])
+        return f"coalesce({inner}, {d.q(template['else'])})"
+    if "map" in template:
+        return f"CASE {group(template['group'])} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in template["map"].items()) + f" ELSE '{template['else']}' END"
+    return f"coalesce(nullif({group(template['group'])}, ''), {d.q(template['else'])})"
 
 
 _SYS = BOOK["system"]
@@ -85,7 +102,7 @@ def _sys_attr(attribute):
 
 def _sys_list(attribute):
     return "CASE WHEN is_system THEN " + d.compact(
-        [f"CASE WHEN hits[{i + 1}] THEN {d.q(r['emits'][attribute])} END" for i, r in enumerate(_SYS) if attribute in r["emits"]]) + " ELSE [] END"
+        [f"CASE WHEN hits[{i + 1}] THEN {_emit(r['emits'][attribute], r)} END" for i, r in enumerate(_SYS) if attribute in r["emits"]]) + " ELSE [] END"
 
 
 SYSTEM = f"""s1 AS (SELECT *, [{', '.join(f"is_system AND regexp_matches(text, {_pat(r)})" for r in _SYS)}] AS hits FROM e2),
@@ -96,15 +113,16 @@ _DOMAIN = "CASE split_part(event, '.', 1) " + " ".join(f"WHEN '{a}' THEN '{b}'"
 FINAL = MATCHED + ", " + SYSTEM + f""", f1 AS (SELECT * REPLACE (
      CASE WHEN {_TUNE} THEN ['api.watchdog_tuned'] ELSE events0 END AS events0,
      CASE WHEN {_TUNE} THEN ['watchdog_tuning'] ELSE causes0 END AS causes0),
-   CASE WHEN {_TUNE} THEN 'watchdog_tuning' ELSE CASE events0[1] {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _OPS.items())} END END AS op0 FROM s2),
+   CASE WHEN {_TUNE} THEN 'watchdog_tuning' ELSE first_op END AS op0, {_TUNE} AS tuned, is_continuation AS traced FROM s2),
  f2 AS (SELECT * REPLACE (
      list_concat(CASE WHEN {_PRED} THEN ['token_exchange_degraded'] ELSE [] END,
        CASE WHEN list_contains(events0, 'platform.operation_rate_limited') THEN ['typing_rate_limited'] ELSE [] END, causes0) AS causes0,
      CASE WHEN is_continuation THEN ['runtime.traceback_continuation'] ELSE events0 END AS events0) FROM f1),
- f3 AS (SELECT * REPLACE (
-     CASE WHEN len(events0) = 0 AND len(exceptions) > 0 AND NOT is_system AND NOT is_observation THEN ['runtime.exception'] ELSE events0 END AS events0,
+ f3 AS (SELECT *, len(events0) = 0 AND len(exceptions) > 0 AND NOT is_system AND NOT is_observation AS raised FROM f2),
+ f3b AS (SELECT * REPLACE (
+     CASE WHEN raised THEN ['runtime.exception'] ELSE events0 END AS events0,
      CASE WHEN tool IS NOT NULL AND (op0 IS NULL OR op0 = 'execute')
-       THEN CASE tool WHEN 'terminal' THEN 'command_exec' WHEN 'delegate_task' THEN 'subagent_delegate' ELSE tool END ELSE op0 END AS op0) FROM f2),
+       THEN CASE tool WHEN 'terminal' THEN 'command_exec' WHEN 'delegate_task' THEN 'subagent_delegate' ELSE tool END ELSE op0 END AS op0) FROM f3),
  f4 AS (SELECT * REPLACE (
      CASE WHEN NOT is_observation THEN http_status END AS http_status, CASE WHEN NOT is_observation THEN provider_code END AS provider_code,
      CASE WHEN NOT is_observation THEN rpc_code END AS rpc_code, CASE WHEN NOT is_observation THEN exception END AS exception,
@@ -112,11 +130,16 @@ FINAL = MATCHED + ", " + SYSTEM + f""", f1 AS (SELECT * REPLACE (
      CASE WHEN is_observation THEN [] ELSE exceptions END AS exceptions,
      coalesce(sys_target, target) AS target, coalesce(sys_component, component) AS component, coalesce(sys_platform, platform) AS platform,
      coalesce(sys_signal, signal) AS signal, coalesce(sys_exit_code, exit_code) AS exit_code),
-   coalesce(sys_operation, op0) AS operation, sys_service_result AS service_result, sys_device AS device,
-   list_concat({d.compact(['sys_event'])}, sys_events, events0) AS events1, list_concat({d.compact(['sys_cause'])}, sys_causes, causes0) AS causes1 FROM f3),
+   component AS app_component, coalesce(sys_operation, op0) AS operation, sys_service_result AS service_result, sys_device AS device,
+   list_concat({d.compact(['sys_event'])}, sys_events, events0) AS events1, list_concat({d.compact(['sys_cause'])}, sys_causes, causes0) AS causes1 FROM f3b),
  f5 AS (SELECT * REPLACE ((is_continuation OR coalesce(sys_kind = 'continuation', false)) AS is_continuation),
    {d.distinct('events1')} AS events, {d.distinct('causes1')} AS causes FROM f4),
- f6 AS (SELECT *, events[1] AS event, causes[1] AS cause FROM f5),
+ f6 AS (SELECT *, events[1] AS event, causes[1] AS cause,
+   list_concat(list_transform(cause_pairs, lambda x: 'cause.' || x), list_transform(event_pairs, lambda x: 'event.' || x),
+     {d.compact([f"CASE WHEN tuned THEN 'event.api.watchdog_tuned=' || {d.first('body', P.TUNING)} END",
+                 "CASE WHEN traced THEN 'evidence.traceback=' || substr(body, 1, 100) END",
+                 f"CASE WHEN raised THEN 'event.runtime.exception=' || coalesce({d.first('body', P.ERROR_TYPE)}, exception) END"])},
+     system_pairs) AS matched_rules FROM f5),
  classified AS (SELECT *, coalesce({_DOMAIN}, CASE WHEN is_system THEN 'system' END) AS domain,
    CASE WHEN is_continuation THEN 'continuation'
         WHEN is_observation OR coalesce(event IN ('platform.discovery', 'runtime.gateway_exit'), false) THEN 'observation'
@@ -140,6 +163,7 @@ def severity_sql(policy):
 
 
 LABEL, RULE_ID = severity_sql(POLICY)
+BASIC_LABEL, BASIC_RULE_ID = severity_sql(BASIC_POLICY)
 SEVERE = FINAL + f", graded AS (SELECT *, {LABEL} AS severity, {RULE_ID} AS severity_rule_id FROM classified)"
 _KEY_PARTS = []
 for _f in E.SEMANTIC_FIELDS:
@@ -198,9 +222,15 @@ _FINAL_COLUMNS = ("event", "cause", "domain", "kind", "operation", "target", "co
 
 
 @query("rule_finalize", with_parsed(
-    f"SELECT line_id, {', '.join(_FINAL_COLUMNS)}, {d.join('events')} AS events, {d.join('causes')} AS causes FROM classified", FINAL))
+    f"SELECT line_id, {', '.join(_FINAL_COLUMNS)}, {d.join('events')} AS events, {d.join('causes')} AS causes, {d.join('matched_rules')} AS matched_rules FROM classified", FINAL))
 def rule_finalize(spark, folder):
-    return classified(spark, folder).select("line_id", *_FINAL_COLUMNS, _list("events"), _list("causes"))
+    return classified(spark, folder).select("line_id", *_FINAL_COLUMNS, _list("events"), _list("causes"), _list("matched_rules"))
+
+
+def _evidence_sql(family):
+    """The matched text of the first rule of the family."""
+    hit = f"list_filter(matched_rules, lambda m: starts_with(m, '{family}.'))[1]"
+    return f"CASE WHEN {family} IS NOT NULL THEN substr({hit}, strpos({hit}, '=') + 1) END"
 
 
 _EXPLICIT = [n for n, k in R.EVIDENCE_FIELDS if k is None]
@@ -211,7 +241,10 @@ _DERIVED = " + ".join(f"CAST({n} IS NOT NULL AS BIGINT)" for n in R.DERIVED_FIEL
 @query("rule_field_evidence", with_parsed(f"""SELECT line_id, {_PRESENT} + {_DERIVED} AS confident_fields,
     {_DERIVED} + CAST(coalesce(provider_certainty = 'derived', false) AS BIGINT) AS derived_fields,
     CAST(provider_conflict IS NOT NULL AS BIGINT) + CAST(model_conflict IS NOT NULL AS BIGINT) + CAST(http_conflict IS NOT NULL AS BIGINT) AS conflicts,
-    split_part(cause_pairs[1], '=', 1) IS NOT NULL AS has_cause_evidence FROM
+    {_evidence_sql('cause')} AS cause_evidence, {_evidence_sql('event')} AS event_evidence,
+    CASE WHEN exit_code IS NOT NULL THEN CASE WHEN sys_exit_code IS NOT NULL THEN 'system_rules' ELSE {_EXIT_TEXT} END END AS exit_evidence,
+    CASE WHEN http_status IS NOT NULL THEN {_HTTP_TEXT} END AS http_evidence,
+    CASE WHEN platform IS NOT NULL THEN CASE WHEN sys_platform IS NOT NULL THEN 'system_rules' ELSE coalesce(nullif(app_component, ''), substr(body, 1, 100)) END END AS platform_evidence FROM
     (SELECT *, {d.first('body', P.FILE_BASENAME, 1)} AS path_basename FROM classified)""", FINAL))
 def rule_field_evidence(spark, folder):
     rows = R.field_evidence(classified(spark, folder))
@@ -220,7 +253,8 @@ def rule_field_evidence(spark, folder):
         "line_id", F.size("field_confidence").cast("bigint").alias("confident_fields"),
         F.size(F.filter(values, lambda v: v == "derived")).cast("bigint").alias("derived_fields"),
         F.size("conflicts").cast("bigint").alias("conflicts"),
-        F.map_contains_key("field_evidence", "cause").alias("has_cause_evidence"))
+        *[F.try_element_at("field_evidence", F.lit(name)).alias(f"{alias}_evidence") for name, alias in (
+            ("cause", "cause"), ("event", "event"), ("exit_code", "exit"), ("http_status", "http"), ("platform", "platform"))])
 
 
 @query("policy_severity", with_parsed("SELECT line_id, severity, severity_rule_id FROM graded", SEVERE))
@@ -229,6 +263,12 @@ def policy_severity(spark, folder):
     return rows.select("line_id", F.col("severity.label").alias("severity"), F.col("severity.rule_id").alias("severity_rule_id"))
 
 
+@query("policy_severity_basic", with_parsed(f"SELECT line_id, {BASIC_LABEL} AS severity, {BASIC_RULE_ID} AS severity_rule_id FROM classified", FINAL))
+def policy_severity_basic(spark, folder):
+    rows = S.apply_severity(classified(spark, folder), BASIC_POLICY)
+    return rows.select("line_id", F.col("severity.label").alias("severity"), F.col("severity.rule_id").alias("severity_rule_id"))
+
+
 @query("fn_fingerprint", with_parsed("SELECT line_id, fingerprint, normalized_text, fp_host AS host FROM enriched", FINGERPRINTED))
 def fingerprint(spark, folder):
     rows = enriched(spark, folder)

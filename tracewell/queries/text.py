@@ -104,7 +104,7 @@ ATTRS = SPLIT + f""", attr_lists AS (SELECT *,
     {_strip(f"list_concat({d.every('head', P.MODEL_PARAM, 1)}, {d.every('head', P.MODEL_QUOTED, 1)})")} AS model_params,
     {d.distinct(d.every('head', P.MODEL_NAME, 1))} AS model_names,
     {d.distinct(d.every('body', P.EXCEPTION, 1))} AS exceptions,
-    {d.distinct(f"list_concat({d.every('body', P.HTTP_LABELLED, 1)}, {d.every('body', P.HTTP_PHRASED, 1)})")} AS statuses,
+    {d.distinct(f"list_transform({d.every('body', A.HTTP_EITHER)}, lambda m: regexp_extract(m, '[45][0-9][0-9]'))")} AS statuses,
     {d.distinct(f"list_concat({d.every('body', P.CODE_QUOTED, 1)}, {d.every('body', P.CODE_NUMBER, 1)})")} AS provider_codes,
     {d.first('body', P.MCP_SERVER, 1)} AS mcp_server,
     coalesce({d.first('body', P.TOOL_NAMED, 1)}, {d.first('body', P.TOOL_KEYED, 1)}, {d.first('body', P.TOOL_DEADLINE, 1)}) AS tool,
@@ -146,7 +146,7 @@ ATTRIBUTES = ATTRS + f""", attrs0 AS (SELECT *,
     coalesce({d.first('body', P.CHECK_FUNCTION, 1)}, 'mcp:' || mcp_server, 'tool:' || tool, {d.first('body', P.ENDPOINT, 1)}, database) AS target,
     CASE WHEN len(exceptions) > 0 THEN coalesce({d.first('body', P.ERROR_TYPE, 1)}, exceptions[-1]) END AS exception,
     CASE WHEN NOT {_PREDICTED} THEN CAST(({d.only('statuses')}) AS BIGINT) END AS http_status,
-    CASE WHEN len(statuses) > 1 THEN list_sort(statuses) END AS http_conflict,
+    CASE WHEN len(statuses) > 1 THEN statuses END AS http_conflict,
     CASE WHEN {_PREDICTED} THEN NULL WHEN len(provider_codes) > 0 THEN list_filter(provider_codes, lambda c: c NOT IN ('error', 'message'))[1]
          ELSE CASE {' '.join(f"WHEN contains(body, '{c}') THEN '{c}'" for c in P.LITERAL_CODES)} END END AS provider_code,
     TRY_CAST({d.first('body', P.RPC_CODE, 1)} AS BIGINT) AS rpc_code,
