@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import shared, training
 from tracewell.llm.quality import lines
-from tracewell.llm.words import BYTE_VALUE, Texts, buffers, mix, range_hashes, slices, word_bounds
+from tracewell.llm.words import BYTE_VALUE, Texts, buffers, mix, range_hashes, slices, words
 
-SAMPLE_ROWS = 4000  # labelled documents to learn from, at most
-SAMPLE_BYTES = 64 << 20  # and their bytes, at most, for the one task that fits the model
+SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
+SAMPLE_BYTES = 16 << 20  # and their bytes, at most, for the one task that fits the model
 THRESHOLD = 0.3
 GRAMS = 1 << 13
 STEPS = 60
@@ -33,7 +33,7 @@ _CLASSES[3][[ord(c) for c in "#*$%&|<>"]] = 1  # symbols
 _CLASSES[4][[ord(c) for c in "!?"]] = 1
 _CLASSES[5][[ord(c) for c in ".,;:'\"()-"]] = 1
 _CLASSES[6][0x80:] = 1  # beyond ASCII
-DENSE = len(_CLASSES) + 6
+DENSE = len(_CLASSES) + 7
 UNARY = 3 * DENSE + 1
 
 
@@ -45,8 +45,11 @@ def dense(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     for k, table in enumerate(_CLASSES):
         total = np.concatenate([[0], np.cumsum(table[texts.data], dtype=np.float64)])
         own[:, k] = (total[ends] - total[starts]) / np.maximum(size, 1)
-    word_starts, _, _ = word_bounds(texts)
-    n_words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+    found = words(texts, lower=True)
+    head, tail = np.searchsorted(found.starts, starts), np.searchsorted(found.starts, ends)
+    n_words = tail - head
+    echo = np.zeros(len(found.hashes) + 1, np.int64)  # words equal to the one before them
+    np.cumsum(np.concatenate([[False], found.hashes[1:] == found.hashes[:-1]])[:len(found.hashes)], out=echo[1:])
     holder = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
     keys = mix(range_hashes(BYTE_VALUE[texts.data], starts, ends) + mix(holder))
     order = np.argsort(keys, kind="stable")
@@ -62,6 +65,7 @@ def dense(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     last = texts.data[np.maximum(ends - 1, 0)] if len(texts.data) else np.zeros(len(ends), np.uint8)
     own[:, k + 4] = np.isin(last, [ord("."), ord("!"), ord("?")]) & (size > 0)
     own[:, k + 5] = size == 0
+    own[:, k + 6] = (echo[tail] - echo[np.minimum(head + 1, tail)]) / np.maximum(n_words, 1)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first[:-1]], after[first[1:] - 1] = 0, 0
@@ -142,6 +146,19 @@ class Model:
         return training.sigmoid(self.slope * training.logit(np.clip(self.raw(texts), 1e-4, 1 - 1e-4)) + self.shift)
 
 
+def _counted(bucket: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of each line, with their counts, line by line."""
+    lines_, buckets_, counts_ = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a in range(0, len(first) - 1, 4096):
+        b = min(len(first) - 1, a + 4096)
+        owner = np.repeat(np.arange(a, b), np.diff(first[a:b + 1]))
+        key, n = np.unique(owner * GRAMS + bucket[first[a]:first[b]], return_counts=True)
+        lines_.append((key // GRAMS).astype(np.int32))
+        buckets_.append((key % GRAMS).astype(np.int32))
+        counts_.append(n.astype(np.int32))
+    return np.concatenate(lines_), np.concatenate(buckets_), np.concatenate(counts_)
+
+
 def fit(texts: Texts, label: np.ndarray, steps: int = STEPS) -> Model:
     """Maximises the likelihood of the labels' paths, which give every line its document's label, by gradient steps."""
     features, starts, ends, first, _ = dense(texts)
@@ -151,22 +168,24 @@ def fit(texts: Texts, label: np.ndarray, steps: int = STEPS) -> Model:
     want = np.repeat(label, count)
     # every text weighs the same, however many lines it has
     weight = np.repeat(1.0 / np.maximum(count, 1), count) / max(1, len(label))
-    line = np.repeat(np.arange(len(starts)), np.diff(gram_first))
-    inverse = 1.0 / size
+    # one entry per line and 3-gram with its count, instead of one per byte
+    line, bucket, count_of = _counted(bucket, gram_first)
+    gram_first = np.searchsorted(line, np.arange(len(starts) + 1))
+    value = (count_of / size[line]).astype(np.float32)
     model = Model(np.zeros(UNARY), np.zeros(GRAMS), np.zeros((2, 2)), 1.0, 0.0)
     moves = training.Adam(UNARY + GRAMS + 4, 0.15)
     inner = np.ones(len(starts), bool)
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
     for _ in range(steps):
-        unary = features @ model.unary + training.row_sums(model.grams[bucket], gram_first) / size
+        unary = features @ model.unary + training.row_sums(model.grams[bucket] * value, gram_first)
         score, ahead, back = passes(unary, first, model.pair)
         error = (marginals(ahead, back) - want) * weight
         expected = (pair_marginals(score, ahead, back, model.pair, at) * weight[at][:, None, None]).sum(0)
         seen = np.bincount(want[at].astype(int), weight[at], 2)
         move = moves.step(np.concatenate([
             features.T.astype(float) @ error + 1e-5 * model.unary,
-            np.bincount(bucket, (error * inverse)[line], GRAMS) + 1e-7 * model.grams,
+            np.bincount(bucket, error[line] * value, GRAMS) + 1e-7 * model.grams,
             (expected - np.diag(seen) + 1e-2 * model.pair).reshape(-1)]))
         model.unary -= move[:UNARY]
         model.grams -= GRAM_RATE * move[UNARY:UNARY + GRAMS]

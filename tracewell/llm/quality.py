@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import shared, training
-from tracewell.llm.words import BYTE_VALUE, Texts, Words, mix, range_hashes, runs, slices, words
+from tracewell.llm.words import BYTE_VALUE, Texts, Words, buffers, mix, range_hashes, runs, slices, words
 
-SAMPLE_ROWS = 4000  # labelled documents to learn from, at most
+SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
 BITS = 16  # buckets of each of the three families
 FAMILIES = 3
 SCALE = 20.0
@@ -141,22 +141,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = sample.select("doc_id", "text", "label").mapInArrow(_sparse, "doc_id bigint, label int, buckets binary, values binary").toArrow().sort_by("doc_id")
     fold = np.array([x % 5 for x in rows.column("doc_id").to_pylist()], int)
     label = np.array(rows.column("label").to_pylist(), float)
-    buckets = [np.frombuffer(x, "<i4") for x in rows.column("buckets").to_pylist()]
-    values = [np.frombuffer(x, "<f4").astype(float) for x in rows.column("values").to_pylist()]
-
-    def part(chosen):
-        first = np.concatenate([[0], np.cumsum([len(buckets[i]) for i in chosen])]).astype(int)
-        flat = [np.concatenate([x[i] for i in chosen]) if len(chosen) else np.zeros(0, x[0].dtype if x else float) for x in (buckets, values)]
-        return flat[0].astype(int), flat[1], first
-
-    fit, held = np.flatnonzero(fold != 4), np.flatnonzero(fold == 4)
-    index, value, first = part(fit)
-    weights, bias = training.fit_logistic(index, value, first, label[fit], FAMILIES << BITS)
-    index, value, first = part(held)
-    slope, shift = training.fit_platt(training.row_sums(weights[index] * value, first) + bias, label[held])
+    index, first = _flat(rows.column("buckets"), "<i4")
+    value, _ = _flat(rows.column("values"), "<f4")
+    del rows
+    weights, bias = training.fit_logistic(index, value, first, label, FAMILIES << BITS, (fold != 4).astype(float))
+    held = fold == 4
+    margin = training.row_sums(weights[index] * value, first) + bias
+    slope, shift = training.fit_platt(margin[held], label[held])
     return Model(weights.astype(np.float32), bias, slope, shift)
 
 
+def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows in one array (a view where possible), and where each row begins."""
+    column = column.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    found = buffers(column)
+    return found.data.view(kind) if len(found.data) else np.zeros(0, kind), found.cuts // 4
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, COUNTS, base_failed, probability and kept for every row of ``docs``.
 

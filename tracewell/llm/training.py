@@ -50,19 +50,23 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def fit_logistic(index: np.ndarray, value: np.ndarray, first: np.ndarray, label: np.ndarray, size: int,
+def fit_logistic(index: np.ndarray, value: np.ndarray, first: np.ndarray, label: np.ndarray, size: int, weight: np.ndarray,
                  steps: int = 80, rate: float = 0.3, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias for sparse rows (index, value) with row bounds ``first``. Deterministic."""
+    """Weights and bias for sparse rows (index, value) with row bounds ``first``; rows count by ``weight``. Deterministic."""
     weights, bias = np.zeros(size), 0.0
-    if not len(label):
+    if not weight.sum():
         return weights, bias
-    used, at = np.unique(index, return_inverse=True)
-    row = np.repeat(np.arange(len(label)), np.diff(first))
-    inner, moves, n = np.zeros(len(used)), Adam(len(used) + 1, rate), len(label)
+    used = np.flatnonzero(np.bincount(index, minlength=size))
+    number = np.zeros(size, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    at, share = number[index], weight / weight.sum()
+    row = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(first))
+    inner, moves = np.zeros(len(used)), Adam(len(used) + 1, rate)
     for _ in range(steps):
-        error = sigmoid(row_sums(inner[at] * value, first) + bias) - label
-        gradient = np.bincount(at, value * error[row], len(used)) / n + ridge * inner
-        move = moves.step(np.append(gradient, error.mean()))
+        score = row_sums(inner[at] * value, first) + bias
+        error = (sigmoid(score) - label) * share
+        gradient = np.bincount(at, error[row] * value, len(used)) + ridge * inner
+        move = moves.step(np.append(gradient, error.sum()))
         inner -= move[:-1]
         bias -= float(move[-1])
     weights[used] = inner
