@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import ledger
 from tracewell.operators import feed, groups as G, packing as K, scan
 from tracewell.sinks import stores
 from tracewell.sources import files as S
@@ -139,3 +140,45 @@ def test_evidence_is_reduced_before_it_is_joined(spark):
     assert not joins_below_the_aggregate(C.basis(evidence, findings, coverage))
     assert not joins_below_the_aggregate(O.promote(findings, evidence))
     assert not joins_below_the_aggregate(Z.first_per_finding(Z.serious(evidence)).join(few, "gid", "left_anti"))
+
+
+def test_budget_prefix_counts_empty_items_and_refuses_an_oversize_first(spark):
+    def fit(sizes, budget):
+        df = spark.createDataFrame(list(enumerate(sizes)), "i int, size int")
+        return [r.i for r in K.fit_prefix(df, [F.col("i")], F.col("size"), budget).orderBy("i").collect()]
+    assert fit([0, 0, 5], 5) == [0, 1, 2]
+    assert fit([0] * 40 + [3, 3], 5) == list(range(41))
+    assert fit([], 5) == []
+    with pytest.raises(Exception, match="first item exceeds the budget"):
+        fit([9, 1], 5)
+
+
+def test_feed_tail_counts_rows_without_bytes(spark):
+    df = spark.range(100).select(F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), "id")
+    assert feed.feed_tail(df, ["ts", "id"], F.lit(0), minutes=None, max_bytes=90).count() == 90
+
+
+def test_recent_feed_is_filtered_in_the_scan(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    spark.range(10).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), "id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    recent = stored.filter(F.col("ts") >= F.lit("1970-01-01 08:00:00").cast("timestamp"))
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in recent._jdf.queryExecution().toString()
+    assert [r.id for r in feed.feed_tail(stored, ["ts"], F.lit(1), minutes=60).orderBy("ts").collect()] == [8, 9]
+
+
+def test_late_evidence_reopens(spark):
+    findings = spark.createDataFrame([("a", "watch", 1000, False, False), ("b", "watch", 1000, True, False), ("c", "watch", 9000, False, False)],
+                                     "id string, decision string, reviewed_at long, lane_a_done boolean, lane_b_done boolean")
+    fresh = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "gid string, ts long")  # events long before the review
+    out = {r.id: r.reopened for r in ledger.reopen(findings, fresh, F.lit(10_000)).collect()}
+    assert out == {"a": True, "b": False, "c": False}
+
+
+def test_second_tracked_sighting_decides(spark):
+    evidence = spark.createDataFrame([], "id string, gid string, ts long, severity string, record_role string")
+    findings = spark.createDataFrame([("old", 1, None)], "id string, seq long, decision string")
+    rows = spark.createDataFrame([("1", "new", 1, "tracked", "parent"), ("2", "new", 2, "tracked", "parent"), ("3", "once", 1, "tracked", "parent"),
+                                  ("4", "old", 1, "tracked", "parent"), ("5", "quiet", 1, "tracked", "continuation"), ("6", "quiet", 2, "tracked", "parent")], evidence.schema)
+    out = {r.id: (r.decision, r.investigated) for r in ledger.ingest(evidence, findings, rows)[1].collect()}
+    assert out == {"new": ("tracked", True), "once": (None, False), "old": ("tracked", True), "quiet": ("ignore", False)}

@@ -110,7 +110,7 @@ def relations(claims: DataFrame, history: DataFrame) -> DataFrame:
     """Adds ``holds`` to claims that two findings are one problem.
 
     The scopes must match; the quote (30 to 3000 characters) must stand in the
-    cited report, name the other finding after relation wording, and not hedge.
+    cited report, have relation wording before a mention of the other finding, and not hedge.
     """
     c = F.col
     cited = history.select(c("id").alias("relationship_history_id"), c("finding_id").alias("report_finding"), "report_text")
@@ -122,9 +122,9 @@ def relations(claims: DataFrame, history: DataFrame) -> DataFrame:
         & F.length("quote").between(30, 3000) & c("report_text").contains(quote) & quote.contains(other)
         & ~quote.rlike(P.RELATION_HEDGE)
     )
-    # The wording stands at most 250 characters before the first mention of the other finding.
-    before = F.substr(quote, F.lit(1), F.greatest(F.instr(quote, other) - 1, F.lit(0)))
-    said = before.rlike(P.RELATION_CLAIM + r"[^\n]{0,250}\z")
+    # The wording stands at most 250 characters before some mention of the other finding.
+    pieces = F.split(quote, F.concat(F.lit(r"\Q"), other, F.lit(r"\E")), F.lit(-1))
+    said = F.exists(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.rlike(P.RELATION_CLAIM + r"[^\n]{0,250}\z"))
     return joined.withColumn("holds", F.coalesce(fits & said, F.lit(False))).drop("report_finding", "report_text")
 
 

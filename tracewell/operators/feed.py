@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators import scan
+
 FEED_TEXT = 300
 FEED_HOURS = 144
 RETENTION_HOURS = 72
@@ -29,24 +31,21 @@ def feed_rows(enriched: DataFrame) -> DataFrame:
 
 def feed_tail(feed: DataFrame, order: list[str], row_bytes: Column, minutes: int | None = 60, since: Column | None = None,
               max_bytes: int = 500_000, now: Column | None = None) -> DataFrame:
-    """The last rows within a byte budget, then those after ``since`` or of the last minutes.
+    """The last rows within a byte budget that are after ``since`` or of the last minutes (before ``now``, or before
+    the newest row).
 
-    A row takes at least three bytes with its line end, which bounds how many
-    rows the budget can hold: only that many are sorted into one task.
+    Newest first, both conditions cut a prefix, so the time filter goes first: it reaches the scan and prunes.
     """
-    newest = [F.col(o).desc() for o in order]
-    head = feed.withColumn("_bytes", row_bytes.cast("bigint") + 1).orderBy(*newest).limit(max_bytes // 3 + 1)
-    running = Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0)
-    kept = head.withColumn("_used", F.sum("_bytes").over(running)).filter(F.col("_used") <= max_bytes).drop("_bytes", "_used")
     if since is not None:
-        return kept.filter(F.col("ts") > since)
-    if minutes is None:
-        return kept
-    if now is None:
-        everything = Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        kept = kept.withColumn("_now", F.max("ts").over(everything))
-        now = F.col("_now")
-    return kept.filter(F.col("ts") >= now - F.make_dt_interval(mins=F.lit(minutes))).drop("_now")
+        recent = feed.filter(F.col("ts") > since)
+    elif minutes is None:
+        recent = feed
+    else:
+        if now is None:
+            now = F.lit(feed.agg(F.max("ts")).first()[0]).cast("timestamp")  # one value
+        recent = feed.filter(F.col("ts") >= now - F.make_dt_interval(mins=F.lit(minutes)))
+    used = scan.running_total(recent, [F.col(o).desc() for o in order], row_bytes.cast("bigint") + 1, "_used")
+    return used.filter(F.col("_used") <= max_bytes).drop("_used")
 
 
 def bucket(event_at: Column, zone: str = "UTC") -> dict[str, Column]:

@@ -42,21 +42,26 @@ def new_evidence(evidence: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ingest(evidence: DataFrame, findings: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds unseen rows; creates their findings. Replaying the same rows changes nothing.
+    """Adds unseen rows; creates their findings. Replaying the same rows adds nothing.
 
     A finding that starts with an ignored record or a continuation starts as
-    ignored; a tracked record decides an undecided finding.
+    ignored. Tracked records decide an undecided finding each time they are
+    offered, stored or not, but only one that is there already: the first
+    sighting creates the finding, the second decides it. ``investigated`` is
+    set with the decision.
     """
     c = F.col
     fresh = new_evidence(evidence, rows)
     quiet = (c("severity") == "ignore") | (c("record_role") == "continuation")
     opening = fresh.groupBy("gid").agg(F.min_by(quiet, F.struct("ts", "id")).alias("_quiet")).withColumnRenamed("gid", "id")
-    tracked = rows.filter(c("severity") == "tracked").select(c("gid").alias("id")).distinct().withColumn("_tracked", F.lit(True))
+    tracked = rows.filter(c("severity") == "tracked").groupBy(c("gid").alias("id")).agg(F.count("*").alias("_tracked"))
     kept = findings.join(opening, "id", "full").join(tracked, "id", "left")
     started = F.coalesce(c("decision"), F.when(c("seq").isNull() & c("_quiet"), "ignore"))
-    # Only a finding that was already there is decided by a tracked record.
-    decided = F.when(started.isNull() & c("seq").isNotNull() & c("_tracked"), "tracked").otherwise(started)
-    updated = kept.withColumn("decision", decided).drop("_quiet", "_tracked")
+    sighted = F.coalesce(c("_tracked"), F.lit(0)) >= F.when(c("seq").isNotNull(), 1).otherwise(2)
+    by_tracking = started.isNull() & sighted
+    before = F.coalesce(c("investigated"), F.lit(False)) if "investigated" in findings.columns else F.lit(False)
+    updated = kept.withColumns({
+        "decision": F.when(by_tracking, "tracked").otherwise(started), "investigated": before | by_tracking}).drop("_quiet", "_tracked")
     return evidence.unionByName(fresh, allowMissingColumns=True), updated
 
 
@@ -77,15 +82,19 @@ def alias(new: DataFrame, findings: DataFrame) -> DataFrame:
         .otherwise(c("gid"))).drop("_decisions", "_best")
 
 
-def reopen(findings: DataFrame, evidence: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Adds ``reopened`` and clears the decision where evidence arrived at least ``cooldown``
-    seconds after the last review, unless the finding is investigated or queued."""
+def reopen(findings: DataFrame, fresh: DataFrame, now: Column, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
+    """Adds ``reopened`` and clears the decision of findings for which new evidence was stored ``now``, at least
+    ``cooldown`` seconds after the last review, unless the finding is investigated or queued.
+
+    ``fresh``: the evidence rows stored in this run. When they arrive counts, not when their events were: a late
+    event reopens as well.
+    """
     c = F.col
-    last = evidence.groupBy(c("gid").alias("id")).agg(F.max("ts").alias("_last"))
+    arrived = fresh.select(c("gid").alias("id")).distinct().withColumn("_fresh", F.lit(True))
     investigated = c("lane_a_done") | c("lane_b_done") | F.coalesce(c("decision") == "rca", F.lit(False))
-    due = F.coalesce(c("_last") - c("reviewed_at") >= cooldown, F.lit(False))
-    marked = findings.join(last, "id", "left").withColumn("reopened", due & ~investigated)
-    return marked.withColumn("decision", F.when(~c("reopened"), c("decision"))).drop("_last")
+    due = F.coalesce(c("_fresh") & (now - c("reviewed_at") >= cooldown), F.lit(False))
+    marked = findings.join(arrived, "id", "left").withColumn("reopened", due & ~investigated)
+    return marked.withColumn("decision", F.when(~c("reopened"), c("decision"))).drop("_fresh")
 
 
 def prioritise(items: DataFrame) -> DataFrame:

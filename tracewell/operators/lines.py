@@ -10,6 +10,7 @@ from tracewell.functions import text as T
 from tracewell.operators import scan
 
 FOLD_LIMIT = 8000
+LINE_LIMIT = 800
 FIRST_SIGHT_BYTES = 200_000
 
 
@@ -74,21 +75,26 @@ def stage_lines(df: DataFrame, now: Column, initial: bool = True, hours: int = 7
     }).drop("_instant", "_status", "_child", "_fresh", "_open", "_chunk")
 
 
-def fold(staged: DataFrame, limit: int = FOLD_LIMIT, chunk_bytes: int = scan.CHUNK_BYTES) -> DataFrame:
+def fold(staged: DataFrame, limit: int = FOLD_LIMIT, chunk_bytes: int = scan.CHUNK_BYTES, line_limit: int | None = LINE_LIMIT) -> DataFrame:
     """One row per record: its text joined with its continuation lines, cut at ``limit`` characters.
 
+    Each line counts with its first ``line_limit`` characters (None: whole), as captured; byte counts stay whole.
+    ``text_truncated`` tells of the join, and of the line itself for a record of one line.
+
     Lines are joined per chunk first and cut there: the beginning of a joined
     text only depends on the beginnings of its parts. Parts that start beyond
     the limit are never collected, so a record of any length stays small.
     """
     c = F.col
-    lines = with_chunks(staged.filter(c("role").isNotNull()), chunk_bytes)
+    lines = with_chunks(staged.filter(c("role").isNotNull()), chunk_bytes).withColumn("_clipped", F.lit(False))
+    if line_limit is not None:
+        lines = lines.withColumns({"_clipped": F.length("text") > line_limit, "text": F.left("text", F.lit(line_limit))})
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("byte_start", "text"))), lambda x: x["text"])
     parts = lines.groupBy("source_path", "parent_start", "_chunk").agg(
         F.left(F.array_join(ordered, "\n"), F.lit(limit)).alias("_part"),
         (F.sum(F.length("text") + 1) - 1).alias("_length"),
         F.sum(c("byte_end") - c("byte_start")).alias("_bytes"),
-        F.max("byte_end").alias("_end"), F.count("*").alias("_lines"),
+        F.max("byte_end").alias("_end"), F.count("*").alias("_lines"), F.max("_clipped").alias("_clipped"),
         F.max(F.when(c("role") != "continuation", F.struct("role", "event_ts", "timestamp_basis", "line_id"))).alias("_head"),
     )
     earlier = Window.partitionBy("source_path", "parent_start").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +102,7 @@ def fold(staged: DataFrame, limit: int = FOLD_LIMIT, chunk_bytes: int = scan.CHU
     wanted = F.collect_list(F.when(c("_before") < limit, F.struct("_chunk", "_part")))
     return begun.groupBy("source_path", "parent_start").agg(
         F.left(F.array_join(F.transform(F.array_sort(wanted), lambda x: x["_part"]), "\n"), F.lit(limit)).alias("text"),
-        (F.sum(c("_length") + 1) - 1 > limit).alias("text_truncated"),
+        F.when(F.sum("_lines") == 1, F.max("_clipped")).otherwise(F.sum(c("_length") + 1) - 1 > limit).alias("text_truncated"),
         F.sum("_bytes").alias("original_text_bytes"), F.max("_end").alias("byte_end"),
         (F.sum("_lines") - 1).alias("children"), F.max("_head").alias("_head"),
     ).select("source_path", c("parent_start").alias("byte_start"), "byte_end", "text", "text_truncated",

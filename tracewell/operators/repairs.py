@@ -48,13 +48,17 @@ def append_only_audit(history: DataFrame) -> DataFrame:
     return with_previous(history).filter(c("previous").isNotNull() & ~kept).select("report_id", "revision")
 
 
+REPAIR_FACTS = ("status", "attempts", "assigned_agent", "checks_passed", "reason", "owner_confirmation")
+
+
 def sync_siblings(reports: DataFrame) -> DataFrame:
     """Copies the repair facts of the latest revision to every report of the same finding and
     episode; each keeps its own diagnosis. One maximum per episode, joined back."""
+    facts = [c for c in REPAIR_FACTS if c in reports.columns]
     newest = reports.groupBy("finding_id", "episode").agg(
-        F.max_by(F.struct("status", "attempts", F.col("report_id").alias("synced_from")), F.struct("revision", "report_id")).alias("_newest"))
-    return reports.drop("status", "attempts").join(newest, ["finding_id", "episode"]).select(
-        *[c for c in reports.columns if c not in ("status", "attempts")], "_newest.*")
+        F.max_by(F.struct(*facts, F.col("report_id").alias("synced_from")), F.struct("revision", "report_id")).alias("_newest"))
+    return reports.drop(*facts).join(newest, ["finding_id", "episode"]).select(
+        *[c for c in reports.columns if c not in facts], "_newest.*")
 
 
 def episodes(incidents: DataFrame, evidence: DataFrame, batches: DataFrame) -> DataFrame:

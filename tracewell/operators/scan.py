@@ -61,6 +61,17 @@ def global_order(df: DataFrame, order: list[Column], partitions: int | None = No
     }).drop("_id")
 
 
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` (a whole number) up to each row in a global order, from per-partition sums. Runs a job."""
+    placed = global_order(df.withColumn("_value", value.cast("bigint")), order)
+    sums = placed.groupBy("_pid").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sums.select("_pid", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_pid").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_offset") + F.sum("_value").over(inside))
+    return summed.drop("_pid", "_row", "_value", "_offset")
+
+
 def global_position(df: DataFrame, order: list[Column], out: str = "position", partitions: int | None = None) -> DataFrame:
     """1-based row number in a global order, from per-partition counts instead of one big window."""
     placed = global_order(df, order, partitions)

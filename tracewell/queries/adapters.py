@@ -111,10 +111,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A single small input file would keep all but one core idle; larger inputs are left alone."""
-    lanes = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(lanes) if df.rdd.getNumPartitions() < lanes else df
+def spread(df: DataFrame, key: str = "line_id") -> DataFrame:
+    """Spreads rows by a unique key, whatever files they came from."""
+    return df.repartition(key)
 
 
 _STAGED: dict[tuple[str, str, str], str] = {}

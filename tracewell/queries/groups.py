@@ -84,10 +84,10 @@ def merge_increment(spark, folder):
     return _show(G.flat(G.merge_increment(prior, late, now())))
 
 
-@query("grp_exact_duplicates", d.with_lines("""SELECT host, profile, text, count(*) AS occurrence_count, min(byte_start) AS first_seen, max(byte_start) AS last_seen
-    FROM lines GROUP BY host, profile, text"""))
+@query("grp_exact_duplicates", d.with_lines("""SELECT host, profile, source_path, text, count(*) AS occurrence_count, arg_min(stamp, byte_start) AS first_seen, arg_max(stamp, byte_start) AS last_seen
+    FROM lines GROUP BY host, profile, source_path, text"""))
 def exact_duplicates(spark, folder):
-    return G.compact(adapters.lines(spark, folder), ["host", "profile", "text"], "byte_start")
+    return G.compact(adapters.lines(spark, folder), ["host", "profile", "source_path", "text"], "stamp", "byte_start")
 
 
 @query("agg_severity_totals", with_store("SELECT host, severity, count(*) AS n FROM flat GROUP BY host, severity"))
@@ -150,9 +150,9 @@ def batch_headers(spark, folder):
 
 
 @query("pack_budget_prefix", with_store(f"""SELECT fingerprint, used_bytes FROM (SELECT fingerprint,
-    CAST(sum(length(normalized_text)) OVER (ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_bytes FROM flat WHERE length(normalized_text) > 0) WHERE used_bytes <= 12000"""))
+    CAST(sum(length(normalized_text)) OVER (ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_bytes FROM flat) WHERE used_bytes <= 12000"""))
 def budget_prefix(spark, folder):
-    rows = flat(spark, folder).filter(F.length("normalized_text") > 0).select("fingerprint", "severity", "last_at", "n", "normalized_text")
+    rows = flat(spark, folder).select("fingerprint", "severity", "last_at", "n", "normalized_text")
     return K.fit_prefix(rows, K.batch_order(), F.octet_length("normalized_text"), 12_000).select("fingerprint", "used_bytes")
 
 

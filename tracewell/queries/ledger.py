@@ -44,17 +44,25 @@ _NEW = """stored AS (SELECT * FROM evidence WHERE line_id % 3 = 0), known AS (SE
  opening AS (SELECT gid, arg_min(severity = 'ignore' OR record_role = 'continuation', {'a': ts, 'b': id}) AS quiet FROM fresh GROUP BY gid)"""
 
 
-@query("join_new_evidence", sql("""SELECT coalesce(k.id, o.gid) AS id, CASE WHEN k.id IS NULL AND o.quiet THEN 'ignore'
-    WHEN k.id IS NOT NULL AND k.decision IS NULL AND coalesce(k.id, o.gid) IN (SELECT gid FROM evidence WHERE severity = 'tracked') THEN 'tracked' ELSE k.decision END AS decision,
-    (SELECT count(*) FROM evidence) AS stored FROM known k FULL JOIN opening o ON o.gid = k.id""", _NEW))
+@query("join_new_evidence", sql("""SELECT id, CASE WHEN tracks THEN 'tracked' ELSE started END AS decision, tracks AS investigated FROM (
+    SELECT *, started IS NULL AND coalesce(sightings, 0) >= CASE WHEN existing THEN 1 ELSE 2 END AS tracks FROM (
+      SELECT coalesce(k.id, o.gid) AS id, k.id IS NOT NULL AS existing, CASE WHEN k.id IS NULL AND o.quiet THEN 'ignore' ELSE k.decision END AS started, t.sightings
+      FROM known k FULL JOIN opening o ON o.gid = k.id LEFT JOIN (SELECT gid, count(*) + count(*) FILTER (WHERE line_id % 2 = 0) AS sightings
+        FROM evidence WHERE severity = 'tracked' GROUP BY gid) t ON t.gid = coalesce(k.id, o.gid)))""", _NEW))
 def join_new_evidence(spark, folder):
     evidence, findings = _tables(spark, folder, "evidence", "findings")
     stored = evidence.filter("line_id % 3 = 0")
     known = findings.join(stored.select(F.col("gid").alias("id")).distinct(), "id", "left_semi")
-    # The whole table is offered, twice over: a replay adds nothing.
-    all_rows, updated = O.ingest(stored, known, evidence.union(evidence))
-    total = all_rows.agg(F.count("*").alias("n")).first()["n"]
-    return updated.select("id", "decision", F.lit(total).cast("bigint").alias("stored"))
+    # The table is offered with a part of it twice: a tracked row counts each time, storing does not repeat.
+    return O.ingest(stored, known, evidence.union(evidence.filter("line_id % 2 = 0")))[1].select("id", "decision", "investigated")
+
+
+@query("agg_stored_evidence", sql("SELECT count(*) AS stored, count(DISTINCT id) AS ids FROM evidence"))
+def stored_evidence(spark, folder):
+    """A replay of rows that are stored, and of rows offered twice, stores each once."""
+    evidence, findings = _tables(spark, folder, "evidence", "findings")
+    rows = O.ingest(evidence.filter("line_id % 3 = 0"), findings, evidence.union(evidence))[0]
+    return rows.agg(F.count("*").alias("stored"), F.countDistinct("id").alias("ids"))
 
 
 _KEYED = """keyed AS (SELECT *, md5(concat('k', CAST(seq % 400 AS STRING))) AS canonical_key FROM findings),
@@ -75,12 +83,12 @@ def alias_findings(spark, folder):
     return O.alias(new, keyed).select("id", "gid")
 
 
-@query("win_cooldown_reopen", sql("""SELECT f.id, due AS reopened, CASE WHEN NOT due THEN decision END AS decision FROM
-    (SELECT f.*, coalesce(l.last_ts - f.reviewed_at >= 3600, false) AND NOT (lane_a_done OR lane_b_done OR coalesce(decision = 'rca', false)) AS due
-     FROM findings f LEFT JOIN (SELECT gid, max(ts) AS last_ts FROM evidence GROUP BY gid) l ON l.gid = f.id) f"""))
+@query("win_cooldown_reopen", sql(f"""SELECT f.id, due AS reopened, CASE WHEN NOT due THEN decision END AS decision FROM
+    (SELECT f.*, coalesce(l.gid IS NOT NULL AND {NOW_S} - f.reviewed_at >= 3600, false) AND NOT (lane_a_done OR lane_b_done OR coalesce(decision = 'rca', false)) AS due
+     FROM findings f LEFT JOIN (SELECT DISTINCT gid FROM evidence WHERE line_id % 3 = 1) l ON l.gid = f.id) f"""))
 def cooldown_reopen(spark, folder):
     evidence, findings = _tables(spark, folder, "evidence", "findings")
-    return O.reopen(findings, evidence).select("id", "reopened", "decision")
+    return O.reopen(findings, evidence.filter("line_id % 3 = 1"), F.lit(NOW_S)).select("id", "reopened", "decision")
 
 
 _LABEL = f"CASE WHEN {d.has('bare', P.SERIOUS[0][1])} THEN '{P.SERIOUS[0][0]}' WHEN {d.has('bare', P.SERIOUS[1][1])} THEN '{P.SERIOUS[1][0]}' END"
@@ -222,14 +230,15 @@ def subset_covered(spark, folder):
 
 _CLAIMS = """claims AS (SELECT c.finding_id AS history_finding, c.scope_key AS history_scope_key, f.id AS finding_id, c.history_id AS relationship_history_id, c.concrete,
    CASE WHEN c.history_id % 4 = 0 THEN md5('other') ELSE c.scope_key END AS scope_key,
-   CASE WHEN c.history_id % 3 = 0 THEN concat('same mechanism as ', f.id, ' was shown by the second check') WHEN c.history_id % 3 = 1 THEN concat('possibly the same problem as ', f.id)
+   CASE WHEN c.history_id % 6 = 0 THEN concat(f.id, ' was seen again; same mechanism as ', f.id, ' was shown by the second check')
+        WHEN c.history_id % 3 = 0 THEN concat('same mechanism as ', f.id, ' was shown by the second check') WHEN c.history_id % 3 = 1 THEN concat('possibly the same problem as ', f.id)
         ELSE concat('same mechanism as ', c.finding_id, ' was shown by the second check') END AS quote
   FROM coverage c JOIN findings f ON f.seq = c.history_id)"""
 
 
 @query("join_relation_citation", sql(f"""SELECT relationship_history_id, coalesce(scope_key = history_scope_key AND concrete AND h.finding_id IN (c.finding_id, history_finding)
     AND length(quote) BETWEEN 30 AND 3000 AND contains(h.report_text, quote) AND contains(quote, other) AND NOT {d.has('quote', P.RELATION_HEDGE)}
-    AND regexp_matches(substr(quote, 1, greatest(strpos(quote, other) - 1, 0)), {d.q(P.RELATION_CLAIM + '[^' + chr(92) + 'n]{0,250}' + chr(92) + 'z')}), false) AS holds
+    AND regexp_matches(quote, {d.q(P.RELATION_CLAIM + '[^' + chr(92) + 'n]{0,250}')} || other), false) AS holds
     FROM (SELECT c.*, CASE WHEN h.finding_id = history_finding THEN c.finding_id ELSE history_finding END AS other FROM claims c LEFT JOIN history h ON h.id = c.relationship_history_id) c
     LEFT JOIN history h ON h.id = c.relationship_history_id""", _CLAIMS))
 def relation_citation(spark, folder):
@@ -374,11 +383,13 @@ def append_only_audit(spark, folder):
     return RP.append_only_audit(repairs(spark, folder))
 
 
-@query("join_sibling_sync", sql("""SELECT r.report_id, CAST(r.revision AS BIGINT) AS revision, n.status, n.report_id AS synced_from FROM repairs r JOIN
+@query("join_sibling_sync", sql("""SELECT r.report_id, CAST(r.revision AS BIGINT) AS revision, n.status, n.report_id AS synced_from, n.attempt_list AS attempts, n.assigned_agent,
+    n.checks_passed, n.reason, n.owner_confirmation FROM repairs r JOIN
     (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_id, episode ORDER BY revision DESC, report_id DESC) AS rn FROM repairs) WHERE rn = 1) n
     ON n.finding_id = r.finding_id AND n.episode = r.episode"""))
 def sibling_sync(spark, folder):
-    return RP.sync_siblings(repairs(spark, folder)).select("report_id", "revision", "status", "synced_from")
+    return RP.sync_siblings(repairs(spark, folder)).select(
+        "report_id", "revision", "status", "synced_from", F.array_join("attempts", ",").alias("attempts"), "assigned_agent", "checks_passed", "reason", "owner_confirmation")
 
 
 @query("join_recurrence_episode", sql("""SELECT finding_id, CASE WHEN again THEN 'open' ELSE status END AS status, CAST(episode + CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS episode, again AS recurred FROM

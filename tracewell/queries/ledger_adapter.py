@@ -44,7 +44,7 @@ _HISTORY = """
       '## Timeline', chr(10), 'Seen first at noon.', chr(10), '## Facts', chr(10), 'The log says so.', chr(10), CASE WHEN f.seq % 5 = 0 THEN '' ELSE concat('## Checks', chr(10), 'Two checks were run.', chr(10)) END,
       '## Root cause', chr(10), CASE f.seq % 3 WHEN 0 THEN 'The mechanism is undetermined.' WHEN 1 THEN 'The root cause was identified as a full disk.' ELSE 'A disk was full.' END, chr(10),
       '## Proposed fix', chr(10), 'Free the disk.', chr(10), '## Risks', chr(10), 'None known.', chr(10), CASE WHEN f.seq % 4 = 0 THEN '' ELSE concat('## Rollback', chr(10), 'Restore.', chr(10)) END,
-      '## Verification', chr(10), 'same mechanism as ', f.id, ' was shown by the second check of this report') AS report_text, f.seq AS seq
+      '## Verification', chr(10), f.id, ' was seen again; same mechanism as ', f.id, ' was shown by the second check of this report') AS report_text, f.seq AS seq
   FROM findings f WHERE f.seq % 7 IN (2, 3, 6) AND f.seq % 2 = 0
 """
 _COVERAGE = """

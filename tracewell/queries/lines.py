@@ -176,7 +176,8 @@ def record_roles(spark, folder):
 
 
 @query("win_fold_continuations", d.with_lines("""SELECT source_path, parent_start AS byte_start, max(byte_end) AS byte_end,
-    md5(substr(string_agg(text, chr(10) ORDER BY byte_start), 1, 8000)) AS text_md5, length(string_agg(text, chr(10))) > 8000 AS text_truncated,
+    md5(substr(string_agg(substr(text, 1, 800), chr(10) ORDER BY byte_start), 1, 8000)) AS text_md5,
+    CASE WHEN count(*) = 1 THEN max(length(text)) > 800 ELSE length(string_agg(substr(text, 1, 800), chr(10))) > 8000 END AS text_truncated,
     CAST(sum(byte_end - byte_start) AS BIGINT) AS original_text_bytes, count(*) - 1 AS children, max(CASE WHEN role = 'parent' THEN line_id END) AS line_id
     FROM records WHERE role IS NOT NULL GROUP BY source_path, parent_start""", ROLES))
 def fold_continuations(spark, folder):
@@ -195,7 +196,7 @@ def fold_conversations(spark, folder):
         F.col("conv_id").cast("string").alias("source_path"), F.col("turn").alias("byte_start"), (F.col("turn") + 1).alias("byte_end"),
         "text", "parent_start", F.col("turn").alias("line_id"), F.lit(None).cast("timestamp").alias("event_ts"), F.lit("text").alias("timestamp_basis"),
         F.when(F.col("turn") == F.col("parent_start"), "parent").otherwise("continuation").alias("role"))
-    return L.fold(rows, chunk_bytes=2).select(
+    return L.fold(rows, chunk_bytes=2, line_limit=None).select(
         "source_path", F.col("byte_start").alias("first_turn"), "children", F.md5("text").alias("text_md5"), "text_truncated")
 
 

@@ -70,7 +70,7 @@ def stream_groups(spark, folder):
 
 
 @query("stream_fold", d.with_lines("""SELECT source_path, parent_start AS byte_start, max(byte_end) AS byte_end,
-    md5(substr(string_agg(text, chr(10) ORDER BY byte_start), 1, 8000)) AS text_md5, count(*) - 1 AS children FROM records WHERE role IS NOT NULL GROUP BY source_path, parent_start""", QL.ROLES))
+    md5(substr(string_agg(substr(text, 1, 800), chr(10) ORDER BY byte_start), 1, 8000)) AS text_md5, count(*) - 1 AS children FROM records WHERE role IS NOT NULL GROUP BY source_path, parent_start""", QL.ROLES))
 def stream_fold(spark, folder):
     # Files hold whole sources, as rotated logs do.
     frame = adapters.stage(spark, folder, "lines_by_source", lambda: adapters.lines(spark, folder).repartition(8, "source_path"))

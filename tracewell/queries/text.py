@@ -265,7 +265,7 @@ REDACT_STEPS = [*T.REDACTIONS, (P.KEYED_SECRET, "$1=<REDACTED>")]
 @query("fn_redact_secrets", f"""SELECT doc_id, md5({d.subs('text', REDACT_STEPS)}) AS redacted_md5,
     CAST(len(regexp_extract_all({d.subs('text', REDACT_STEPS)}, '<REDACTED>')) AS BIGINT) AS hits FROM documents""")
 def redact_secrets(spark, folder):
-    safe = adapters.spread(adapters.table(spark, folder, "documents")).select("doc_id", T.redact(F.col("text")).alias("safe"))
+    safe = adapters.spread(adapters.table(spark, folder, "documents"), "doc_id").select("doc_id", T.redact(F.col("text")).alias("safe"))
     return safe.select("doc_id", F.md5("safe").alias("redacted_md5"),
                        F.size(F.regexp_extract_all("safe", F.lit("<REDACTED>"), F.lit(0))).cast("bigint").alias("hits"))
 
@@ -293,7 +293,7 @@ def normalize_template(spark, folder):
 @query("fn_normalize_documents", "WITH tmpl_in AS (SELECT * FROM documents), " + template_sql("text", "doc_id % 2 = 0")
        + " SELECT doc_id, md5(normalized_text) AS template_md5 FROM templated")
 def normalize_documents(spark, folder):
-    rows = T.add_template(adapters.spread(adapters.table(spark, folder, "documents")), F.col("text"), F.col("doc_id") % 2 == 0)
+    rows = T.add_template(adapters.spread(adapters.table(spark, folder, "documents"), "doc_id"), F.col("text"), F.col("doc_id") % 2 == 0)
     return rows.select("doc_id", F.md5("normalized_text").alias("template_md5"))
 
 
