@@ -1,6 +1,7 @@
 """Files in the folder that the driver and all executors share, and the session settings of this subpackage."""
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from pathlib import Path
@@ -32,9 +33,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{session.shared_dir(spark).rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps.
+
+    Its cleaner does so when the driver has collected the objects that stood for them, which may be far later; the
+    steps here end in written tables, so nothing reads those files again.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: a fixed result that survives lost executors."""
     spark = df.sparkSession
+    release(spark)
     folder = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
