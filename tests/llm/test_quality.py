@@ -97,3 +97,22 @@ def test_crf_odd(spark, odd_docs, no_docs):
     assert line_crf.keep_good(odd_docs, none).columns == odd_docs.columns
     bare = quality.train(odd_docs, labels.limit(0))
     assert {r.probability for r in quality.score(odd_docs, bare).collect()} == {0.5}
+
+
+def test_crf_long_labelled_text(spark, monkeypatch):
+    """A labelled text above the size, first in hash order, costs the sample that text and no other; short ones fill it."""
+    from pyspark.sql import functions as F
+    ids = [r.doc_id for r in spark.range(40).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id")).collect()]
+    text = lambda i: f"A plain sentence number {i}.\nAnother one follows it." if i % 2 else f"$$ ## {i} || <<\n$$ $$ ##"
+    rows = [(i, text(i)) for i in ids]
+    rows[0] = (ids[0], "long " * (1 + line_crf.SAMPLE_BYTES // 5))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in line_crf.score(docs, line_crf.train(docs, labels)).collect()}
+    assert len(score) == 40
+    assert min(score[i] for i in ids[1:] if i % 2) > 0.6 > 0.4 > max(score[i] for i in ids[1:] if not i % 2)
+    # a text that does not fit any more is passed over, and later ones are still used
+    monkeypatch.setattr(line_crf, "SAMPLE_BYTES", 10)
+    assert line_crf._fill([{"doc_id": i, "label": 1, "_bytes": n} for i, n in enumerate((6, 5, 3, 2, 1))]) == [(0, 1), (2, 1), (4, 1)]
+    with pytest.raises(ValueError):
+        line_crf.train(docs.where(F.col("doc_id") == ids[0]), labels)

@@ -20,6 +20,7 @@ from tracewell.llm.words import BYTE_VALUE, Texts, buffers, mix, range_hashes, s
 
 SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
 SAMPLE_BYTES = 16 << 20  # and their bytes, at most, for the one task that fits the model
+TEXT_BYTES = 1 << 20  # a labelled document with more is not learned from; it is scored like any other
 THRESHOLD = 0.3
 GRAMS = 1 << 13
 STEPS = 60
@@ -196,12 +197,16 @@ def fit(texts: Texts, label: np.ndarray, steps: int = STEPS) -> Model:
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on a bounded sample of labelled rows for which ``allowed`` (on labels) holds; a fifth of it calibrates.
 
-    Texts are taken in the order of a hash of their id until SAMPLE_BYTES are reached; a text is used whole or not at
-    all. Without labelled rows every text scores one half.
+    Documents are drawn in the order of a hash of their id among those of at most TEXT_BYTES; each is used whole if it
+    still fits into SAMPLE_BYTES, else the next is tried. Sizes are known before any text is gathered. Without labelled
+    documents every text scores one half; if there are some and all are too long, that is an error.
     """
-    sample = training.labelled(docs, labels, sample_rows, allowed)
-    running = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(_by_hash())
-    rows = sample.withColumn("_bytes", running).where(F.col("_bytes") <= SAMPLE_BYTES).select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("_bytes"))
+    drawn = training.drawn(labels, sample_rows, allowed, sizes, F.col("_bytes") <= TEXT_BYTES).collect()
+    if not drawn and training.drawn(labels, 1, allowed, sizes).count():
+        raise ValueError(f"each labelled document has more than {TEXT_BYTES} bytes")
+    chosen = docs.sparkSession.createDataFrame(_fill(drawn), "doc_id bigint, label int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
     label = np.array(rows.column("label").to_pylist(), float)
     if not len(label):
         return Model(np.zeros(UNARY), np.zeros(GRAMS), np.zeros((2, 2)), 1.0, 0.0)
@@ -219,9 +224,14 @@ def _one(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _by_hash():
-    from pyspark.sql import Window
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+def _fill(drawn: list) -> list[tuple[int, int]]:
+    """(doc_id, label) of the documents that fit into SAMPLE_BYTES one after another; one that does not is passed over."""
+    left, out = SAMPLE_BYTES, []
+    for r in drawn:
+        if r["_bytes"] <= left:
+            left -= r["_bytes"]
+            out.append((r["doc_id"], r["label"]))
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,14 +12,20 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, allowed: Column | No
     Labels other than 0 and 1 and null ids are left out; of several labels for one id the smaller holds. The sample of
     ids is bounded by ``rows``, so it may be broadcast; documents are read whole.
     """
+    return docs.select("doc_id", "text").join(F.broadcast(drawn(labels, rows, allowed, label=label)), "doc_id")
+
+
+def drawn(labels: DataFrame, rows: int, allowed: Column | None = None, sizes: DataFrame | None = None, fits: Column | None = None,
+          label: str = "quality") -> DataFrame:
+    """doc_id and label of at most ``rows`` labelled ids in the order of a hash; with ``sizes`` (doc_id and more columns)
+    of those in it for which ``fits`` holds, with its columns."""
     kept = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if allowed is not None:
         kept = kept.where(allowed)
-    drawn = (
-        kept.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    kept = kept.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    if sizes is not None:
+        kept = kept.join(sizes if fits is None else sizes.where(fits), "doc_id")
+    return kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
