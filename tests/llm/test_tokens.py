@@ -157,3 +157,37 @@ def test_long_merge():
     table = byte_bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     pieces = [b"a" * 300, b"ab" * 170, bytes(range(128, 256)), "über".encode() * 90, b"x"]
     assert [table.merge_long(p) for p in pieces] == table.merge_all(pieces)
+
+
+MARKED = ["a <|endoftext|> b", "a <|startoftext|> b", "<|endoftext|><|startoftext|>", "  <|endoftext|>  x \n<|startoftext|>\n", "a  <|endoftext|>",
+          "<|ENDOFTEXT|> <|endoftext| >", "<|end<|endoftext|>oftext|>", "e\u0301<|startoftext|>\u0301e don<|endoftext|>'t", "no mark"]
+
+
+def by_default(name):
+    found = Tokenizer.from_file(P.path(name))
+    return lambda text: found.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens(spark, tmp_path):
+    """The queries and the last stage give the library's default ids for texts that name special tokens."""
+    import random
+
+    import corpus_pipeline
+    rnd = random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", " ", "  ", "\n", "a", "The", "'s", "<|", "|>", "7", "é", "\t", "\u00a0"]
+    texts = MARKED + ["".join(rnd.choices(bits, k=rnd.randint(1, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    encode, start = by_default("byte_bpe_50k.json"), 0
+    for r in queries.QUERIES["op9_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = encode(texts[r.doc_id]) + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+    want = [by_default("word_bpe_49k.json")(t) + [1] for t in texts]
+    rows = queries.QUERIES["op6_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(range(len(texts)))
+    assert all((r.doc_tokens, r.ids_crc32) == (len(want[r.doc_id]), crc(want[r.doc_id][r.start:r.start + r.length])) for r in rows)
+    again = {}
+    for r in sorted(corpus_pipeline.packed(spark, docs, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start)):
+        again.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert again == dict(enumerate(want))

@@ -3,6 +3,9 @@
 A cut before a space that a non-space follows never divides a pre-token of these vocabularies: a run of white space
 gives its last space to the word behind it, and the other pre-tokens hold no space inside. So the ids of a text are
 those of its pieces in order. Only pieces not seen before go through the library.
+
+With ``special`` the names of special tokens inside a text become their ids, as in the library by default: it divides a
+text at them before anything else, so the parts between are encoded like texts. Else they are ordinary text.
 """
 from __future__ import annotations
 
@@ -31,9 +34,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names inside a text are ordinary text
+        self.library.encode_special_tokens = True  # names of special tokens do not reach it unless they are ordinary text
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
+        marks = {i: x for i, x in self.library.get_added_tokens_decoder().items() if x.special}
+        self.plain_marks = not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in marks.values())
+        self.mark_ids = {x.content: array(self.code, [i]).tobytes() for i, x in marks.items()}
+        names = sorted(self.mark_ids, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.inner: dict[str, bytes] = {}  # pieces behind a space
         self.head: dict[str, bytes] = {}  # pieces at the start of a text
 
@@ -44,8 +52,14 @@ class Encoder:
             cache.update(zip(part, (array(self.code, x.ids).tobytes() for x in found)))
         return [x for x in pieces if len(x) > LONG]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], special: bool = False) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
+        if special and self.marks and any(map(self.marks.search, texts)):
+            if not self.plain_marks:
+                raise ValueError("special tokens that take in white space or are normalized are not supported")
+            parts = [self.marks.split(x) for x in texts]  # every second one is a name
+            between = iter(self.encode([y for x in parts for y in x[::2]]))
+            return [b"".join(self.mark_ids[y] if i % 2 else next(between) for i, y in enumerate(x)) for x in parts]
         if len(self.inner) + len(self.head) > KEEP:
             self.inner.clear()
             self.head.clear()

@@ -21,7 +21,7 @@ PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequen
 BLOCK_TOKENS = 2 << 20
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, end_id: int, special: bool = False) -> DataFrame:
     """Token ids per document (end id included, 16 or 32 bits each) with its place in its partition."""
     def run(batches):
         coder = bpe_cache.encoder(vocabulary)
@@ -30,7 +30,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         for batch in batches:
             texts = shared.text_column(batch, "text")
             for a, b, _ in slices(texts):
-                ids = [x + end for x in coder.encode(texts[a:b].to_pylist())]
+                ids = [x + end for x in coder.encode(texts[a:b].to_pylist(), special)]
                 sizes = np.array([len(x) // coder.width for x in ids], np.int64)
                 places = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())
@@ -41,15 +41,15 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = 2048, special: bool = False) -> DataFrame:
     """Pieces of all documents with their ids (32-bit little-endian), sequence and offset in it.
 
     ``start`` counts the document's ids before the piece, ``doc_tokens`` all of them with the end id; ``goes_on`` says
     that the document continues in the next sequence. A null text is empty and still holds the end id. Repeated
     doc_ids are packed as they come; other columns are not read. Which document stands where follows the partitions of
-    the input; the staged first pass fixes it.
+    the input; the staged first pass fixes it. With ``special`` names of special tokens in a text become their ids.
     """
-    encoded = shared.stage(encode(docs, vocabulary, end_id), "packing")
+    encoded = shared.stage(encode(docs, vocabulary, end_id, special), "packing")
     parts = encoded.groupBy("part").agg(F.sum("n_tokens").alias("_tokens"))
     bases = shared.prefix_base(parts, "part", F.col("_tokens"), "base").select("part", "base")
 

@@ -69,7 +69,7 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_packing")
 def pack(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048, special=True)
     return pieces.select("doc_id", "start", "length", crc32_of("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -83,7 +83,7 @@ def byte_level(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_token_files")
 def files_of_ids(spark: SparkSession, folder: str) -> DataFrame:
-    parts = token_files.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    parts = token_files.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, special=True)
     return token_files.read(parts).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
 
 

@@ -28,11 +28,12 @@ BLOCK = 8 << 20
 _FIELDS = 4
 
 
-def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, special: bool = False) -> DataFrame:
     """Writes the files and returns the table of parts with ``base``, the tokens of all parts before.
 
     Ascending doc_id; null ids first, equal ids by their text's hash. A null text counts as empty: it holds the end id
-    alone. Only ``doc_id`` and ``text`` are read. An empty table writes no tokens.
+    alone. Only ``doc_id`` and ``text`` are read. An empty table writes no tokens. With ``special`` names of special tokens
+    in a text become their ids.
     """
     spark = docs.sparkSession
     folder = folder or shared.scratch(spark, "token-files")
@@ -51,7 +52,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             for batch in batches:
                 names, texts = batch.column(0), shared.text_column(batch, "text")
                 for a, b, _ in slices(texts):
-                    for name, ids in zip(names[a:b].to_pylist(), coder.encode(texts[a:b].to_pylist())):
+                    for name, ids in zip(names[a:b].to_pylist(), coder.encode(texts[a:b].to_pylist(), special)):
                         n = len(ids) // coder.width + 1
                         index.append((name or 0, total, n, name is not None))
                         total += n
