@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, line_crf, neighbours, packing, quality, shared, shingle_join, substring_dedup, suffix_tree, token_files, url_rules
+from tracewell.llm import (
+    byte_bpe, lexical_search, line_crf, neighbours, packing, quality, secret_scan, shared, shingle_join, substring_dedup, suffix_tree, token_files, url_rules,
+    vector_codes)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +138,91 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     index = neighbours.build(vectors)
     return neighbours.search(index, vectors.where("vec_id % 50 = 0"), k=5).withColumnRenamed("id", "vec_id")
+
+
+# ------------------------------------------------------------------ secrets
+
+def listed(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op11_secret_scan")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+
+    def of(*kinds: str) -> F.Column:
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*secret_scan.BASE)).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+# ------------------------------------------------------------------ ranked search
+
+SEARCH_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, terms FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents)
+  WHERE len(terms) > 0),
+asked AS (
+  SELECT i, item_id, term, count(*) AS repeats FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))
+  GROUP BY i, item_id, term),
+stats AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM docs),
+tf AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY d, term),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+gain AS (
+  SELECT d, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms)::BIGINT * docs) // total)) AS gain
+  FROM tf JOIN docs USING (d), stats),
+scored AS (
+  SELECT i, item_id, d, doc_id, sum(w * repeats * gain)::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN gain USING (term) GROUP BY i, item_id, d, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, d) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_search", SEARCH_SQL)
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# ------------------------------------------------------------------ vector codes
+
+_NEAREST = """
+a{n} AS (SELECT r, p, entry, gap FROM (
+    SELECT r, p, entry, sum((x - c) * (x - c))::BIGINT AS gap FROM x JOIN b{n} USING (p, j) GROUP BY r, p, entry)
+  QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY gap, entry) = 1),"""
+_MOVED = """
+b{m} AS (SELECT p, entry, j, coalesce(moved, c) AS c FROM b{n} LEFT JOIN (
+    SELECT p, entry, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS moved FROM x JOIN a{n} USING (r, p) GROUP BY p, entry, j) USING (p, entry, j)),"""
+
+CODES_SQL = """
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS (
+  SELECT r, (i - 1) // (n // 16) AS p, (i - 1) % (n // 16) AS j, floor(256 * e::DOUBLE)::BIGINT AS x
+  FROM (SELECT r, unnest(v) AS e, generate_subscripts(v, 1) AS i, len(v) AS n FROM k)),
+b0 AS (SELECT p, r AS entry, j, x AS c FROM x WHERE r < 64),""" + (
+    _NEAREST.format(n=0) + _MOVED.format(n=0, m=1) + _NEAREST.format(n=1) + _MOVED.format(n=1, m=2) + _NEAREST.format(n=2)) + """
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, entry, j)) FROM b2) AS codebooks_sha256
+FROM coded JOIN k USING (r)
+"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def vector_compression(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))

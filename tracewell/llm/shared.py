@@ -77,6 +77,14 @@ def write_once(store: fs.FileSystem, path: str, chunks) -> None:
     store.move(attempt, path)
 
 
+def free_name(columns, wanted: str) -> str:
+    """``wanted``, or with underscores before it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as text without nulls."""
     column = batch.column(batch.schema.get_field_index(name))
