@@ -4,63 +4,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 64 * 1024
+from tracewell.sources import ranges
+
 FIRST_LINE_BYTES = 128 * 1024 + 1
 MAX_EXCERPT = 128 * 1024
 
 
-def blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """path, block, bytes: files as binaryFile reads them, cut into equal pieces."""
-    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / block_bytes)
-    return files.select("path", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).select(
-        "path", "block", F.substring("content", F.col("block").cast("int") * block_bytes + 1, F.lit(block_bytes)).alias("bytes"))
-
-
 def _clipped(text: Column, size: int) -> Column:
-    raw = F.encode(text, "UTF-8")
-    return F.decode(F.substring(raw, F.lit(1), F.lit(size)), "UTF-8")
+    """The first ``size`` bytes of a text; a character cut in two becomes the replacement character."""
+    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), F.lit(1), F.lit(size)).cast("string"))
 
 
-def excerpt(evidence: DataFrame, files: DataFrame, max_bytes: int = 8192, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def excerpt(evidence: DataFrame, max_bytes: int = 8192) -> DataFrame:
     """Adds excerpt, excerpt_status, excerpt_truncated and verified to evidence.
 
-    Needs id, source_path, byte_start, byte_end, text, content_hash, cursor and
-    boot_id. Evidence is joined to the few blocks its range touches, not to
-    whole files, so a file that most evidence points into is still spread out.
+    Needs id, source_path, byte_start, byte_end, text, cursor, boot_id, and the identity kept at capture: content_hash (of the
+    first line), inode and dev; nulls were not kept. ``verified`` is null if nothing was. Only the files that evidence
+    points into are opened, and only its bytes are fetched (see ``ranges``): nothing is listed or scanned.
     """
     if not 1 <= max_bytes <= MAX_EXCERPT:
         raise ValueError("the excerpt budget must be 1 to 131072 bytes")
     c = F.col
     span = F.when(c("byte_end") > c("byte_start"), c("byte_end") - c("byte_start")).otherwise(max_bytes)
-    # The first line is also needed, to compare its hash with the captured one.
-    wanted = F.greatest(F.least(span, F.lit(max_bytes)), F.when(c("content_hash").isNotNull(), FIRST_LINE_BYTES).otherwise(0))
     journal = (c("source_path") == "journald") | c("cursor").isNotNull() | c("boot_id").isNotNull()
-    asked = evidence.filter(~F.coalesce(journal, F.lit(False))).select(
-        "id", c("source_path").alias("path"), "byte_start",
-        F.explode(F.sequence(F.floor(c("byte_start") / block_bytes), F.floor((c("byte_start") + wanted - 1) / block_bytes))).alias("block"))
-    found = asked.join(blocks(files, block_bytes), ["path", "block"])
-    # At most four blocks per evidence row.
-    whole = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "bytes"))).alias("_blocks"))
-    sizes = files.select(c("path").alias("source_path"), c("length").alias("_size"))  # from the listing, contents unread
-    joined = evidence.join(whole, "id", "left").join(sizes, "source_path", "left")
-    data = F.aggregate("_blocks", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["bytes"]))
-    skip = c("byte_start") - c("_blocks")[0]["block"] * block_bytes
-    sliced = F.substring(data, (skip + 1).cast("int"), wanted.cast("int"))
-    staged = joined.withColumn("_slice", F.when(c("_blocks").isNotNull(), sliced))
-    # Work on Latin-1 text so that one character is one byte.
-    first_line = F.regexp_replace(F.substring_index(F.decode("_slice", "ISO-8859-1"), "\n", 1), r"\r+\z", "")
-    hashed = F.sha2(F.encode(first_line, "ISO-8859-1"), 256)
-    staged = staged.withColumn("verified", F.when(c("content_hash").isNotNull(), F.coalesce(hashed == c("content_hash"), F.lit(False))))
+    asked = evidence.filter(~F.coalesce(journal, F.lit(False)) & (F.coalesce("source_path", F.lit("")) != "")).select(
+        c("id").cast("string").alias("id"), c("source_path").alias("path"), "byte_start", F.least(span, F.lit(max_bytes)).cast("bigint").alias("wanted"),
+        c("content_hash").isNotNull().alias("hashed"))
+    found = ranges.read_records(asked, FIRST_LINE_BYTES).select(
+        c("id").alias("_id"), c("size").alias("_size"), c("inode").alias("_inode"), c("dev").alias("_dev"), c("first_line_hash").alias("_hash"),
+        c("data").alias("_data"), c("readable").alias("_readable"))
+    joined = evidence.join(found, c("id").cast("string") == c("_id"), "left")
+    kept = c("content_hash").isNotNull() | c("inode").isNotNull() | c("dev").isNotNull()
+    same_file = c("_inode").eqNullSafe(c("inode")) & c("_dev").eqNullSafe(c("dev"))
+    # a store without inodes cannot disprove one
+    same_file = F.when(c("inode").isNull() & c("dev").isNull(), True).when(c("_size").isNotNull() & c("_inode").isNull(), True).otherwise(same_file)
+    holds = c("_size").isNotNull() & (c("content_hash").isNull() | F.coalesce(c("_hash") == c("content_hash"), F.lit(False))) & same_file
+    staged = joined.withColumn("verified", F.when(kept & ~F.coalesce(journal, F.lit(False)), F.coalesce(holds, F.lit(False))))
     status = (
         F.when(journal, F.when(c("cursor").isNotNull() | c("boot_id").isNotNull(), "journald_entry").otherwise("journald_unretained"))
         .when(~F.coalesce("verified", F.lit(True)), "rotated_or_truncated")
+        .when(~F.coalesce("_readable", F.lit(True)), "source_file_inaccessible")
         .when(c("_size").isNull(), "source_file_missing")
         .when(c("byte_start") > c("_size"), "rotated_or_truncated")
         .otherwise("exact_source")
     )
     exact = c("excerpt_status") == "exact_source"
-    read = F.decode(F.substring(c("_slice"), F.lit(1), F.least(span, F.lit(max_bytes)).cast("int")), "UTF-8")
     return staged.withColumn("excerpt_status", status).withColumns({
-        "excerpt": F.when(exact, read).otherwise(_clipped(c("text"), max_bytes)),
+        "excerpt": F.when(exact, F.make_valid_utf8(c("_data").cast("string"))).otherwise(_clipped(c("text"), max_bytes)),
         "excerpt_truncated": F.when(exact, span > max_bytes).otherwise(F.octet_length("text") > max_bytes),
-    }).drop("_blocks", "_slice", "_size")
+    }).drop("_id", "_size", "_inode", "_dev", "_hash", "_data", "_readable")

@@ -11,7 +11,6 @@ from tracewell.operators import scan
 
 FOLD_LIMIT = 8000
 LINE_LIMIT = 800
-FIRST_SIGHT_BYTES = 200_000
 
 
 def source_kind(name: Column) -> Column:
@@ -109,35 +108,6 @@ def fold(staged: DataFrame, limit: int = FOLD_LIMIT, chunk_bytes: int = scan.CHU
              "original_text_bytes", "children", "_head.*")
 
 
-def new_lines(lines: DataFrame, files: DataFrame, committed: DataFrame, ceiling: int | None = None,
-              restart_at_zero: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Lines beyond the committed position of each file, and the backlog left per file.
-
-    ``files``: source_path, size, generation. ``committed``: source_path,
-    offset, generation. A new generation or a file that shrank is read as a
-    new file: from byte 0, or from the first line starting after the last
-    200,000 bytes. Byte positions make the ceiling a filter, not a window.
-    """
-    c = F.col
-    known = committed.select("source_path", c("offset").alias("_offset"), c("generation").alias("_generation"))
-    state = files.join(known, "source_path", "left").withColumn(
-        "_known", F.coalesce((c("generation") == c("_generation")) & (c("size") >= c("_offset")), F.lit(False)))
-    base = F.lit(0) if restart_at_zero else F.greatest(F.lit(0), c("size") - FIRST_SIGHT_BYTES)
-    state = state.withColumn("_base", F.when(c("_known"), c("_offset")).otherwise(base))
-    at_start = c("_known") | (c("_base") == 0)
-    placed = lines.join(state, "source_path").filter(
-        F.when(at_start, c("byte_start") >= c("_base")).otherwise(c("byte_start") > c("_base")))
-    if ceiling is not None:
-        aligned = placed.groupBy("source_path").agg(F.min("byte_start").alias("_first"))
-        placed = placed.join(aligned, "source_path").withColumn("_start", F.when(at_start, c("_base")).otherwise(c("_first")))
-        placed = placed.filter(c("byte_start") - c("_start") < ceiling)
-    used = placed.groupBy("source_path").agg(F.max("byte_end").alias("_used"))
-    backlog = state.join(used, "source_path", "left").select("source_path", F.greatest(
-        F.lit(0), c("size") - F.coalesce(c("_used"), F.when(at_start, c("_base")).otherwise(c("size")))).alias("backlog_bytes"))
-    helpers = [n for n in placed.columns if n.startswith("_")]
-    return placed.filter(c("text") != "").drop("size", "generation", *helpers), backlog
-
-
 def split_at_first_bad(df: DataFrame, path: str, position: str, bad: Column) -> tuple[DataFrame, DataFrame]:
     """Per file: rows before the first bad one are good; that row is reported; later ones wait."""
     firsts = df.groupBy(path).agg(F.min(F.when(bad, F.col(position))).alias("_first_bad"))

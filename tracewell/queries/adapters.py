@@ -151,3 +151,72 @@ def from_lines(spark: SparkSession, folder: str, ctes: str, select: str) -> Data
 
 def journal(spark: SparkSession, folder: str) -> DataFrame:
     return from_lines(spark, folder, JOURNAL, "SELECT * FROM journal")
+
+
+# The lines as log files in the layout of an application's folders, one per host, profile and log. Some lines end with a
+# carriage return, some are followed by a blank line, and the files of one host end without a newline.
+_EXPORTED = """
+  SELECT *, CAST(sum(length(content)) OVER (PARTITION BY rel_path ORDER BY line_id ROWS UNBOUNDED PRECEDING) - length(content) AS BIGINT) AS file_start FROM (
+    SELECT *, concat(text, CASE WHEN line_id % 10 = 3 THEN chr(13) ELSE '' END,
+      CASE WHEN host = 'alpha' AND line_id = last_id THEN '' WHEN line_id % 50 = 7 THEN concat(chr(10), chr(10)) ELSE chr(10) END) AS content FROM (
+      SELECT line_id, host, source_name, text, stamp, k, profile AS owner, rel_path, max(line_id) OVER (PARTITION BY rel_path) AS last_id FROM (
+        SELECT *, concat(host, '/', CASE WHEN user_id % 8 = 0 THEN '' ELSE concat('profiles/team-', CAST(user_id % 8 AS STRING), '/') END, 'logs/', source_name) AS rel_path
+        FROM lines) a) b) c
+"""
+# What a reader finds in them: byte ranges with the line's end, unfinished lines left out.
+EXPORTED = f"""exported AS ({_EXPORTED}),
+ found AS (SELECT *, file_start AS first_byte, file_start + length(text) + CASE WHEN line_id % 10 = 3 THEN 2 ELSE 1 END AS end_byte,
+   coalesce(nullif(regexp_extract(rel_path, 'profiles/([^/]+)/', 1), ''), 'default') AS path_profile FROM exported
+   WHERE NOT (host = 'alpha' AND line_id = last_id)),
+ sizes AS (SELECT rel_path, CAST(max(file_start + length(content)) AS BIGINT) AS size FROM exported GROUP BY rel_path)"""
+# The same lines as JSON, one file per host.
+EVENT_JSON = "to_json({'ts': stamp, 'host': host, 'profile': profile, 'text': text, 'k': k})"
+
+
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Writes rows of rel_path, line_id and content as files below ``root``, in order; a repeated task writes the same file again."""
+    def put(batches):
+        import os
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        store, folder = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        path = sink = mark = None
+        written = []
+
+        def close():
+            if sink is not None:
+                sink.close()
+                store.move(mark, path)
+                written.append(path)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{folder}/{name}"
+                if target != path:
+                    close()
+                    path, mark = target, f"{target}.{uuid.uuid4().hex[:8]}.tmp"
+                    store.create_dir(os.path.dirname(path), recursive=True)
+                    sink = store.open_output_stream(mark)
+                sink.write(content.encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], ["path"])
+
+    ordered = rows.select("rel_path", "content", "line_id").repartition("rel_path").sortWithinPartitions("rel_path", "line_id")
+    return ordered.select("rel_path", "content").mapInArrow(put, "path string")
+
+
+def log_files(spark: SparkSession, folder: str, kind: str = "logs") -> str:
+    """Folder of the exported log files (``logs``) or JSON files (``jsonl``), written once per application."""
+    key = (spark.sparkContext.applicationId, folder, f"files-{kind}")
+    if key not in _STAGED:
+        root = f"{session.shared_dir(spark)}/files-{kind}-{key[0]}-{len(_STAGED)}"
+        if kind == "logs":
+            rows = from_lines(spark, folder, f"exported AS ({_EXPORTED})", "SELECT rel_path, line_id, content FROM exported")
+        else:
+            rows = lines(spark, folder).selectExpr(
+                "concat(host, '.jsonl') AS rel_path", "line_id",
+                "concat(to_json(named_struct('ts', stamp, 'host', host, 'profile', profile, 'text', text, 'k', k)), char(10)) AS content")
+        write_files(rows, root).count()
+        _STAGED[key] = root
+    return _STAGED[key]

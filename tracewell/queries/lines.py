@@ -9,7 +9,7 @@ from tracewell.operators import lines as L
 from tracewell.queries import adapters, duck as d
 from tracewell.queries.registry import query
 from tracewell.queries.text import LEADING_CTE
-from tracewell.sources import files as S
+from tracewell.sources import files as S, ranges as R
 
 def now():
     return F.lit(adapters.NOW).cast("timestamp")
@@ -42,13 +42,21 @@ def staged(spark, folder):
     return L.stage_lines(kept(spark, folder), now(), chunk_bytes=CHUNK)
 
 
-@query("src_raw_logs", d.with_lines(f"""SELECT DISTINCT source_path,
-    CASE WHEN source_name LIKE 'errors.log%' THEN 'errors.log' ELSE source_name END AS kind,
-    coalesce({d.first("replace(replace(replace(source_path, 'alpha/', ''), 'Node-B/', ''), 'gamma/', '')", '/profiles/([^/]+)/logs/', 1)}, 'default') AS profile FROM lines"""))
+def in_root(path="source_path"):
+    """The part of an exported file's path that does not depend on the run."""
+    return F.regexp_replace(path, r"^.*/files-(logs|jsonl)-[^/]+/", "")
+
+
+def read_logs(spark, folder):
+    root = adapters.log_files(spark, folder)
+    per_host = [S.read_raw_logs(spark, f"{root}/{host}", host) for host in ("alpha", "Node-B", "gamma")]
+    return per_host[0].unionByName(per_host[1]).unionByName(per_host[2])
+
+
+@query("src_raw_logs", d.with_lines("""SELECT host, rel_path, path_profile AS profile, CASE WHEN source_name LIKE 'errors.log%' THEN 'errors.log' ELSE source_name END AS kind,
+    first_byte AS byte_start, end_byte AS byte_end, md5(text) AS text_md5 FROM found""", adapters.EXPORTED))
 def raw_logs(spark, folder):
-    path = F.regexp_replace("source_path", "(alpha|Node-B|gamma)/", "")
-    return adapters.lines(spark, folder).select("source_path", "source_name").distinct().select(
-        "source_path", L.source_kind(F.col("source_name")).alias("kind"), L.profile_of(path).alias("profile"))
+    return read_logs(spark, folder).select("host", in_root().alias("rel_path"), "profile", "kind", "byte_start", "byte_end", F.md5("text").alias("text_md5"))
 
 
 @query("src_line_capture", d.with_lines("""SELECT line_id, substr(text, 1, 800) AS text, length(text) > 800 AS text_truncated,
@@ -82,27 +90,38 @@ def row_guard(spark, folder):
         F.coalesce("rejected", F.lit(0)).alias("rejected"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
-_FILES = """files AS (SELECT source_path, max(byte_end) AS size, 1 AS generation FROM lines GROUP BY source_path),
- committed AS (SELECT source_path, CAST(floor(size / 2) AS BIGINT) AS offset_, CASE WHEN size % 3 = 0 THEN 0 ELSE 1 END AS generation
-   FROM files WHERE size % 4 <> 0),
- state AS (SELECT f.*, coalesce(c.generation = f.generation AND f.size >= c.offset_, false) AS known, c.offset_ FROM files f LEFT JOIN committed c USING (source_path)),
- based AS (SELECT *, CASE WHEN known THEN offset_ ELSE greatest(0, size - 200000) END AS base FROM state),
- placed AS (SELECT l.*, b.size, b.known, b.base FROM lines l JOIN based b USING (source_path)
-   WHERE CASE WHEN known OR base = 0 THEN byte_start >= base ELSE byte_start > base END),
- started AS (SELECT *, CASE WHEN known OR base = 0 THEN base ELSE min(byte_start) OVER (PARTITION BY source_path) END AS start FROM placed)"""
+_TAILS = """physical AS (SELECT rel_path, first_byte, end_byte, 1 AS texts FROM found
+   UNION ALL SELECT rel_path, end_byte, end_byte + 1, 0 FROM found WHERE line_id % 50 = 7),
+ committed AS (SELECT rel_path, CASE WHEN size % 5 = 0 THEN size + 10 ELSE (SELECT max(end_byte) FROM found p WHERE p.rel_path = s.rel_path AND p.end_byte <= s.size / 2) END AS prior,
+   size % 3 <> 0 AS same FROM sizes s WHERE size % 4 <> 0),
+ state AS (SELECT s.*, coalesce(c.same AND s.size >= c.prior, false) AS known, coalesce(NOT c.same, false) AS rotated, coalesce(c.same AND s.size < c.prior, false) AS shrunk, c.prior
+   FROM sizes s LEFT JOIN committed c USING (rel_path)),
+ based AS (SELECT *, CASE WHEN known THEN prior ELSE greatest(0, size - 200000) END AS base FROM state),
+ behind AS (SELECT b.*, p.first_byte, p.end_byte, p.texts FROM based b JOIN physical p ON p.rel_path = b.rel_path
+   AND CASE WHEN known OR base = 0 THEN first_byte >= base ELSE first_byte > base END),
+ begun AS (SELECT *, CASE WHEN known OR base = 0 THEN base ELSE min(first_byte) OVER (PARTITION BY rel_path) END AS start FROM behind)"""
 
 
-@query("src_incremental_tail", d.with_lines("""SELECT l.source_path, count(*) AS new_lines, min(byte_start) AS first_start, max(byte_end) AS consumed,
-    max(size) - max(byte_end) AS backlog_bytes FROM started l WHERE byte_start - start < 150000 GROUP BY l.source_path""", _FILES))
+@query("src_incremental_tail", d.with_lines("""SELECT b.rel_path, coalesce(n, 0) AS new_lines, first_start, coalesce(consumed, CASE WHEN known OR base = 0 THEN base ELSE size END) AS consumed,
+    size - coalesce(consumed, CASE WHEN known OR base = 0 THEN base ELSE size END) AS backlog_bytes, rotated, shrunk FROM based b LEFT JOIN
+    (SELECT rel_path, CAST(sum(texts) AS BIGINT) AS n, min(CASE WHEN texts = 1 THEN first_byte END) AS first_start, max(end_byte) AS consumed
+     FROM begun WHERE first_byte - start < 50000 GROUP BY rel_path) l USING (rel_path)""", adapters.EXPORTED, _TAILS))
 def incremental_tail(spark, folder):
-    rows = adapters.lines(spark, folder)
-    files = rows.groupBy("source_path").agg(F.max("byte_end").alias("size")).withColumn("generation", F.lit(1))
-    committed = files.filter("size % 4 <> 0").select(
-        "source_path", F.floor(F.col("size") / 2).alias("offset"), F.when(F.col("size") % 3 == 0, 0).otherwise(1).alias("generation"))
-    new, backlog = L.new_lines(rows, files, committed, ceiling=150_000)
-    return new.groupBy("source_path").agg(
-        F.count("*").alias("new_lines"), F.min("byte_start").alias("first_start"), F.max("byte_end").alias("consumed")
-    ).join(backlog, "source_path")
+    c = F.col
+    root = adapters.log_files(spark, folder)
+    listed = S.list_files(spark, [f"{root}/*/logs/*.log*", f"{root}/*/profiles/*/logs/*.log*"])
+    files = session.cut_lineage(R.with_identity(listed.select(c("path").alias("source_path"), "size"), "source_path"))
+    # The earlier run committed half of a file, up to the end of a line; some files were replaced or cut short since.
+    halves = read_logs(spark, folder).join(files.select("source_path", "size"), "source_path").filter(c("byte_end") <= c("size") / 2)
+    offsets = halves.groupBy("source_path").agg(F.max("byte_end").alias("offset"))
+    committed = files.join(offsets, "source_path", "left").filter("size % 4 <> 0").select(
+        "source_path", F.when(c("size") % 5 == 0, c("size") + 10).otherwise(c("offset")).alias("offset"),
+        F.when(c("size") % 3 == 0, c("inode") + 1).otherwise(c("inode")).alias("inode"), "dev")
+    state = R.starts(files, committed)
+    new = session.cut_lineage(R.read_tail(state, ceiling=50_000))
+    seen = R.captured(new).groupBy("source_path").agg(F.count("*").alias("new_lines"), F.min("byte_start").alias("first_start"))
+    return R.progress(state, new).join(state.select("source_path", "rotated", "shrunk"), "source_path").join(seen, "source_path", "left").select(
+        in_root().alias("rel_path"), F.coalesce("new_lines", F.lit(0)).alias("new_lines"), "first_start", c("offset").alias("consumed"), "backlog_bytes", "rotated", "shrunk")
 
 
 _GATED = """gated AS (SELECT __CURSOR, min({'a': coalesce(PRIORITY, ''), 'id': line_id, 'm': MESSAGE, 'r': __REALTIME_TIMESTAMP}) AS e
@@ -134,33 +153,26 @@ def union_sources(spark, folder):
     return rows.select("host", "profile", "file", "source_type", F.md5("text").alias("text_md5"), "text_truncated", "original_text_bytes", "ts")
 
 
-def _export(spark, folder, name, frame):
-    """Writes rows the file sources can read back, once per application."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in adapters._STAGED:
-        adapters._STAGED[key] = f"{session.shared_dir(spark)}/{name}-{key[0]}-{len(adapters._STAGED)}"
-        frame.write.mode("overwrite").text(adapters._STAGED[key])
-    return adapters._STAGED[key]
+_JSONL = f"""jsoned AS (SELECT *, CAST(sum(length(json) + 1) OVER (PARTITION BY host ORDER BY line_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte
+   FROM (SELECT *, CAST({adapters.EVENT_JSON} AS STRING) AS json FROM lines))"""
 
 
-@query("src_jsonl_events", d.with_lines("SELECT count(*) AS rows, count(DISTINCT text) AS texts, count(*) AS objects, max(length(text)) AS longest FROM lines"))
+@query("src_jsonl_events", d.with_lines("""SELECT host || '.jsonl' AS file_name, end_byte - length(json) - 1 AS byte_start, end_byte AS byte_end, stamp AS ts, host, profile,
+    md5(text) AS text_md5, md5(json) AS raw_md5, true AS is_object FROM jsoned""", _JSONL))
 def jsonl_events(spark, folder):
-    rows = adapters.lines(spark, folder).select(F.to_json(F.struct(F.col("stamp").alias("ts"), "host", "profile", "text", "k")).alias("value"))
-    path = _export(spark, folder, "jsonl", rows)
+    root = adapters.log_files(spark, folder, "jsonl")
     # Overlapping globs: every file is still read once.
-    events = S.read_events(spark, [f"{path}/*.txt", f"{path}/part-*"])
-    return events.agg(F.count("*").alias("rows"), F.countDistinct("text").alias("texts"), F.count_if("is_object").alias("objects"),
-                      F.max(F.length("text")).cast("bigint").alias("longest"))
+    events = S.read_events(spark, [f"{root}/*.jsonl", f"{root}/[aN]*.jsonl"], positions=True)
+    return events.select(in_root().alias("file_name"), "byte_start", "byte_end", "ts", "host", "profile", F.md5("text").alias("text_md5"), F.md5("raw").alias("raw_md5"), "is_object")
 
 
-@query("src_changed_files", "SELECT CAST(1 AS BIGINT) AS changed_files")
+@query("src_changed_files", d.with_lines("SELECT host || '.jsonl' AS file_name, max(end_byte) AS size FROM jsoned WHERE host <> 'alpha' GROUP BY host", _JSONL))
 def changed_files(spark, folder):
-    rows = adapters.lines(spark, folder).select(F.to_json(F.struct(F.col("stamp").alias("ts"), "host", "profile", "text", "k")).alias("value"))
-    files = S.list_files(spark, [_export(spark, folder, "jsonl", rows) + "/*.txt"])
-    newest = files.agg(F.max("path").alias("path"))
-    stamps = files.join(newest, "path", "left_anti").union(files.join(newest, "path").withColumn("size", F.col("size") + 1))
-    changed = S.changed_files(files, stamps)
-    return changed.agg(F.count("*").alias("changed_files"))
+    files = S.list_files(spark, [adapters.log_files(spark, folder, "jsonl") + "/*.jsonl"])
+    # One file grew since its stamp was taken, one has none.
+    grown = F.when(in_root("path") == "Node-B.jsonl", F.col("size") - 1).otherwise(F.col("size"))
+    stamps = files.filter(in_root("path") != "gamma.jsonl").withColumn("size", grown)
+    return S.changed_files(files, stamps).select(in_root("path").alias("file_name"), "size")
 
 
 @query("flt_level_context", d.with_lines("SELECT line_id, keep FROM kept", LEADING_CTE, KEEP))

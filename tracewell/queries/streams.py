@@ -14,7 +14,7 @@ from tracewell.queries import rules as QR
 from tracewell.queries.registry import query
 from tracewell.queries.text import HOST_ALIASES, LEADING_CTE
 from tracewell.sinks import stores
-from tracewell.sources import files as S
+from tracewell.sources import ranges as R
 from tracewell.streaming import jobs
 
 FILES_PER_BATCH = 3
@@ -97,25 +97,29 @@ def stream_enrich(spark, folder):
 
 
 # --- excerpts and coverage identity -------------------------------------------------------------------
-@query("fn_evidence_excerpt", d.with_lines("""SELECT CASE line_id % 10 WHEN 3 THEN 'rotated_or_truncated' WHEN 4 THEN 'source_file_missing' WHEN 5 THEN 'journald_entry' ELSE 'exact_source' END AS status,
-    count(*) AS rows, count(*) AS matching, count(*) FILTER (WHERE length(text) > 300) AS truncated FROM lines GROUP BY 1"""))
+_EXCERPTS = """whole AS (SELECT rel_path, string_agg(content, '' ORDER BY line_id) AS content FROM exported GROUP BY rel_path),
+ cases AS (SELECT f.rel_path, first_byte AS byte_start, f.text, CASE WHEN first_byte % 10 = 7 THEN 300 ELSE end_byte - first_byte END AS span, w.content,
+   CASE first_byte % 10 WHEN 3 THEN 'rotated_or_truncated' WHEN 4 THEN 'source_file_missing' WHEN 5 THEN 'journald_entry' WHEN 6 THEN 'rotated_or_truncated' ELSE 'exact_source' END AS status
+   FROM found f JOIN whole w USING (rel_path))"""
+
+
+@query("fn_evidence_excerpt", d.with_lines("""SELECT rel_path, byte_start, status, md5(CASE WHEN status = 'exact_source' THEN substr(content, byte_start + 1, least(span, 300)) ELSE substr(text, 1, 300) END) AS excerpt_md5,
+    CASE WHEN status = 'exact_source' THEN span > 300 ELSE length(text) > 300 END AS truncated, CASE WHEN byte_start % 10 IN (0, 2, 8) THEN true WHEN byte_start % 10 IN (3, 6) THEN false END AS verified
+    FROM cases""", adapters.EXPORTED, _EXCERPTS))
 def evidence_excerpt(spark, folder):
-    text = adapters.lines(spark, folder).select(F.concat(F.col("line_id").cast("string"), F.lit("\t"), "text").alias("value"))
-    path = QL._export(spark, folder, "excerpt-source", text)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     c = F.col
-    prefix = F.instr("line", "\t")
-    number = F.substring_index("line", "\t", 1).cast("bigint")
-    evidence = S.read_lines(spark, [f"{path}/*.txt"]).withColumnRenamed("text", "line").select(
-        number.alias("id"), F.when(number % 10 == 4, F.lit("/gone")).when(number % 10 == 5, F.lit("journald")).otherwise(c("source_path")).alias("source_path"),
-        (c("byte_start") + prefix).alias("byte_start"), (c("byte_end") - 1).alias("byte_end"),
-        F.substr("line", prefix + 1).alias("text"),
-        F.when(number % 10 == 3, F.lit("another file")).when((number % 2 == 0) & (number % 10 != 4), F.sha2(F.substr("line", prefix + 1), 256)).alias("content_hash"),
-        F.when(number % 10 == 5, F.lit("s=1")).alias("cursor"), F.lit(None).cast("string").alias("boot_id"))
-    found = excerpts.excerpt(evidence, files, max_bytes=300, block_bytes=4096)
-    return found.groupBy(c("excerpt_status").alias("status")).agg(
-        F.count("*").alias("rows"), F.count_if(c("excerpt") == F.left("text", F.lit(300))).alias("matching"),
-        F.count_if("excerpt_truncated").alias("truncated"))
+    lines = QL.read_logs(spark, folder)
+    paths = R.with_identity(lines.select(c("source_path").alias("path")).distinct())
+    case = c("byte_start") % 10
+    evidence = lines.join(paths, c("source_path") == c("path")).select(
+        F.concat_ws(":", "source_path", "byte_start").alias("id"), QL.in_root().alias("rel_path"),
+        F.when(case == 4, "/gone").when(case == 5, "journald").otherwise(c("source_path")).alias("source_path"), "byte_start",
+        F.when(case == 7, c("byte_start")).otherwise(c("byte_end")).alias("byte_end"), "text",
+        F.when(case == 3, "another line").when(case.isin(0, 2, 6, 8), F.sha2("text", 256)).alias("content_hash"),
+        F.when(case == 6, c("inode") + 1).when(case == 8, c("inode")).alias("inode"), F.when(case.isin(6, 8), c("dev")).alias("dev"),
+        F.when(case == 5, "s=1").alias("cursor"), F.lit(None).cast("string").alias("boot_id"))
+    return excerpts.excerpt(evidence, max_bytes=300).select(
+        "rel_path", "byte_start", c("excerpt_status").alias("status"), F.md5("excerpt").alias("excerpt_md5"), c("excerpt_truncated").alias("truncated"), "verified")
 
 
 _STEPS = [(P.LEADING_STAMP, ""), (P.SCHEDULED_RUN, "[$1_<RUN>]"), (P.COOLDOWN_EXPIRY, "$1<TIME>"), (P.ISO_ANYWHERE, "<TIMESTAMP>"),

@@ -1,10 +1,13 @@
 """Session settings the library relies on, and the folder used to cut lineage."""
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -14,9 +17,12 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings that results depend on (time zone) and that skew handling needs."""
+    """Pin the settings that results depend on (time zone) and that skew handling needs; Python workers find this package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     return spark
 
 

@@ -1,11 +1,14 @@
 """File sources: JSON lines, raw logs, journal exports, changed files."""
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell import patterns as P
+from tracewell import patterns as P, session
 from tracewell.functions import text as text_functions
 from tracewell.operators.lines import profile_of, source_kind
 
@@ -15,45 +18,150 @@ UNIT_FIELDS = ("_SYSTEMD_UNIT", "_SYSTEMD_USER_UNIT", "SYSLOG_IDENTIFIER", "_COM
 EVENT_SCHEMA = "ts string, host string, profile string, file string, sig string, sev string, text string"
 
 
+LINES = "source_path string, byte_start bigint, byte_end bigint, raw string"
+SMALL_SPLITS = 200_000  # rows of (path hash, split, offset), a few MB, that may be broadcast
+
+
 def list_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """path, modified and size of the matched files; contents are not read."""
+    """path, modified and size of the matched files, each once; contents are not read."""
     return spark.read.format("binaryFile").load(patterns).select(
         "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).dropDuplicates(["path"])
 
 
+def plain_path(path: Column) -> Column:
+    """The path of ``_metadata`` as it is written in other places: without percent encoding."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def glob_regex(glob: str) -> str:
+    """A glob (``*``, ``?``, ``[...]``, ``{a,b}``) as a pattern for whole paths, whatever their scheme and host."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", glob)
+    out, depth, i = "", 0, 0
+    while i < len(path):
+        ch = path[i]
+        i += 1
+        if ch == "*":
+            out += "[^/]*"
+        elif ch == "?":
+            out += "[^/]"
+        elif ch == "[" and "]" in path[i + 1:]:
+            end = path.index("]", i + 1)
+            out += "[" + path[i:end].replace("!", "^", 1 if path[i] == "!" else 0).replace("\\", "\\\\") + "]"
+            i = end + 1
+        elif ch == "{":
+            out, depth = out + "(?:", depth + 1
+        elif ch == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif ch == "," and depth:
+            out += "|"
+        else:
+            out += re.escape(path[i] if ch == "\\" and i < len(path) else ch)
+            i += ch == "\\"
+    return r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + re.sub("/+", "/", out) + r"\z"
+
+
+def _text(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """value and _metadata of the lines of the matched files, each file once.
+
+    Several globs may match one file, and Spark would read it once for each. So they become one pattern on the files below
+    their common folder; it is applied to the listing, before any file is opened.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if len(patterns) == 1:
+        return reader.text(patterns[0]).select("value", "_metadata")
+    fixed = [re.split(r"[*?\[{]", p)[0].rsplit("/", 1)[0] for p in patterns]
+    root = os.path.commonprefix([f + "/" for f in fixed]).rsplit("/", 1)[0] or "/"
+    wanted = "|".join(glob_regex(p) for p in patterns)
+    found = reader.option("recursiveFileLookup", "true").text(root).select("value", "_metadata")
+    return found.filter(plain_path(F.col("_metadata.file_path")).rlike(wanted))
+
+
 def read_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """Complete lines of the matched files with their exact byte range.
+    """source_path, byte_start, byte_end and raw (the line without its end) of all complete lines of the matched plain-text files.
 
-    Files are read whole, so this is for logs cut by rotation (below 2 GB each).
-    Bytes are counted on a Latin-1 reading, where one character is one byte; an
-    unfinished last line is left for later and blank lines are skipped. The
-    patterns must not overlap: contents are never shuffled to find repeats.
+    Files are split like any text source, so one file of any size is read by many tasks. A task adds up the bytes of
+    the lines of its splits in the order in which it reads them; no text is shuffled for that. Where a split begins comes
+    from a table with one row per split, with the bytes of the file's earlier splits: a first pass over the text that counts,
+    and is left out if no file is large enough to be split. Lines end with a newline; one without, at the end of a file, is
+    left for later. Blank lines are there too; bytes that are not UTF-8 are as in the file.
+    """
+    if not patterns:
+        return spark.createDataFrame([], LINES)
+    meta = "_metadata"
+    scanned = _text(spark, patterns).select(
+        "value", F.col(f"{meta}.file_path").alias("path"), F.col(f"{meta}.file_block_start").alias("split"), F.col(f"{meta}.file_size").alias("size"))
+
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        path, split, done = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = pc.cast(pc.binary_length(batch.column(0)), pa.int64()).to_numpy(zero_copy_only=False) + 1
+            start = np.cumsum(width) - width
+            paths, splits = batch.column(1), batch.column(2)
+            turn = np.zeros(len(width), bool)
+            turn[0] = paths[0].as_py() != path or splits[0].as_py() != split
+            if len(width) > 1:
+                turn[1:] = pc.or_(pc.not_equal(paths[1:], paths[:-1]), pc.not_equal(splits[1:], splits[:-1])).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(turn)
+            before = np.full(len(width), done, np.int64)
+            if len(heads):
+                bounds = np.append(heads, len(width))
+                before[heads[0]:] = np.repeat(-start[heads], np.diff(bounds))
+            offset = start + before
+            path, split, done = paths[len(width) - 1].as_py(), splits[len(width) - 1].as_py(), int(offset[-1] + width[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset), pa.array(width)], ["value", "path", "split", "size", "offset", "width"])
+
+    placed = scanned.mapInArrow(place, "value string, path string, split bigint, size bigint, offset bigint, width bigint")
+    largest = list_files(spark, patterns).agg(F.max("size")).first()[0] or 0
+    whole = min(_bytes_setting(spark, "spark.sql.files.maxPartitionBytes"), _bytes_setting(spark, "spark.sql.files.openCostInBytes"))
+    start = F.col("offset")
+    if largest > whole:
+        placed = _with_split_starts(placed, scanned)
+        # a split without a start would mean that the two passes were cut in different places
+        start = F.coalesce("begins", F.when(F.col("split") == 0, 0), F.raise_error(F.lit("the splits of a file moved between two passes"))) + F.col("offset")
+    placed = placed.withColumn("byte_start", start.cast("bigint"))
+    packed = F.col("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)\z")  # sizes are those of the packed bytes
+    return placed.withColumn("byte_end", F.col("byte_start") + F.col("width")).filter((F.col("byte_end") <= F.col("size")) | packed).select(
+        plain_path(F.col("path")).alias("source_path"), "byte_start", "byte_end", F.col("value").alias("raw"))
+
+
+def _bytes_setting(spark: SparkSession, name: str) -> int:
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+
+
+def _with_split_starts(placed: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``placed`` with ``begins``: the bytes of the file's earlier splits (null for a split that is not known). Runs a job.
+
+    One row per split; broadcast only if there are few, and then as hashes of the path.
     """
     c = F.col
-    files = spark.read.format("binaryFile").load(patterns)
-    pieces = files.select(
-        c("path").alias("source_path"), F.split(F.decode("content", "ISO-8859-1"), "\n").alias("_lines")).select(
-        "source_path", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line_number", "_line"))
-    # A file is one row of binaryFile, so a window per file holds no more than that row did.
-    earlier = Window.partitionBy("source_path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("byte_start", F.coalesce(F.sum(F.length("_line") + 1).over(earlier), F.lit(0)).cast("bigint"))
-    text = F.decode(F.encode(F.regexp_replace("_line", r"\r+\z", ""), "ISO-8859-1"), "UTF-8")
-    return placed.filter(c("line_number") < c("_n") - 1).select(
-        "source_path", "byte_start", (c("byte_start") + F.length("_line") + 1).alias("byte_end"), text.alias("text")).filter("text != ''")
+    sums = scanned.groupBy(F.xxhash64("path").alias("file"), c("split")).agg(F.sum(F.octet_length("value") + 1).cast("bigint").alias("_bytes"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = session.cut_lineage(sums.select("file", "split", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0).cast("bigint")).alias("begins")))
+    few = starts.limit(SMALL_SPLITS + 1).count() <= SMALL_SPLITS
+    return placed.withColumn("file", F.xxhash64("path")).join(F.broadcast(starts) if few else starts, ["file", "split"], "left")
+
+
+def read_text_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """``read_lines`` with ``text`` in place of the raw bytes: valid UTF-8 without carriage returns at its end; blank lines go."""
+    text = F.rtrim(F.make_valid_utf8("raw"), F.lit("\r"))
+    return read_lines(spark, patterns).select("source_path", "byte_start", "byte_end", text.alias("text")).filter("text != ''")
 
 
 def read_events(spark: SparkSession, patterns: list[str], positions: bool = False) -> DataFrame:
-    """JSON objects, one per line, from several globs; each file is read once.
+    """JSON objects, one per line, from several globs; each file is read once, and files split.
 
-    The globs are resolved to distinct paths before the scan. Keeps the raw row,
-    so unknown keys survive, and the path. With ``positions`` also the byte range
-    of the row, at the price of reading each file whole; without, files split.
+    Keeps the raw row, so unknown keys survive, and the path. With ``positions`` also the byte range of the row; an
+    unfinished last line is then left for later.
     """
-    paths = sorted(row.path for row in list_files(spark, patterns).select("path").toLocalIterator())
     if positions:
-        rows = read_lines(spark, paths).withColumnRenamed("text", "raw")
+        rows = read_lines(spark, patterns)
     else:
-        rows = spark.read.text(paths).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path"))
+        rows = _text(spark, patterns).select(F.col("value").alias("raw"), plain_path(F.col("_metadata.file_path")).alias("source_path"))
     rows = rows.filter(F.trim("raw") != "").withColumns({
         "is_object": is_json_object(F.col("raw")),
         "event": F.from_json("raw", EVENT_SCHEMA),
@@ -82,7 +190,7 @@ def guard(df: DataFrame, path: str, row: str, limit: int = MAX_ROW_BYTES) -> tup
 def read_raw_logs(spark: SparkSession, root: str, host: str = "UNKNOWN") -> DataFrame:
     """Lines of the agent, errors and gateway logs, rotated ones included, under a root and its profiles."""
     globs = [f"{root}/{sub}/{base}*" for base in P.LOG_KINDS for sub in ("logs", "profiles/*/logs")]
-    named = read_lines(spark, _existing(spark, globs)).withColumn("source_name", F.substring_index("source_path", "/", -1))
+    named = read_text_lines(spark, _existing(spark, globs)).withColumn("source_name", F.substring_index("source_path", "/", -1))
     return named.withColumns({
         "kind": source_kind(F.col("source_name")), "profile": profile_of(F.col("source_path")), "host": F.lit(host),
     }).filter(F.col("kind") != "")
