@@ -55,10 +55,10 @@ def make_docs(n, seed):
     return out
 
 
-@pytest.mark.parametrize("share", [1, 32])
-def test_small_blocks(spark, monkeypatch, share):
+@pytest.mark.parametrize("share,pairs", [(1, 10 ** 6), (8, 10 ** 6), (10 ** 9, 100)])
+def test_small_blocks(spark, monkeypatch, share, pairs):
     """Many shards, blocks and item sets of one small table give the rows of the loop."""
-    for name, value in (("SHARD_DOCS", 100), ("SHARD_ENTRIES", 1500), ("BLOCK", 8), ("SUMMARY_DOCS", 2), ("SLICE_ENTRIES", 500), ("SEED_SHARE", share), ("MOST_TERMS", 60)):
+    for name, value in (("SHARD_DOCS", 100), ("SHARD_ENTRIES", 1500), ("BLOCK", 8), ("SUMMARY_DOCS", 2), ("SEED_SHARE", share), ("MOST_PAIRS", pairs), ("MOST_TERMS", 60)):
         monkeypatch.setattr(lexical_search, name, value)
     docs = make_docs(700, 3)
     items = [(i, docs[50 * i][1]) for i in range(8)] + [(100, "w0 w0 w1 W2 w299"), (101, docs[7][1]), (101, "w5 nowhere")]
@@ -67,24 +67,31 @@ def test_small_blocks(spark, monkeypatch, share):
     assert key(map(tuple, found.collect())) == key(brute(docs, items, 20))
 
 
-def test_skips_blocks(spark):
-    """Blocks whose summary stays below the threshold are not scored: fewer documents are looked at than a list holds."""
+def test_summaries(spark):
+    """Blocks are small, every listed posting is in one, and summaries are the largest gains over their documents."""
     docs = make_docs(3000, 5)
-    asked = {0: Counter(terms(docs[7][1]))}
-    index = lexical_search.build(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), sorted(asked[0]))
-    held = index.shards.collect()
-    assert sum(len(r.doc_ids) for r in held) == sum(bool(set(terms(t)) & set(asked[0])) for _, t in docs)
+    counted = lexical_search.count(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), sorted(set(terms(docs[7][1]))))
+    size = len(counted.weights)
+    listed = np.arange(size) % 3 > 0
+    mates = [[t for t in range(size) if (t + own) % 2 or t == own] for own in range(size)]
+    lists = lexical_search.Lists(listed, np.cumsum([0, *map(len, mates)]), np.concatenate(mates))
+    held = lexical_search.build(counted, lists).collect()
+    names = {t for i, t in enumerate(counted.vocabulary.terms) if listed[i]}
+    assert sum(len(r.doc_ids) for r in held) == sum(bool(set(terms(t)) & names) for _, t in docs)
     for r in held:
         doc_first, block_first = np.frombuffer(r.doc_first, "<i8"), np.frombuffer(r.block_first, "<i8")
         postings, own, gains = (np.frombuffer(x, "<i4") for x in (r.postings, r.terms, r.gains))
         first, names, most = np.frombuffer(r.summary_first, "<i8"), np.frombuffer(r.summary_terms, "<i4"), np.frombuffer(r.summary_gains, "<i4")
-        assert np.diff(block_first).max() <= lexical_search.BLOCK and len(postings) == len(own)
+        r_first, r_terms = np.frombuffer(r.list_first, "<i8"), np.frombuffer(r.list_terms, "<i4")
+        assert np.diff(block_first).max() <= lexical_search.BLOCK and len(postings) == listed[own].sum()
         for b in range(len(block_first) - 1):
             inside = postings[block_first[b]:block_first[b + 1]]
+            own_term = r_terms[np.searchsorted(r_first, b, "right") - 1]
             want = {}
             for d in inside:
                 for t, g in zip(own[doc_first[d]:doc_first[d + 1]], gains[doc_first[d]:doc_first[d + 1]]):
-                    want[t] = max(want.get(t, 0), g)
+                    if t in mates[own_term]:
+                        want[t] = max(want.get(t, 0), g)
             if len(inside) >= lexical_search.SUMMARY_DOCS:
                 assert dict(zip(names[first[b]:first[b + 1]], most[first[b]:first[b + 1]])) == want
             else:

@@ -1,19 +1,24 @@
 """Ranked lexical search with an index of geometric blocks.
 
 A document's gain for a term is a saturating count; its score for an item is the sum of weight x gain over the item's
-terms. The index is made of shards of similar documents: documents are ordered by their heaviest terms over all
-partitions and cut into shards of bounded size. A shard holds its documents' gains (term by term) and, for every term,
-its part of the posting list, cut into blocks: documents of a list that are near each other in a random projection of
-their weighted gains share a block. A block's summary is the largest gain of each term over its documents.
-
-A search reads every shard with all items of one bounded set. For one item it takes the posting lists that could hold
-a document above the threshold, the item's k-th best score so far; in them a block is skipped only if the item's score
-of its summary, which no document in it can exceed, is below the threshold. All documents of the other blocks are scored
-exactly. So results are exact. Thresholds begin with those found in a small share of the shards, which bounds what all
-tasks together send on.
-
-Terms are maximal runs of ASCII letters and digits and of all characters above ASCII, A-Z lower-cased. The index
-holds the terms of the items it is built for; more items than fit in one set take one index after another.
+terms. A search of a bounded set of items goes
+
+1. the gains of the items' terms are counted in all documents, and a share of the documents, drawn by hash, is scored in
+   full: the k-th best score found there is an item's first threshold;
+2. terms are ordered by the most they can add to an item's score; the first ones, which together stay below the threshold,
+   need no posting list, as no document can reach it with them alone;
+3. the index is made of shards of similar documents: documents are ordered by their heaviest terms over all partitions and
+   cut into shards of bounded size. A shard holds its documents' gains and, for every other term, its part of the posting
+   list, cut into blocks: documents of a list that are near each other in a random projection of their weighted gains
+   share a block. A block's summary is the largest gain over its documents of each term that an item which needs this
+   list asks for;
+4. every shard is asked for every item. Of the lists that could hold a document above the threshold (by now the item's k-th
+   best score so far), a block is skipped only if the item's score of its summary, which no document in it can exceed, is
+   below the threshold. All documents of the other blocks are scored exactly.
+
+So results are exact; the first thresholds only bound the work, and what the tasks together send on. Terms are maximal runs
+of ASCII letters and digits and of all characters above ASCII, A-Z lower-cased. The index holds the terms of the items it
+is built for; more items than fit in one set take one index after another.
 """
 from __future__ import annotations
 
@@ -29,18 +34,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import shared
-from tracewell.llm.words import BYTE_VALUE, LOWER, Texts, buffers, range_hashes, slices
+from tracewell.llm.words import BYTE_VALUE, LOWER, Texts, buffers, mix, range_hashes, slices
 from tracewell.operators import scan
 
 TOP = 20
 MOST_TERMS = 100_000  # terms of the items of one set, with repeats; a longer item is a set of its own
 SHARD_DOCS = 4096
 SHARD_ENTRIES = 400_000  # gains of a shard; a larger document is a shard of its own
-BLOCK = 32  # documents
+BLOCK = 64  # documents
 SUMMARY_DOCS = 4  # smaller blocks are scored at once
-SLICE_ENTRIES = 2_000_000  # gains compared at a time when summaries are made
+MOST_PAIRS = 20_000_000  # of lists and terms asked for with them; beyond, summaries hold all terms
 DIMENSIONS = 24
-SEED_SHARE = 32  # one shard in so many sets the first thresholds
+SEED_SHARE = 8  # one document in so many sets the first thresholds
 SEED = 12
 
 TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -48,9 +53,10 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 IS_TERM = np.zeros(256, bool)
 IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+FOUND = "item bigint, doc_id bigint, score bigint"
 FORWARD = "doc_id bigint, n bigint, terms binary, counts binary"
-GAINS = "doc_id bigint, terms binary, gains binary, first int, second int"
-SHARDS = ("shard bigint, seed int, doc_ids array<bigint>, doc_first binary, terms binary, gains binary, list_terms binary, list_first binary, "
+GAINS = "doc_id bigint, terms binary, gains binary, first int, second int, seed int"
+SHARDS = ("doc_ids array<bigint>, doc_first binary, terms binary, gains binary, list_terms binary, list_first binary, "
           "block_first binary, postings binary, summary_first binary, summary_terms binary, summary_gains binary")
 
 
@@ -188,14 +194,47 @@ def _with_gains(table: DataFrame, weights: np.ndarray, docs: int, total: int) ->
             order = np.lexsort((terms, -weights[terms] * gains, owner))
             best = terms[order[end - sizes]]
             second = terms[order[np.minimum(end - sizes + 1, end - 1)]]
+            drawn = mix(row_sums_of(gains * (terms + 1), end)) % np.uint64(SEED_SHARE) == 0
             gains = gains.astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), _binary(np.split(gains, end[:-1])),
-                 pa.array(best.astype(np.int32)), pa.array(second.astype(np.int32))], ["doc_id", "terms", "gains", "first", "second"])
+                 pa.array(best.astype(np.int32)), pa.array(second.astype(np.int32)), pa.array(drawn.astype(np.int32))],
+                ["doc_id", "terms", "gains", "first", "second", "seed"])
 
     return table.mapInArrow(turn, GAINS)
 
 
+def row_sums_of(values: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values; the rows end at ``end``."""
+    total = np.append(0, np.cumsum(values))
+    return total[end] - total[np.append(0, end[:-1])] if len(end) else total[:0]
+
+
+def _largest(gains: DataFrame, size: int) -> np.ndarray:
+    """The largest gain of each term of the vocabulary over all documents."""
+
+    def most(batches):
+        held = np.zeros(size, np.int64)
+        for batch in batches:
+            np.maximum.at(held, np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4"), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4"))
+        known = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(held[known])], ["term", "most"])
+
+    out = np.zeros(size, np.int64)
+    for row in gains.select("terms", "gains").mapInArrow(most, "term bigint, most bigint").groupBy("term").agg(F.max("most").alias("most")).collect():
+        out[row["term"]] = row["most"]  # one row per term of the vocabulary
+    return out
+
+
+@dataclass
+class Lists:
+    """Terms that have posting lists, and the terms that summaries of each list hold (CSR; all if ``mates`` is None)."""
+
+    listed: np.ndarray
+    first: np.ndarray
+    mates: np.ndarray | None
+
+
 def _clusters(doc: np.ndarray, term: np.ndarray, near: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A cluster for each posting (sorted by term): in lists longer than a block, the nearest of as many of its documents as it needs blocks."""
     out = np.zeros(len(doc), np.int64)
@@ -217,30 +256,37 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _summaries(postings: np.ndarray, block_first: np.ndarray, doc_first: np.ndarray, terms: np.ndarray, gains: np.ndarray, size: int):
-    """Largest gain of each term over the documents of each block of SUMMARY_DOCS and more: offsets per block, terms, gains."""
-    sizes = np.diff(block_first)
-    width = np.diff(doc_first)
-    entries = np.where(sizes >= SUMMARY_DOCS, np.add.reduceat(np.append(width[postings], 0), block_first[:-1]) if len(sizes) else 0, 0)
+def _summaries(postings: np.ndarray, list_terms: np.ndarray, list_first: np.ndarray, block_first: np.ndarray, doc_first: np.ndarray,
+               terms: np.ndarray, gains: np.ndarray, lists: Lists):
+    """Largest gain of each wanted term over the documents of each block of SUMMARY_DOCS and more: offsets per block, terms, gains."""
+    sizes, width, size = np.diff(block_first), np.diff(doc_first), len(lists.first) - 1
+    wanted = np.zeros(size, bool)
     found_terms, found_gains, counts = [], [], np.zeros(len(sizes), np.int64)
-    for a, b in shared.spans(entries.tolist(), SLICE_ENTRIES):
-        blocks = np.arange(a, b)[sizes[a:b] >= SUMMARY_DOCS]
+    for place, term in enumerate(list_terms):
+        blocks = np.arange(list_first[place], list_first[place + 1])
+        blocks = blocks[sizes[blocks] >= SUMMARY_DOCS]
         if not len(blocks):
             continue
+        mates = lists.mates[lists.first[term]:lists.first[term + 1]] if lists.mates is not None else slice(None)
+        wanted[mates] = True
         docs = postings[ranges(block_first[blocks], sizes[blocks])]
-        at = ranges(doc_first[docs], width[docs])
-        key = np.repeat(np.arange(len(blocks)), entries[blocks]) * size + terms[at]
+        spots = ranges(doc_first[docs], width[docs])
+        own = wanted[terms[spots]]
+        block = np.repeat(np.repeat(np.arange(len(blocks)), sizes[blocks]), width[docs])[own]
+        spots = spots[own]
+        wanted[mates] = False
+        key = block * size + terms[spots]
         order = np.argsort(key, kind="stable")
         key = key[order]
         head = _heads(key)
         found_terms.append(key[head] % size)
-        found_gains.append(np.maximum.reduceat(gains[at][order], head))
+        found_gains.append(np.maximum.reduceat(gains[spots][order], head))
         counts[blocks] = np.bincount(key[head] // size, minlength=len(blocks))
     empty = [np.zeros(0, np.int64)]
     return np.append(0, np.cumsum(counts)), np.concatenate(found_terms or empty), np.concatenate(found_gains or empty)
 
 
-def _shard(doc_ids: pa.Array, sizes: np.ndarray, terms: np.ndarray, gains: np.ndarray, weights: np.ndarray, directions: np.ndarray) -> dict:
+def _shard(doc_ids: pa.Array, sizes: np.ndarray, terms: np.ndarray, gains: np.ndarray, weights: np.ndarray, lists: Lists, directions: np.ndarray) -> dict:
     """The arrays of one shard, by column name."""
     doc_first = np.append(0, np.cumsum(sizes))
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -249,7 +295,8 @@ def _shard(doc_ids: pa.Array, sizes: np.ndarray, terms: np.ndarray, gains: np.nd
     for d in range(DIMENSIONS):
         near[:, d] = np.bincount(owner, heavy * directions[terms, d], len(sizes))
     near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
-    order = np.argsort(terms, kind="stable")
+    spots = np.flatnonzero(lists.listed[terms])
+    order = spots[np.argsort(terms[spots], kind="stable")]
     doc, term = owner[order], terms[order]
     first = _heads(term)
     cluster = _clusters(doc, term, near, first, np.diff(np.append(first, len(term))))
@@ -260,92 +307,108 @@ def _shard(doc_ids: pa.Array, sizes: np.ndarray, terms: np.ndarray, gains: np.nd
     starts = np.flatnonzero(inside % BLOCK == 0)
     block_first = np.append(starts, len(doc))
     list_first = np.append(_heads(term[starts]), len(starts))
-    summary_first, summary_terms, summary_gains = _summaries(doc, block_first, doc_first, terms, gains, len(weights))
-    small = {"terms": terms, "gains": gains, "list_terms": term[starts][list_first[:-1]], "postings": doc, "summary_terms": summary_terms, "summary_gains": summary_gains}
+    list_terms = term[starts][list_first[:-1]]
+    summary_first, summary_terms, summary_gains = _summaries(doc, list_terms, list_first, block_first, doc_first, terms, gains, lists)
+    small = {"terms": terms, "gains": gains, "list_terms": list_terms, "postings": doc, "summary_terms": summary_terms, "summary_gains": summary_gains}
     large = {"doc_first": doc_first, "list_first": list_first, "block_first": block_first, "summary_first": summary_first}
     return {"doc_ids": doc_ids, **{k: v.astype("<i4").tobytes() for k, v in small.items()}, **{k: v.astype("<i8").tobytes() for k, v in large.items()}}
 
 
 @dataclass
-class Index:
-    """Shards, the vocabulary they were built for, and its weights."""
+class Counted:
+    """The gains of a vocabulary's terms in all documents that hold one, written to the shared folder; the terms' weights and largest gains."""
 
-    shards: DataFrame
+    gains: DataFrame
     vocabulary: Vocabulary
     weights: np.ndarray
+    largest: np.ndarray
 
 
-def build(docs: DataFrame, vocabulary: list[str]) -> Index:
-    """The index of all documents for the terms of ``vocabulary`` (distinct, lower-case), written to the shared folder.
+def count(docs: DataFrame, vocabulary: list[str]) -> Counted:
+    """Counts the terms of ``vocabulary`` (distinct, lower-case) in all documents.
 
-    Null and empty texts and texts without terms are in no shard; very long texts are counted whole. Repeated rows and ids,
-    and null ids, are documents of their own. An empty table or vocabulary gives no shard. Only ``doc_id`` and ``text``
+    Null and empty texts and texts without terms take no part; very long texts are counted whole. Repeated rows and ids,
+    and null ids, are documents of their own. An empty table or vocabulary gives no rows. Only ``doc_id`` and ``text``
     are read, so other columns cannot clash.
     """
     known = Vocabulary(vocabulary)
     table = shared.stage(forward(docs, known), "lexical-forward")
-    count, total, holders = _statistics(table, len(known))
-    weights = np.floor(1000 * np.log((2 * count + 2) / (2 * holders + 1))).astype(np.int64)
+    documents, total, holders = _statistics(table, len(known))
+    weights = np.floor(1000 * np.log((2 * documents + 2) / (2 * holders + 1))).astype(np.int64)
+    gains = shared.stage(_with_gains(table, weights, documents, max(1, total)), "lexical-gains")
+    return Counted(gains, known, weights, _largest(gains, len(known)))
+
+
+def build(counted: Counted, lists: Lists) -> DataFrame:
+    """The index, one row per shard, written to the shared folder: all documents that hold a listed term, with the posting lists.
+    No listed terms give no shards."""
+    weights, listed = counted.weights, lists.listed
     order = ["first", "second", "doc_id"]
-    spread = _with_gains(table, weights, count, max(1, total)).repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = counted.gains.select("doc_id", "terms", "gains", "first", "second").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches):
         directions = np.random.default_rng(SEED).normal(size=(len(weights), DIMENSIONS)).astype(np.float32)
-        part, made = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        entries = 0
+        names = [x.split()[0] for x in SHARDS.split(", ")]
+        ids: list[pa.Array] = []
+        held_terms: list[np.ndarray] = []
+        held_gains: list[np.ndarray] = []
+        held_sizes: list[np.ndarray] = []
 
         def emit():
-            nonlocal made, entries
-            table = pa.Table.from_batches(held).combine_chunks()
-            raw, worth = table.column("terms").to_pylist(), table.column("gains").to_pylist()
-            sizes = np.array([len(x) // 4 for x in raw], np.int64)
-            found = _shard(table.column("doc_ids").combine_chunks(), sizes, np.frombuffer(b"".join(raw), "<i4").astype(np.int64),
-                           np.frombuffer(b"".join(worth), "<i4").astype(np.int64), weights, directions)
-            number = (part << 24) + made
-            made += 1
-            held.clear()
-            entries = 0
-            values = {"shard": pa.array([number]), "seed": pa.array([int((number * 0x9E3779B97F4A7C15 >> 32) % SEED_SHARE == 0)], pa.int32()),
-                      "doc_ids": pa.array([found.pop("doc_ids").to_pylist()], pa.list_(pa.int64()))}
-            values |= {k: pa.array([v], pa.binary()) for k, v in found.items()}
-            names = [x.split()[0] for x in SHARDS.split(", ")]
-            return pa.RecordBatch.from_arrays([values[x] for x in names], names)
+            found = _shard(pa.concat_arrays(ids), np.concatenate(held_sizes), np.concatenate(held_terms), np.concatenate(held_gains), weights, lists, directions)
+            for held in (ids, held_terms, held_gains, held_sizes):
+                held.clear()
+            columns = {"doc_ids": pa.array([found.pop("doc_ids").to_pylist()], pa.list_(pa.int64())), **{k: pa.array([v], pa.binary()) for k, v in found.items()}}
+            return pa.RecordBatch.from_arrays([columns[x] for x in names], names)
 
+        docs = entries = 0
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns[:3], ["doc_ids", "terms", "gains"])
-            widths = [len(x) // 4 for x in batch.column(1).to_pylist()]
-            begin, docs_held = 0, sum(b.num_rows for b in held)
-            for i, width in enumerate(widths):
-                if (docs_held + i - begin) and (docs_held + i - begin >= SHARD_DOCS or entries + width > SHARD_ENTRIES):
-                    if i > begin:
-                        held.append(batch.slice(begin, i - begin))
+            raw = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 4 for x in raw], np.int64)
+            terms = np.frombuffer(b"".join(raw), "<i4").astype(np.int64)
+            gains = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4").astype(np.int64)
+            end = np.cumsum(sizes)
+            rows = np.flatnonzero(row_sums_of(listed[terms].astype(np.int64), end))
+            begin = 0
+            for place, size in enumerate(sizes[rows].tolist()):
+                if docs and (docs >= SHARD_DOCS or entries + size > SHARD_ENTRIES):
+                    take(batch, rows[begin:place], sizes, end, terms, gains, ids, held_terms, held_gains, held_sizes)
                     yield emit()
-                    begin, docs_held = i, 0
-                entries += width
-            if begin < len(widths):
-                held.append(batch.slice(begin))
-        if held:
+                    begin, docs, entries = place, 0, 0
+                docs, entries = docs + 1, entries + size
+            take(batch, rows[begin:], sizes, end, terms, gains, ids, held_terms, held_gains, held_sizes)
+        if docs:
             yield emit()
 
-    return Index(shared.stage(spread.mapInArrow(cut, SHARDS), "lexical-index", ["seed"]), known, weights)
+    return shared.stage(spread.mapInArrow(cut, SHARDS), "lexical-index")
+
+
+def take(batch: pa.RecordBatch, rows: np.ndarray, sizes, end, terms, gains, ids: list, held_terms: list, held_gains: list, held_sizes: list) -> None:
+    """Adds rows of a batch to the shard that is being filled."""
+    if len(rows):
+        spots = ranges(end[rows] - sizes[rows], sizes[rows])
+        ids.append(batch.column(0).take(pa.array(rows)))
+        held_terms.append(terms[spots])
+        held_gains.append(gains[spots])
+        held_sizes.append(sizes[rows])
 
 
 @dataclass
 class Items:
-    """Numbers of some items, and for each the vocabulary's terms with weight x repeats (CSR)."""
+    """Numbers of some items, and for each the vocabulary's terms with weight x repeats, and whether the item needs the term's list (CSR)."""
 
     numbers: np.ndarray
     first: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
+    needed: np.ndarray
 
 
 class Best:
     """The best documents found so far of each item."""
 
     def __init__(self, items: Items, k: int, thresholds: np.ndarray):
-        self.k, self.least = k, np.maximum(thresholds, 1)
+        self.numbers, self.k, self.least = items.numbers, k, np.maximum(thresholds, 1)
         self.scores = [np.zeros(0, np.int64) for _ in items.numbers]
         self.ids = [np.zeros(0, np.int64) for _ in items.numbers]
         self.blank = [np.zeros(0, bool) for _ in items.numbers]
@@ -361,6 +424,12 @@ class Best:
         if len(order) == self.k:
             self.least[i] = max(self.least[i], scores[order[-1]])
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        number = np.repeat(self.numbers, [len(s) for s in self.scores])
+        if len(number):
+            ids = pa.array(np.concatenate(self.ids), mask=np.concatenate(self.blank))
+            yield pa.RecordBatch.from_arrays([pa.array(number), ids, pa.array(np.concatenate(self.scores))], ["item", "doc_id", "score"])
+
 
 def _search_shard(batch: pa.RecordBatch, row: int, items: Items, size: int, best: Best) -> None:
     """Adds the shard's documents that could be among an item's best."""
@@ -377,16 +446,15 @@ def _search_shard(batch: pa.RecordBatch, row: int, items: Items, size: int, best
     worth = np.zeros(size, np.int64)
     block_sizes, summary_sizes, widths = np.diff(large["block_first"]), np.diff(large["summary_first"]), np.diff(large["doc_first"])
     for i in range(len(items.numbers)):
-        terms = items.terms[items.first[i]:items.first[i + 1]]
-        value = items.weights[items.first[i]:items.first[i + 1]]
-        here = where[terms] >= 0
-        terms, value = terms[here], value[here]
+        own = slice(items.first[i], items.first[i + 1])
+        here = largest[items.terms[own]] > 0
+        terms, value, needed = items.terms[own][here], items.weights[own][here], items.needed[own][here]
         most = value * largest[terms]
         if most.sum() < best.least[i]:
             continue
-        order = np.argsort(most, kind="stable")
-        need = order[np.cumsum(most[order]) >= best.least[i]]  # documents in the other lists alone stay below
-        lists = where[terms[need]]
+        order = np.argsort(np.where(needed, most, -1), kind="stable")  # terms whose list the item does not need first
+        use = order[np.cumsum(most[order]) >= best.least[i]]  # documents with the other terms alone stay below
+        lists = where[terms[use[needed[use]]]]
         blocks = ranges(large["list_first"][lists], large["list_first"][lists + 1] - large["list_first"][lists])
         worth[terms] = value
         sizes = summary_sizes[blocks]
@@ -420,12 +488,9 @@ def _asked(shards: DataFrame, items: Items, size: int, k: int, thresholds: np.nd
         for batch in batches:
             for row in range(batch.num_rows):
                 _search_shard(batch, row, items, size, best)
-        number = np.repeat(items.numbers, [len(s) for s in best.scores])
-        if len(number):
-            ids = pa.array(np.concatenate(best.ids), mask=np.concatenate(best.blank))
-            yield pa.RecordBatch.from_arrays([pa.array(number), ids, pa.array(np.concatenate(best.scores))], ["item", "doc_id", "score"])
+        yield from best.rows()
 
-    return shards.mapInArrow(run, "item bigint, doc_id bigint, score bigint")
+    return shards.mapInArrow(run, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -433,22 +498,75 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query(index: Index, asked: dict[int, Counter], k: int = TOP) -> DataFrame:
-    """item, rank, doc_id and score for the items (number: counts of their terms), exactly."""
-    place = {term: i for i, term in enumerate(index.vocabulary.terms)}
-    numbers, rows = sorted(asked), []
-    for number in numbers:
-        rows.append(sorted((place[t], n) for t, n in asked[number].items() if t in place and index.weights[place[t]] > 0))
+def _numbered(counted: Counted, asked: dict[int, Counter]) -> Items:
+    place = {term: i for i, term in enumerate(counted.vocabulary.terms)}
+    numbers = sorted(asked)
+    rows = [sorted((place[t], n) for t, n in asked[number].items() if t in place and counted.weights[place[t]] > 0) for number in numbers]
     flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
     first = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
-    items = Items(np.array(numbers, np.int64), first, flat[:, 0], flat[:, 1] * index.weights[flat[:, 0]])
-    size = len(index.vocabulary)
-    begin = np.zeros(len(numbers), np.int64)
-    seeds = _ranked(_asked(index.shards.where("seed = 1"), items, size, k, begin), k).where(F.col("rank") == k).select("item", "score").collect()  # one row per item
-    spot = {number: i for i, number in enumerate(numbers)}
-    for row in seeds:
-        begin[spot[row["item"]]] = row["score"]
-    return _ranked(_asked(index.shards, items, size, k, begin), k)
+    return Items(np.array(numbers, np.int64), first, flat[:, 0], flat[:, 1] * counted.weights[flat[:, 0]], np.ones(len(flat), bool))
+
+
+def _scored(gains: DataFrame, items: Items, size: int, k: int) -> DataFrame:
+    """item, doc_id and score of the ``k`` best documents of each task, every document scored."""
+
+    def run(batches):
+        best = Best(items, k, np.zeros(len(items.numbers), np.int64))
+        worth = np.zeros(size, np.int64)
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            end = np.cumsum([len(x) // 4 for x in raw])
+            terms = np.frombuffer(b"".join(raw), "<i4")
+            gains = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4").astype(np.int64)
+            blank = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for i in range(len(items.numbers)):
+                own = slice(items.first[i], items.first[i + 1])
+                worth[items.terms[own]] = items.weights[own]
+                best.add(i, row_sums_of(worth[terms] * gains, end), ids, blank)
+                worth[items.terms[own]] = 0
+        yield from best.rows()
+
+    return gains.select("doc_id", "terms", "gains").mapInArrow(run, FOUND)
+
+
+def first_thresholds(counted: Counted, items: Items, k: int) -> np.ndarray:
+    """Each item's ``k``-th best score in the drawn share of the documents; 0 if it has fewer."""
+    out = np.zeros(len(items.numbers), np.int64)
+    spot = {number: i for i, number in enumerate(items.numbers.tolist())}
+    found = _ranked(_scored(counted.gains.where("seed = 1"), items, len(counted.vocabulary), k), k)
+    for row in found.where(F.col("rank") == k).select("item", "score").collect():  # one row per item
+        out[spot[row["item"]]] = row["score"]
+    return out
+
+
+def needed_lists(items: Items, largest: np.ndarray, thresholds: np.ndarray) -> Lists:
+    """The lists without which an item's other terms could reach its threshold; marks them in ``items.needed``."""
+    size = len(largest)
+    pairs, count = [], 0
+    for i in range(len(items.numbers)):
+        own = slice(items.first[i], items.first[i + 1])
+        terms, most = items.terms[own], items.weights[own] * largest[items.terms[own]]
+        order = np.argsort(most, kind="stable")
+        items.needed[own][order] = np.cumsum(most[order]) >= max(thresholds[i], 1)
+        lists = terms[items.needed[own]]
+        count += len(lists) * len(terms)
+        if count <= MOST_PAIRS:
+            pairs.append((lists[:, None] * size + terms[None, :]).ravel())
+    listed = np.zeros(size, bool)
+    listed[items.terms[items.needed]] = True
+    if count > MOST_PAIRS:
+        return Lists(listed, np.zeros(size + 1, np.int64), None)
+    keys = np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)]))
+    return Lists(listed, np.searchsorted(keys, np.arange(size + 1) * size), keys % max(1, size))
+
+
+def query(counted: Counted, asked: dict[int, Counter], k: int = TOP) -> DataFrame:
+    """item, rank, doc_id and score for the items (number: counts of their terms), exactly."""
+    items = _numbered(counted, asked)
+    thresholds = first_thresholds(counted, items, k)
+    index = build(counted, needed_lists(items, counted.largest, thresholds))
+    return _ranked(_asked(index, items, len(counted.vocabulary), k, thresholds), k)
 
 
 def _sets(items: DataFrame) -> Iterator[dict[int, Counter]]:
@@ -489,7 +607,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, item_id: str = "item
     listed = shared.stage(named.mapInArrow(split, f"item bigint, item_id {kind}, terms array<string>").where(F.size("terms") > 0), "lexical-items")
     out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")
     for asked in _sets(listed):
-        index = build(docs, sorted(set().union(*asked.values())))
-        found = shared.stage(query(index, asked, k), "lexical-found")
+        counted = count(docs, sorted(set().union(*asked.values())))
+        found = shared.stage(query(counted, asked, k), "lexical-found")
         out = out.unionByName(found.join(listed.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score"))
     return out
