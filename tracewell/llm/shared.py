@@ -53,6 +53,22 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def drop_staged(staged: DataFrame) -> None:
+    """Deletes the folder of a table that ``stage`` wrote, when nothing reads it any more."""
+    spark = staged.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {x.rsplit("/", 1)[0] for x in staged.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
+def replace(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """Stages ``df``, which is made from the staged table ``old`` alone, and deletes ``old``."""
+    new = stage(df, name)
+    drop_staged(old)
+    return new
+
+
 def prefix_base(parts: DataFrame, key: str, size: Column, out: str) -> DataFrame:
     """Sum of ``size`` over the parts before each one. ``parts`` has one row per partition, so one task may order it."""
     earlier = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
