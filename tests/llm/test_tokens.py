@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tracewell.llm import byte_bpe, packing, queries, shared, token_files
+from tracewell.llm import bpe_cache, byte_bpe, packing, queries, shared, token_files
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -191,3 +191,20 @@ def test_special_tokens(spark, tmp_path):
     for r in sorted(corpus_pipeline.packed(spark, docs, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start)):
         again.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert again == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_merges_match_library(name, odd_texts):
+    """Pieces encoded by merges alone are those of the library: every plain character alone, in pairs and between letters, and random pieces."""
+    coder, whole = bpe_cache.Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    assert coder.merges is not None
+    signs = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x100)]]
+    rng = np.random.default_rng(3)
+    pieces = signs + [a + b for a in signs for b in signs[::7]] + [f"ab{c}cd" for c in signs] + [f"{c}'S{c}" for c in signs] + [f"a{c}" for c in signs]
+    pieces += ["".join(rng.choice(signs, int(rng.integers(1, 12)))) for _ in range(5000)] + ["".join(rng.choice(list("aeinrst'.,S1"), 9)) for _ in range(5000)]
+    pieces += ["İ", "ﬁ", "e\u0301", "Σ", "Σας", "ΑΣ", "漢字", "ab\u00a0cd", "x\x85y", "\x7f", "\x00", "y" * 300]
+    texts = ["", " ", *pieces, " ".join(pieces), *(t or "" for t in odd_texts)] + [f" {x} {x}" for x in pieces[::11]]
+    found = coder.encode(texts, special=True)
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    for text, mine, ids in zip(texts, found, want):
+        assert np.frombuffer(mine, f"<u{coder.width}").tolist() == ids.ids, text[:80]
