@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from tests.llm.brute import words
-from tracewell.llm import line_crf, quality, queries, shared
+from tracewell.llm import line_crf, quality, queries, shared, training
 
 SMOKE = "/root/testdata/sf0.001"
 TABLES = "/root/testdata/sf0.01"
@@ -112,7 +112,11 @@ def test_crf_long_labelled_text(spark, monkeypatch):
     assert len(score) == 40
     assert min(score[i] for i in ids[1:] if i % 2) > 0.6 > 0.4 > max(score[i] for i in ids[1:] if not i % 2)
     # a text that does not fit any more is passed over, and later ones are still used
-    monkeypatch.setattr(line_crf, "SAMPLE_BYTES", 10)
-    assert line_crf._fill([{"doc_id": i, "label": 1, "_bytes": n} for i, n in enumerate((6, 5, 3, 2, 1))]) == [(0, 1), (2, 1), (4, 1)]
+    assert training._fill([{"doc_id": i, "label": 1, "_bytes": n} for i, n in enumerate((6, 5, 3, 2, 1))], 10) == [(0, 1), (2, 1), (4, 1)]
     with pytest.raises(ValueError):
         line_crf.train(docs.where(F.col("doc_id") == ids[0]), labels)
+    monkeypatch.setattr(quality, "TEXT_BYTES", 1000)
+    kept = {r.doc_id: r.probability for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert len(kept) == 40 and min(kept[i] for i in ids[1:] if i % 2) > max(kept[i] for i in ids[1:] if not i % 2)
+    with pytest.raises(ValueError):
+        quality.train(docs.where(F.col("doc_id") == ids[0]), labels)

@@ -195,45 +195,33 @@ def fit(texts: Texts, label: np.ndarray, steps: int = STEPS) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on a bounded sample of labelled rows for which ``allowed`` (on labels) holds; a fifth of it calibrates.
+    """Fits on a bounded sample (``training.labelled``) of labelled rows for which ``allowed`` (on labels) holds, in one task; a
+    fifth of it calibrates.
 
-    Documents are drawn in the order of a hash of their id among those of at most TEXT_BYTES; each is used whole if it
-    still fits into SAMPLE_BYTES, else the next is tried. Sizes are known before any text is gathered. Without labelled
-    documents every text scores one half; if there are some and all are too long, that is an error.
+    Without labelled documents every text scores one half; if there are some and all are longer than TEXT_BYTES, that is an error.
     """
-    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("_bytes"))
-    drawn = training.drawn(labels, sample_rows, allowed, sizes, F.col("_bytes") <= TEXT_BYTES).collect()
-    if not drawn and training.drawn(labels, 1, allowed, sizes).count():
-        raise ValueError(f"each labelled document has more than {TEXT_BYTES} bytes")
-    chosen = docs.sparkSession.createDataFrame(_fill(drawn), "doc_id bigint, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    sample = training.labelled(docs, labels, sample_rows, TEXT_BYTES, SAMPLE_BYTES, allowed)
+    found = training.in_one_task(sample.select("doc_id", "text", "label"), _fit)
+    return Model(found["unary"], found["grams"], found["pair"], *found["rest"].tolist())
+
+
+def _fit(rows: pa.Table) -> dict[str, np.ndarray]:
+    rows = rows.sort_by("doc_id")
     label = np.array(rows.column("label").to_pylist(), float)
-    if not len(label):
-        return Model(np.zeros(UNARY), np.zeros(GRAMS), np.zeros((2, 2)), 1.0, 0.0)
-    fold = np.array([x // 5 % 5 for x in rows.column("doc_id").to_pylist()])
-    column = rows.column("text").combine_chunks().fill_null("")
+    fold = np.array([x // 5 % 5 for x in rows.column("doc_id").to_pylist()], int)
+    column = _one(rows.column("text").combine_chunks()).fill_null("")
     pick = lambda chosen: buffers(_one(column.take(pa.array(np.flatnonzero(chosen)))))
     model = fit(pick(fold != 4), label[fold != 4]) if (fold != 4).any() else Model(np.zeros(UNARY), np.zeros(GRAMS), np.zeros((2, 2)), 1.0, 0.0)
     if (fold == 4).any():
         raw = training.logit(np.clip(model.raw(pick(fold == 4)), 1e-4, 1 - 1e-4))
         model.slope, model.shift = training.fit_platt(raw, label[fold == 4])
-    return model
+    return {"unary": model.unary, "grams": model.grams, "pair": model.pair, "rest": np.array([model.slope, model.shift])}
 
 
 def _one(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _fill(drawn: list) -> list[tuple[int, int]]:
-    """(doc_id, label) of the documents that fit into SAMPLE_BYTES one after another; one that does not is passed over."""
-    left, out = SAMPLE_BYTES, []
-    for r in drawn:
-        if r["_bytes"] <= left:
-            left -= r["_bytes"]
-            out.append((r["doc_id"], r["label"]))
-    return out
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row. A null text is empty: one empty line. Other columns are not read."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size

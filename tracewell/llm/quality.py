@@ -17,6 +17,8 @@ from tracewell.llm import shared, training
 from tracewell.llm.words import BYTE_VALUE, Texts, Words, buffers, mix, range_hashes, runs, slices, words
 
 SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
+SAMPLE_BYTES = 32 << 20  # and their bytes, at most, for the one task that fits the model
+TEXT_BYTES = 4 << 20  # a labelled document with more is not learned from; it is scored like any other
 BITS = 16  # buckets of each of the three families
 FAMILIES = 3
 SCALE = 20.0
@@ -136,9 +138,18 @@ def _sparse(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on four fifths of the sample and calibrates on the rest. Without labelled rows every text gets one half."""
-    sample = training.labelled(docs, labels, sample_rows)
-    rows = sample.select("doc_id", "text", "label").mapInArrow(_sparse, "doc_id bigint, label int, buckets binary, values binary").toArrow().sort_by("doc_id")
+    """Fits on four fifths of a bounded sample (``training.labelled``) and calibrates on the rest, in one task.
+
+    Without labelled rows every text gets one half; if all labelled texts are longer than TEXT_BYTES, that is an error.
+    """
+    sample = training.labelled(docs, labels, sample_rows, TEXT_BYTES, SAMPLE_BYTES)
+    rows = sample.select("doc_id", "text", "label").mapInArrow(_sparse, "doc_id bigint, label int, buckets binary, values binary")
+    found = training.in_one_task(rows, _fit)
+    return Model(found["weights"], *found["rest"].tolist())
+
+
+def _fit(rows: pa.Table) -> dict[str, np.ndarray]:
+    rows = rows.sort_by("doc_id")
     fold = np.array([x % 5 for x in rows.column("doc_id").to_pylist()], int)
     label = np.array(rows.column("label").to_pylist(), float)
     index, first = _flat(rows.column("buckets"), "<i4")
@@ -147,8 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     weights, bias = training.fit_logistic(index, value, first, label, FAMILIES << BITS, (fold != 4).astype(float))
     held = fold == 4
     margin = training.row_sums(weights[index] * value, first) + bias
-    slope, shift = training.fit_platt(margin[held], label[held])
-    return Model(weights.astype(np.float32), bias, slope, shift)
+    return {"weights": weights.astype(np.float32), "rest": np.array([bias, *training.fit_platt(margin[held], label[held])])}
 
 
 def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:

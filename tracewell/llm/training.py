@@ -1,18 +1,57 @@
 """Bounded labelled samples and logistic regression on sparse rows, for the classifiers."""
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int, allowed: Column | None = None, label: str = "quality") -> DataFrame:
-    """Texts of at most ``rows`` labelled documents (doc_id, text, label), drawn by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int, sample_bytes: int, allowed: Column | None = None,
+             label: str = "quality") -> DataFrame:
+    """doc_id, text and label of a bounded sample of labelled documents, drawn in the order of a hash of their ids.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels for one id the smaller holds. The sample of
-    ids is bounded by ``rows``, so it may be broadcast; documents are read whole.
+    At most ``rows`` documents of at most ``text_bytes`` each; each is used whole if it still fits into ``sample_bytes``,
+    else the next is tried. Sizes are known before any text is gathered. Labels other than 0 and 1 and null ids are left out;
+    of several labels for one id the smaller holds. No labelled documents give no rows; if there are some and all are too
+    long, that is an error. The ids are bounded by ``rows``, so they are broadcast.
     """
-    return docs.select("doc_id", "text").join(F.broadcast(drawn(labels, rows, allowed, label=label)), "doc_id")
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("_bytes"))
+    found = drawn(labels, rows, allowed, sizes, F.col("_bytes") <= text_bytes, label).collect()
+    if not found and drawn(labels, 1, allowed, sizes, label=label).count():
+        raise ValueError(f"each labelled document has more than {text_bytes} bytes")
+    chosen = docs.sparkSession.createDataFrame(_fill(found, sample_bytes), "doc_id bigint, label int")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def _fill(found: list, most: int) -> list[tuple[int, int]]:
+    """(doc_id, label) of the documents that fit into ``most`` bytes one after another; one that does not is passed over."""
+    out = []
+    for r in found:
+        if r["_bytes"] <= most:
+            most -= r["_bytes"]
+            out.append((r["doc_id"], r["label"]))
+    return out
+
+
+def in_one_task(sample: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What ``fit`` makes of all rows of a bounded sample, run in one task: the driver holds neither the rows nor the fit."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            out = io.BytesIO()
+            np.savez(out, **fit(pa.Table.from_batches(held)))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    if not found:
+        return fit(sample.limit(0).toArrow())
+    with np.load(io.BytesIO(found[0]["model"])) as arrays:
+        return {k: arrays[k] for k in arrays.files}
 
 
 def drawn(labels: DataFrame, rows: int, allowed: Column | None = None, sizes: DataFrame | None = None, fits: Column | None = None,
