@@ -121,7 +121,7 @@ def test_evidence_is_reduced_before_it_is_joined(spark):
     evidence = spark.createDataFrame([], "gid string, ts long, id string, signature string, scope_key string, concrete boolean, impact string, "
                                          "text string, profile string, event string, severity string, record_role string")
     findings = spark.createDataFrame([], "id string, decision string")
-    coverage = spark.createDataFrame([], "finding_id string, history_id long, completed_at long, signature string, reopened_at long")
+    coverage = spark.createDataFrame([], "finding_id string, history_id long, completed_at long, signature string, reopened_at long, scope_key string, concrete boolean, impact string")
 
     def joins_below_the_aggregate(df):
         """True when some partial max_by or min_by of evidence has a join underneath."""
@@ -137,9 +137,12 @@ def test_evidence_is_reduced_before_it_is_joined(spark):
     few = findings.select(F.col("id").alias("gid"))
     assert joins_below_the_aggregate(evidence.join(few, "gid", "left_semi").groupBy("gid").agg(F.max_by("text", "ts")))
     assert not joins_below_the_aggregate(O.latest(evidence).join(few, "gid", "left_semi"))
-    assert not joins_below_the_aggregate(C.basis(evidence, findings, coverage))
+    current = C.basis(evidence, findings, coverage)
+    done = C.covered(current, coverage)
+    for later in (done, C.uncertain(current, findings, coverage, done), C.busy(findings.select("id"), current)):
+        assert "gid" not in plan(later)  # evidence is read once, for the basis
     assert not joins_below_the_aggregate(O.promote(findings, evidence))
-    assert not joins_below_the_aggregate(Z.first_per_finding(Z.serious(evidence)).join(few, "gid", "left_anti"))
+    assert not joins_below_the_aggregate(Z.serious_per_finding(Z.serious(evidence)).join(few, "gid", "left_anti"))
 
 
 def test_budget_prefix_counts_empty_items_and_refuses_an_oversize_first(spark):

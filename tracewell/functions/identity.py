@@ -32,6 +32,13 @@ def record_id(path: Column, start: Column, end: Column, text: Column, cursor: Co
     return digest(F.coalesce(path, F.lit("journald")), start, end, text, cursor, ts)
 
 
+def evidence_id(host: Column, profile: Column, path: Column, record: Column, start: Column, end: Column, cursor: Column, ts: Column, text: Column,
+                kept: tuple[Column, ...] = ()) -> Column:
+    """Identity of a stored record. ``kept``: inode, device and content hash of the file at capture, where they were kept: the
+    same text at the same place of a replaced file is other evidence, and ids of records without them do not change."""
+    return digest(host, profile, path, record, start, end, cursor, ts, text, *kept)
+
+
 def finding_id(fingerprint: Column, severity: Column) -> Column:
     return F.left(digest(fingerprint, severity), F.lit(20))
 

@@ -10,8 +10,10 @@ from tracewell.functions import regex as rx
 from tracewell.functions import text as T
 from tracewell.operators import scan
 from tracewell.operators.ledger import latest, members
+from tracewell.session import cut_lineage
 
 MAX_REFERENCES = 3
+MIN_QUOTE, MAX_QUOTE = 20, 3000
 ID_CHUNK = 1_000_000
 
 
@@ -41,30 +43,43 @@ def _cutoffs(coverage: DataFrame) -> DataFrame:
 
 
 def basis(evidence: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Current evidence of the findings that matter: undecided, approved, or covered before."""
+    """Current evidence of the findings that matter: undecided, approved, or covered before. id, evidence_id, signature,
+    scope_key, concrete and impact; no text.
+
+    Every question below starts from it, so it is reduced once and kept (a reliable checkpoint): evidence is read once.
+    """
     relevant = findings.filter("decision IS NULL OR decision = 'rca'").select("id").union(
         coverage.select(F.col("finding_id").alias("id"))).distinct()
     # coverage may name findings that no longer exist
     known = relevant.join(findings.select("id"), "id", "left_semi")
-    newest = latest(evidence.select("gid", "ts", "id", "signature", "scope_key", "concrete", "impact", "text"))
-    return newest.withColumnRenamed("id", "evidence_id").withColumnRenamed("gid", "id").join(known, "id", "left_semi")
+    newest = latest(evidence.select("gid", "ts", "id", "signature", "scope_key", "concrete", "impact")).drop("ts")
+    return cut_lineage(newest.withColumnRenamed("id", "evidence_id").withColumnRenamed("gid", "id").join(known, "id", "left_semi"))
 
 
-def covered(evidence: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    """id, history_id: the earliest investigation whose evidence signature is the finding's current one.
+def covered(current: DataFrame, coverage: DataFrame) -> DataFrame:
+    """id, history_id: the earliest investigation whose evidence signature is the current one of a finding of ``basis``.
 
-    It must not be reopened and must be later than the finding's own cutoff.
-    Per signature the candidates are reduced to a running minimum over history
-    ids, so no pairs of findings and investigations are ever formed.
+    It must not be reopened and must be later than the finding's own cutoff. Findings without a cutoff only need the
+    earliest link of their signature: one row per signature, joined back to any number of findings in salted parts. For
+    the few with a cutoff the distinct (signature, cutoff) are answered by a running minimum over history ids. So no pairs of
+    findings and investigations are ever formed, and a signature that a third of all findings have is no task of its own.
     """
     c = F.col
-    current = basis(evidence, findings, coverage).select("id", "signature").join(_cutoffs(coverage), "id", "left")
+    asked = current.select("id", "signature").join(_cutoffs(coverage), "id", "left")
     links = coverage.filter("reopened_at IS NULL").select(
-        "signature", c("history_id").alias("at"), F.struct("completed_at", "history_id").alias("candidate"), F.lit(None).cast("string").alias("id"))
-    asked = current.select("signature", (F.coalesce("cutoff", F.lit(-1)) + 1).alias("at"),
-                           F.lit(None).cast(links.schema["candidate"].dataType).alias("candidate"), "id")
-    found = scan.running_min(links.unionByName(asked), ["signature"], "at", c("candidate"), "first", ID_CHUNK)
-    return found.filter("id IS NOT NULL AND first IS NOT NULL").select("id", c("first.history_id").alias("history_id"))
+        "signature", c("history_id").alias("at"), F.struct("completed_at", "history_id").alias("candidate"))
+    earliest = links.groupBy("signature").agg(F.min("candidate").alias("first"))
+    plain = scan.salted_join(asked.filter("cutoff IS NULL").select("id", "signature"), earliest, ["signature"], how="inner")
+    late = asked.filter("cutoff IS NOT NULL").withColumn("at", c("cutoff") + 1).select("id", "signature", "at")
+    places = late.select("signature", "at").distinct()
+    wanted = links.join(places.select("signature").distinct(), "signature", "left_semi").withColumn("asked", F.lit(False))
+    nothing = F.lit(None).cast(links.schema["candidate"].dataType)
+    found = scan.running_min(
+        wanted.unionByName(places.select("signature", "at", nothing.alias("candidate"), F.lit(True).alias("asked"))),
+        ["signature"], "at", c("candidate"), "first", ID_CHUNK)
+    answers = found.filter("asked AND first IS NOT NULL").select("signature", "at", "first")
+    behind = scan.salted_join(late, answers, ["signature", "at"], how="inner")
+    return plain.select("id", c("first.history_id").alias("history_id")).union(behind.select("id", "first.history_id"))
 
 
 def _references(coverage: DataFrame, key: str) -> DataFrame:
@@ -79,31 +94,34 @@ def _references(coverage: DataFrame, key: str) -> DataFrame:
     return earliest.join(few.groupBy(key).agg(F.array_sort(F.collect_list("history_id")).alias("history_ids")), key)
 
 
-def uncertain(evidence: DataFrame, findings: DataFrame, coverage: DataFrame, covered_by: DataFrame) -> DataFrame:
-    """Findings not covered, but with prior investigations of their own or of the same concrete scope.
+def uncertain(current: DataFrame, findings: DataFrame, coverage: DataFrame, covered_by: DataFrame) -> DataFrame:
+    """Findings of ``basis`` that are not covered, but have prior investigations of their own or of the same concrete scope.
 
     state is 'uncertain' with up to three references, or 'reopen' when the
     scope or the impact changed since the earliest of them.
     """
     c = F.col
     open_ = findings.filter("decision IS NULL OR decision = 'rca'").select("id")
-    now = basis(evidence, findings, coverage).join(open_, "id", "left_semi").join(covered_by.select("id"), "id", "left_anti").join(
+    now = current.join(open_, "id", "left_semi").join(covered_by.select("id"), "id", "left_anti").join(
         _cutoffs(coverage), "id", "left_anti")
     own = _references(coverage.withColumn("id", c("finding_id")), "id").select("id", c("prior").alias("_own"), c("history_ids").alias("_own_ids"))
     shared = _references(coverage.filter("concrete").withColumn("_scope", c("scope_key")), "_scope").select(
         c("_scope").alias("scope_key"), c("prior").alias("_shared"), c("history_ids").alias("_shared_ids"))
-    joined = now.join(own, "id", "left").join(shared, "scope_key", "left").withColumns({
+    joined = scan.salted_join(now.join(own, "id", "left"), shared, ["scope_key"]).withColumns({
         "_prior": F.coalesce("_own", "_shared"), "history_ids": F.coalesce("_own_ids", "_shared_ids")}).filter("_prior IS NOT NULL")
     same = c("scope_key").eqNullSafe(c("_prior.scope_key")) & c("impact").eqNullSafe(c("_prior.impact"))
     return joined.select("id", F.when(same, "uncertain").otherwise("reopen").alias("state"), "history_ids", c("_prior.history_id").alias("prior_id"))
 
 
-def busy(batches: DataFrame, evidence: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Members of running and blocked batches, and every finding whose current signature equals one of theirs."""
-    held = members(batches.filter("status IN ('running', 'blocked')")).select("id").distinct()
-    current = basis(evidence, findings, coverage).select("id", "signature")
-    signatures = current.join(held, "id", "left_semi").select("signature").distinct()
-    return held.union(current.join(signatures, "signature", "left_semi").select("id")).distinct()
+def held(batches: DataFrame) -> DataFrame:
+    """Members of running and blocked batches."""
+    return members(batches.filter("status IN ('running', 'blocked')")).select("id").distinct()
+
+
+def busy(ids: DataFrame, current: DataFrame) -> DataFrame:
+    """``ids``, and every finding of ``basis`` whose signature equals one of theirs."""
+    signatures = current.join(ids.select("id").distinct(), "id", "left_semi").select("signature").distinct()
+    return ids.select("id").union(current.select("id", "signature").join(signatures, "signature", "left_semi").select("id")).distinct()
 
 
 def relations(claims: DataFrame, history: DataFrame) -> DataFrame:
@@ -135,11 +153,18 @@ def reopenings(claims: DataFrame, evidence: DataFrame, coverage: DataFrame) -> D
     newest = latest(evidence.select("gid", "ts", "id", "text")).select(
         c("gid").alias("finding_id"), c("id").alias("_current"), c("text").alias("_text"))
     joined = claims.join(newest, "finding_id", "left")
-    known = coverage.select("finding_id", "evidence_text").distinct()
-    asked = joined.select("claim_id", c("finding_id").alias("_finding"), "quote")
-    repeated = asked.join(known, (c("_finding") == c("finding_id")) & c("evidence_text").contains(c("quote")), "left_semi").select(
-        "claim_id", F.lit(True).alias("_known"))
-    cites = (c("_current") == c("evidence_id")) & F.length("quote").between(20, 3000) & c("_text").contains(c("quote")) & c("_known").isNull()
+    # A quote is looked up by its first characters among all places of its finding's covered texts; only texts that hold
+    # them are compared with the whole quote, so no pairs of claims and texts are formed.
+    asked = joined.filter(F.length("quote") >= MIN_QUOTE).select(
+        "claim_id", c("finding_id").alias("_finding"), "quote", F.xxhash64(F.left("quote", F.lit(MIN_QUOTE))).alias("_start"))
+    texts = coverage.select("finding_id", "evidence_text").distinct().join(
+        asked.select(c("_finding").alias("finding_id")).distinct(), "finding_id", "left_semi")
+    places = F.sequence(F.lit(1), F.length("evidence_text") - (MIN_QUOTE - 1))
+    held = texts.filter(F.length("evidence_text") >= MIN_QUOTE).select("finding_id", "evidence_text", F.explode(F.array_distinct(
+        F.transform(places, lambda i: F.xxhash64(F.substr("evidence_text", i, F.lit(MIN_QUOTE)))))).alias("_place"))
+    repeated = asked.join(held, (c("_finding") == c("finding_id")) & (c("_start") == c("_place")) & c("evidence_text").contains(c("quote")), "left_semi").select(
+        "claim_id", F.lit(True).alias("_known")).distinct()
+    cites = (c("_current") == c("evidence_id")) & F.length("quote").between(MIN_QUOTE, MAX_QUOTE) & c("_text").contains(c("quote")) & c("_known").isNull()
     authorised = F.length("owner_authorization") >= 12
     reasoned = F.length("reason").between(20, 1000)
     verdict = reasoned & F.when(F.coalesce("owner_authorization", F.lit("")) != "", authorised).otherwise(cites)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import scan
-from tracewell.operators.serious import first_per_finding, serious
+from tracewell.operators.serious import serious, serious_per_finding
 
 COOLDOWN_SECONDS = 3600
 RETENTION_SECONDS = 72 * 3600
@@ -66,20 +66,22 @@ def ingest(evidence: DataFrame, findings: DataFrame, rows: DataFrame) -> tuple[D
 
 
 def alias(new: DataFrame, findings: DataFrame) -> DataFrame:
-    """Where recurring scheduled or cooldown records attach: canonical_key -> finding.
+    """Attaches recurring scheduled or cooldown records of ``new`` to known findings by their canonical key.
 
-    When all findings of a key share one decision, the most complete one is
-    used; with no finding the key itself names a new one; with differing
-    decisions the record keeps its own.
+    ``findings`` have a canonical_key (see ``evidence.canonical_findings``). When all findings of a key share one decision, the
+    most complete one is used: most lanes done, then latest review, then greatest id. With no finding the key itself
+    names a new one; with differing decisions the record keeps its own id, as do records without a canonical key,
+    which are not shuffled. There is one row per key to join with, so a key with many records splits.
     """
     c = F.col
     done = c("lane_a_done").cast("int") + c("lane_b_done").cast("int")
     per_key = findings.groupBy("canonical_key").agg(
         F.countDistinct(F.coalesce("decision", F.lit(""))).alias("_decisions"),
         F.max_by("id", F.struct(done, F.coalesce("reviewed_at", F.lit(0)), "id")).alias("_best"))
-    return new.join(per_key, "canonical_key", "left").withColumn(
+    joined = scan.salted_join(new.filter(c("canonical_key").isNotNull()), per_key, ["canonical_key"]).withColumn(
         "gid", F.when(c("_decisions") == 1, c("_best")).when(c("_decisions").isNull(), F.left("canonical_key", F.lit(20)))
-        .otherwise(c("gid"))).drop("_decisions", "_best")
+        .otherwise(c("gid"))).select(*new.columns)
+    return joined.unionByName(new.filter(c("canonical_key").isNull()))
 
 
 def reopen(findings: DataFrame, fresh: DataFrame, now: Column, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
@@ -173,12 +175,15 @@ def expire(evidence: DataFrame, findings: DataFrame, batches: DataFrame, now: Co
 
 
 def promote(findings: DataFrame, evidence: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Report of undecided findings with a serious observation; it changes no decision."""
+    """Report of undecided findings with a serious observation, by their latest one; it changes no decision.
+
+    ``excluded``: findings that are covered, uncertain or worked on (``coverage.busy``).
+    """
     undecided = findings.filter(F.col("decision").isNull()).select(F.col("id").alias("gid"))
     if excluded is not None:
         undecided = undecided.join(excluded.select(F.col("id").alias("gid")), "gid", "left_anti")
     # Reduce evidence to one row per finding before the join: a busy finding is not a busy join key.
-    seen = first_per_finding(serious(evidence, event="event", role="record_role"))
+    seen = serious_per_finding(serious(evidence, event="event", role="record_role"))
     return seen.join(undecided, "gid", "left_semi").select(
         F.col("gid").alias("id"), "serious", "first_seen",
         F.concat(F.lit("Deterministic urgent observation; cause unverified: "), "serious", F.lit(" observed in unreviewed finding "), "gid").alias("reason"))

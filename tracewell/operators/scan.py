@@ -80,3 +80,13 @@ def global_position(df: DataFrame, order: list[Column], out: str = "position", p
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     return placed.join(F.broadcast(offsets), "_pid").withColumn(
         out, F.col("_offset") + F.col("_row") + 1).drop("_pid", "_row", "_offset")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "left") -> DataFrame:
+    """Joins a table in which one key may hold a third of all rows with one that has at most one row per key.
+
+    Left rows of a key are dealt over ``salts`` tasks by their content; right rows are repeated that often.
+    """
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
-from tracewell.operators import coverage as C, ledger as O, repairs as RP, serious as Z
+from tracewell.operators import coverage as C, evidence as EV, ledger as O, repairs as RP, serious as Z
 from tracewell.queries import adapters, duck as d
 from tracewell.queries import ledger_adapter as LA
 from tracewell.queries.ledger_adapter import NOW_S, read, sql
@@ -39,9 +39,9 @@ def finding_stats(spark, folder):
     return O.finding_stats(read(spark, folder, "evidence"))
 
 
-_NEW = """stored AS (SELECT * FROM evidence WHERE line_id % 3 = 0), known AS (SELECT * FROM findings WHERE id IN (SELECT gid FROM stored)),
- fresh AS (SELECT * FROM evidence WHERE line_id % 3 <> 0),
- opening AS (SELECT gid, arg_min(severity = 'ignore' OR record_role = 'continuation', {'a': ts, 'b': id}) AS quiet FROM fresh GROUP BY gid)"""
+_NEW = """had AS (SELECT * FROM evidence WHERE line_id % 3 = 0), known AS (SELECT * FROM findings WHERE id IN (SELECT gid FROM had)),
+ came AS (SELECT * FROM evidence WHERE line_id % 3 <> 0),
+ opening AS (SELECT gid, arg_min(severity = 'ignore' OR record_role = 'continuation', {'a': ts, 'b': id}) AS quiet FROM came GROUP BY gid)"""
 
 
 @query("join_new_evidence", sql("""SELECT id, CASE WHEN tracks THEN 'tracked' ELSE started END AS decision, tracks AS investigated FROM (
@@ -65,22 +65,20 @@ def stored_evidence(spark, folder):
     return rows.agg(F.count("*").alias("stored"), F.countDistinct("id").alias("ids"))
 
 
-_KEYED = """keyed AS (SELECT *, md5(concat('k', CAST(seq % 400 AS STRING))) AS canonical_key FROM findings),
+_CANONICAL = """known_rows AS (SELECT * FROM evidence WHERE line_id % 2 = 0),
+ newest AS (SELECT gid, arg_max({'k': canonical_key}, {'a': ts, 'b': id}).k AS canonical_key FROM known_rows GROUP BY gid),
  per_key AS (SELECT canonical_key, count(DISTINCT coalesce(decision, '')) AS decisions,
-   arg_max(id, {'d': CAST(lane_a_done AS INT) + CAST(lane_b_done AS INT), 'r': coalesce(reviewed_at, 0), 'i': id}) AS best FROM keyed GROUP BY canonical_key)"""
+   arg_max(f.id, {'d': CAST(lane_a_done AS INT) + CAST(lane_b_done AS INT), 'r': coalesce(reviewed_at, 0), 'i': f.id}) AS best
+   FROM newest n JOIN findings f ON f.id = n.gid WHERE canonical_key IS NOT NULL GROUP BY canonical_key)"""
 
 
-@query("join_alias_findings", sql("""SELECT r.id, CASE WHEN p.decisions = 1 THEN p.best WHEN p.decisions IS NULL THEN substr(r.canonical_key, 1, 20) ELSE r.gid END AS gid
-    FROM (SELECT id, gid, md5(concat('k', CAST(line_id % 500 AS STRING))) AS canonical_key FROM evidence WHERE line_id % 4 = 1) r LEFT JOIN per_key p USING (canonical_key)""", _KEYED))
+@query("join_alias_findings", sql("""SELECT r.id, CASE WHEN r.canonical_key IS NULL THEN r.gid WHEN p.decisions = 1 THEN p.best WHEN p.decisions IS NULL THEN left(r.canonical_key, 20) ELSE r.gid END AS gid,
+    r.canonical_key IS NOT NULL AS recurring FROM evidence r LEFT JOIN per_key p USING (canonical_key)""", _CANONICAL))
 def alias_findings(spark, folder):
     evidence, findings = _tables(spark, folder, "evidence", "findings")
-
-    def key(number):
-        return F.md5(F.concat(F.lit("k"), number.cast("string")))
-
-    keyed = findings.withColumn("canonical_key", key(F.col("seq") % 400))
-    new = evidence.filter("line_id % 4 = 1").select("id", "gid", key(F.col("line_id") % 500).alias("canonical_key"))
-    return O.alias(new, keyed).select("id", "gid")
+    known = EV.canonical_findings(evidence.filter("line_id % 2 = 0"), findings)
+    # All evidence is offered; the half that an earlier version stored is what the ledger knows.
+    return O.alias(evidence.select("id", "gid", "canonical_key"), known).select("id", "gid", F.col("canonical_key").isNotNull().alias("recurring"))
 
 
 @query("win_cooldown_reopen", sql(f"""SELECT f.id, due AS reopened, CASE WHEN NOT due THEN decision END AS decision FROM
@@ -94,8 +92,9 @@ def cooldown_reopen(spark, folder):
 _LABEL = f"CASE WHEN {d.has('bare', P.SERIOUS[0][1])} THEN '{P.SERIOUS[0][0]}' WHEN {d.has('bare', P.SERIOUS[1][1])} THEN '{P.SERIOUS[1][0]}' END"
 _SERIOUS = f"""bared AS (SELECT *, {d.sub('text', P.QUOTED_SPAN, ' ')} AS bare FROM evidence),
  labelled AS (SELECT *, CASE WHEN NOT {d.has('bare', P.ADAPTER_RECONNECT)} THEN {_LABEL} END AS label FROM bared),
- first_serious AS (SELECT gid, arg_min(label, {{'a': ts, 'b': id}}) AS serious, min(ts) AS first_seen FROM labelled
-   WHERE label IS NOT NULL AND severity <> 'ignore' AND record_role <> 'continuation' GROUP BY gid)"""
+ first_serious AS (SELECT gid, arg_max(label, {{'a': ts, 'b': id}}) AS serious, min(ts) AS first_seen FROM labelled
+   WHERE label IS NOT NULL AND severity <> 'ignore' AND record_role <> 'continuation'
+     AND NOT ({d.has('profile', P.HEALTH_PROFILE)} AND coalesce(event IN ({', '.join(d.q(e) for e in P.HEALTH_EVENTS)}), false)) GROUP BY gid)"""
 
 
 @query("win_review_priority", sql("""SELECT l.gid AS id, l.label IS NOT NULL AS serious, l.ts AS last, row_number() OVER (ORDER BY l.label IS NOT NULL DESC, l.ts DESC, l.gid) AS position
@@ -106,13 +105,6 @@ def review_priority(spark, folder):
     return O.prioritise(items)
 
 
-@query("ledger_promote_serious", sql("""SELECT s.gid AS id, s.serious, s.first_seen,
-    'Deterministic urgent observation; cause unverified: ' || s.serious || ' observed in unreviewed finding ' || s.gid AS reason
-    FROM first_serious s JOIN findings f ON f.id = s.gid WHERE f.decision IS NULL""", _SERIOUS))
-def promote_serious(spark, folder):
-    evidence, findings = _tables(spark, folder, "evidence", "findings")
-    return O.promote(findings, evidence.withColumn("event", F.lit(None).cast("string")))
-
 
 # --- batches and results ----------------------------------------------------------------------------
 _OUTCOME = """expected AS (SELECT DISTINCT batch_id, id FROM members WHERE kind = 'triage' AND bucket % 2 = 0),
@@ -187,24 +179,40 @@ COVERED = LATEST + """, cutoffs AS (SELECT finding_id, max(history_id) AS cutoff
 
 
 def ledger(spark, folder):
-    return _tables(spark, folder, "evidence", "findings", "coverage")
+    """Findings, coverage and the current evidence of the findings that matter."""
+    evidence, findings, coverage = _tables(spark, folder, "evidence", "findings", "coverage")
+    return findings, coverage, C.basis(evidence, findings, coverage)
 
 
 @query("join_coverage_exact", sql("SELECT id, history_id FROM covered", COVERED))
 def coverage_exact(spark, folder):
-    return C.covered(*ledger(spark, folder))
+    _, coverage, current = ledger(spark, folder)
+    return C.covered(current, coverage)
 
 
 @query("join_coverage_uncertain", sql(f"SELECT id, state, {d.join('ids')} AS history_ids, prior_id FROM doubtful", COVERED))
 def coverage_uncertain(spark, folder):
-    evidence, findings, coverage = ledger(spark, folder)
-    rows = C.uncertain(evidence, findings, coverage, C.covered(evidence, findings, coverage))
+    findings, coverage, current = ledger(spark, folder)
+    rows = C.uncertain(current, findings, coverage, C.covered(current, coverage))
     return rows.select("id", "state", F.array_join("history_ids", "|").alias("history_ids"), "prior_id")
 
 
 @query("join_busy_aliases", sql("SELECT id FROM busy", COVERED))
 def busy_aliases(spark, folder):
-    return C.busy(batches(spark, folder), *ledger(spark, folder))
+    return C.busy(C.held(batches(spark, folder)), ledger(spark, folder)[2])
+
+
+@query("ledger_promote_serious", sql("""SELECT s.gid AS id, s.serious, s.first_seen,
+    'Deterministic urgent observation; cause unverified: ' || s.serious || ' observed in unreviewed finding ' || s.gid AS reason
+    FROM first_serious s JOIN findings f ON f.id = s.gid WHERE f.decision IS NULL AND s.gid NOT IN (SELECT id FROM worked_on)
+      AND s.gid NOT IN (SELECT id FROM basis WHERE signature IN (SELECT signature FROM basis WHERE id IN (SELECT id FROM worked_on)))""", COVERED, _SERIOUS,
+    "worked_on AS (SELECT id FROM covered UNION SELECT id FROM doubtful WHERE state = 'uncertain' UNION SELECT id FROM held)"))
+def promote_serious(spark, folder):
+    findings, coverage, current = ledger(spark, folder)
+    done = C.covered(current, coverage)
+    doubt = C.uncertain(current, findings, coverage, done).filter("state = 'uncertain'")
+    worked_on = done.select("id").union(doubt.select("id")).union(C.held(batches(spark, folder)))
+    return O.promote(findings, read(spark, folder, "evidence"), C.busy(worked_on, current))
 
 
 _ELIGIBLE = """SELECT id, '{kind}' AS kind FROM findings f WHERE (decision IS NULL OR decision = 'rca') AND id NOT IN (SELECT id FROM covered) AND id NOT IN (SELECT id FROM busy)
@@ -215,10 +223,11 @@ _UNC = "id IN (SELECT id FROM doubtful WHERE state = 'uncertain')"
 @query("join_eligible", sql(_ELIGIBLE.format(kind="triage", test=f"(decision IS NULL OR {_UNC})") + " UNION ALL "
                             + _ELIGIBLE.format(kind="rca-a", test=f"(decision = 'rca' AND NOT {_UNC})"), COVERED))
 def eligible(spark, folder):
-    evidence, findings, coverage = ledger(spark, folder)
-    done = C.covered(evidence, findings, coverage)
-    doubt = C.uncertain(evidence, findings, coverage, done).filter("state = 'uncertain'")
-    held = C.busy(batches(spark, folder), evidence, findings, coverage)
+    findings, coverage, current = ledger(spark, folder)
+    done = C.covered(current, coverage)
+    doubt = C.uncertain(current, findings, coverage, done).filter("state = 'uncertain'")
+    held = C.busy(C.held(batches(spark, folder)), current)
+    evidence = read(spark, folder, "evidence")
     parts = [O.eligible(findings, evidence, done, doubt, held, kind).select("id", F.lit(kind).alias("kind")) for kind in ("triage", "rca-a")]
     return parts[0].union(parts[1])
 
@@ -259,7 +268,7 @@ _REOPEN = """reopen_claims AS (SELECT concat('c', CAST(b.line_id AS STRING)) AS
       AND NOT EXISTS (SELECT 1 FROM coverage v WHERE v.finding_id = c.finding_id AND contains(v.evidence_text, c.quote)) END, false) AS accepted
     FROM reopen_claims c LEFT JOIN latest l ON l.gid = c.finding_id""", LATEST, _REOPEN))
 def reopen_evidence(spark, folder):
-    evidence, _, coverage = ledger(spark, folder)
+    evidence, coverage = _tables(spark, folder, "evidence", "coverage")
     evidence.createOrReplaceTempView("evidence")
     claims = spark.sql(f"WITH {_REOPEN} SELECT * FROM reopen_claims")
     return C.reopenings(claims, evidence, coverage).select("claim_id", "accepted")
@@ -276,9 +285,10 @@ def reopen_evidence(spark, folder):
     UNION ALL SELECT 'retry_eligible', (SELECT count(DISTINCT batch_id) FROM members WHERE status = 'running' AND lease_until <= {NOW_S})
     UNION ALL SELECT 'blocked_batches', (SELECT count(DISTINCT batch_id) FROM members WHERE status = 'blocked'))""", COVERED))
 def review_status(spark, folder):
-    evidence, findings, coverage = ledger(spark, folder)
-    done = C.covered(evidence, findings, coverage)
-    doubt = C.uncertain(evidence, findings, coverage, done).filter("state = 'uncertain'")
+    findings, coverage, current = ledger(spark, folder)
+    evidence = read(spark, folder, "evidence")
+    done = C.covered(current, coverage)
+    doubt = C.uncertain(current, findings, coverage, done).filter("state = 'uncertain'")
     reopened = coverage.filter("reopened_at IS NOT NULL").select(F.col("finding_id").alias("id"))
     return O.review_status(findings, evidence, batches(spark, folder), done, doubt, reopened, now())
 

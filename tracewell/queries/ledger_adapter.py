@@ -1,27 +1,37 @@
-"""Ledger-shaped tables derived from the lines: SQL text that both engines read alike.
+"""The ledger of the enriched records, and ledger tables that no record can give.
 
-Times are epoch seconds. Decisions, statuses and faults follow modulo rules on
-the first line of a finding, so every case occurs at every scale.
+Evidence comes from the enriched store by the library's own identities; the oracle derives it from its own store. Human
+decisions, batches, reports and repairs follow modulo rules on the first record of a finding, so every case occurs at every
+scale; their SQL text is read by both engines. Times are epoch seconds.
 """
 from __future__ import annotations
 
-from tracewell.queries import adapters
-from tracewell.queries.adapters import LINES_CTE
+from pyspark.sql import functions as F
+
+from tracewell import patterns as P
+from tracewell.functions import identity as I
+from tracewell.functions import regex as rx
+from tracewell.operators import evidence as EV
+from tracewell.queries import adapters, duck as d, groups as Q
+from tracewell.queries.streams import _BARE, _STEPS
+from tracewell.queries.text import HOST_ALIASES
 
 NOW_S = 1704067200 + 29 * 86400 + 12 * 3600
 
-_EVIDENCE = """
-  SELECT md5(concat('ev', CAST(line_id AS STRING))) AS id,
-    substr(md5(concat(host, '/', profile, '/', CAST(line_id % 24 AS STRING), '/', CAST(k % 5 AS STRING))), 1, 20) AS gid,
-    1704067200 + (CAST(substr(stamp, 9, 2) AS BIGINT) - 1) * 86400 + CAST(substr(stamp, 12, 2) AS BIGINT) * 3600
-      + CAST(substr(stamp, 15, 2) AS BIGINT) * 60 + CAST(substr(stamp, 18, 2) AS BIGINT) AS ts,
-    md5(concat(host, '#', CAST(line_id % 24 AS STRING), '#', CAST(k % 5 AS STRING), '#', CASE WHEN line_id % 13 = 0 THEN 'outage' ELSE '' END)) AS signature,
-    md5(concat(host, '#', CAST(line_id % 24 AS STRING))) AS scope_key, line_id % 2 = 0 AS concrete,
-    CASE WHEN line_id % 13 = 0 THEN 'outage' END AS impact,
-    CASE WHEN line_id % 9 = 0 THEN 'ignore' WHEN line_id % 24 = 17 THEN 'tracked' WHEN line_id % 24 = 4 THEN 'needs-attention' ELSE 'watch' END AS severity,
-    CASE WHEN line_id % 5 = 4 THEN 'continuation' ELSE 'parent' END AS record_role,
-    host, profile, text, line_id
-  FROM lines
+# An earlier version did not collapse runs and cooldown times: what it stored has keys of its own.
+_MARK = f"coalesce({d.first('text', P.SCHEDULED_RUN)}, {d.first('text', P.COOLDOWN_EXPIRY)})"
+_EVIDENCE = f"""
+  SELECT {d.digest('host', 'profile', 'source_path', 'line_id', 'byte_start', 'byte_end', 'NULL', d.iso('event_at'), 'text')} AS id,
+    left({d.digest("CASE WHEN line_id % 2 = 0 AND mark IS NOT NULL THEN " + d.digest('fingerprint', 'mark') + " ELSE fingerprint END", 'severity')}, 20) AS gid,
+    CASE WHEN {d.has('text', P.SCHEDULED_RUN)} OR {d.has('text', P.COOLDOWN_EXPIRY)} THEN {d.digest('fingerprint', 'severity')} END AS canonical_key,
+    CAST(epoch(event_at) AS BIGINT) AS ts, event, severity, record_role, scope_key, concrete, impact,
+    {d.digest('scope_key', 'covered_text', 'severity', 'impact')} AS signature, host, profile, text, line_id
+  FROM (SELECT *, {d.digest("CASE WHEN lower(trim(host)) = 'node-b' THEN 'beta' ELSE trim(host) END", 'profile', 'provider', 'model', 'target', d.packed_list('paths'), d.packed_list('jobs'))} AS scope_key,
+      len(paths) > 0 OR len(jobs) > 0 OR (provider IS NOT NULL AND model IS NOT NULL) AS concrete, trim({d.subs('text', _STEPS)}) AS covered_text
+    FROM (SELECT *, list_sort(list_distinct(list_concat({d.every(_BARE, P.POSIX_PATH, 2)}, {d.every(_BARE, P.WINDOWS_PATH)}))) AS paths,
+        list_sort({d.distinct(d.every('text', P.SCHEDULED_RUN, 1))}) AS jobs, {_MARK} AS mark, CASE WHEN line_id % 13 = 0 THEN 'outage' END AS impact,
+        CASE WHEN kind = 'continuation' THEN 'continuation' ELSE 'parent' END AS record_role
+      FROM stored) a) b
 """
 _FINDINGS = """
   SELECT gid AS id, seq, CASE seq % 7 WHEN 2 THEN 'rca' WHEN 3 THEN 'watch' WHEN 4 THEN 'informational' WHEN 5 THEN 'tracked' WHEN 6 THEN 'rca' END AS decision,
@@ -83,20 +93,35 @@ _DELIVERIES = """
   SELECT concat('r', CAST(id AS STRING)) AS report_id, batch_id, finding_id, CASE WHEN seq % 4 = 0 THEN 'pending' ELSE 'published' END AS publication_state FROM history WHERE seq % 5 <> 0
 """
 
-TABLES = [("evidence", _EVIDENCE), ("findings", _FINDINGS), ("members", _MEMBERS.replace("{now}", str(NOW_S))), ("history", _HISTORY),
+TABLES = [("findings", _FINDINGS), ("members", _MEMBERS.replace("{now}", str(NOW_S))), ("history", _HISTORY),
           ("coverage", _COVERAGE), ("results", _RESULTS), ("repairs", _REPAIRS), ("delivery_events", _EVENTS),
           ("incidents", _INCIDENTS), ("deliveries", _DELIVERIES)]
 LEDGER = ", ".join(f"{name} AS ({text})" for name, text in TABLES)
-LEDGER_CTE = f"{LINES_CTE}, {LEDGER}"
+
+
+def evidence(spark, folder):
+    """Evidence of all enriched records; every second recurring one was stored by an earlier version."""
+    def build():
+        mark = F.coalesce(rx.first(F.col("text"), P.SCHEDULED_RUN), rx.first(F.col("text"), P.COOLDOWN_EXPIRY))
+        key = F.col("fingerprint.key")
+        rows = Q.store(spark, folder).withColumns({
+            "known_key": F.when((F.col("line_id") % 2 == 0) & mark.isNotNull(), I.digest(key, mark)),
+            "impact": F.when(F.col("line_id") % 13 == 0, "outage"),
+            "record_role": F.when(F.col("classification.kind") == "continuation", "continuation").otherwise("parent")})
+        return EV.evidence_rows(rows, HOST_ALIASES, keep=("line_id",))
+    return adapters.stage(spark, folder, "ledger_evidence", build)
 
 
 def read(spark, folder, name):
     """One ledger table, stored like a ledger would be."""
+    if name == "evidence":
+        return evidence(spark, folder)
+
     def build():
-        adapters.lines(spark, folder).createOrReplaceTempView("lines")
+        evidence(spark, folder).createOrReplaceTempView("evidence")
         return spark.sql(f"WITH {LEDGER} SELECT * FROM {name}")
     return adapters.stage(spark, folder, f"ledger_{name}", build)
 
 
 def sql(select: str, *ctes: str) -> str:
-    return "WITH " + ", ".join([LEDGER_CTE, *ctes]) + " " + select
+    return Q.with_store(select, f"evidence AS MATERIALIZED ({_EVIDENCE})", LEDGER, *ctes)
