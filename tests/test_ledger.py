@@ -18,7 +18,7 @@ def enriched(spark, rows):
         "record_id", "host", "profile", "text", F.col("at").cast("timestamp").alias("event_at"), "known_key",
         F.when(F.col("inode").isNotNull(), F.struct("inode", F.lit(1).alias("dev"), F.lit("h").alias("content_hash"))).alias("source_identity"),
         F.struct(F.lit("/x/a.log").alias("source_path"), F.lit(0).cast("long").alias("byte_start"), F.lit(9).cast("long").alias("byte_end")).alias("provenance"),
-        F.struct("event", no.alias("provider"), no.alias("model"), no.alias("target")).alias("classification"),
+        F.struct("event", *[no.alias(n) for n in ("cause", "provider", "model", "component", "tool", "operation", "target")]).alias("classification"),
         F.struct("label").alias("severity"), F.struct(F.sha2(F.regexp_replace("text", "[0-9]", ""), 256).alias("key")).alias("fingerprint"))
 
 

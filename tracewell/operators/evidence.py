@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
+from tracewell.functions import attributes as A
 from tracewell.functions import identity as I
 from tracewell.functions import regex as rx
 from tracewell.functions import text as T
@@ -19,7 +20,8 @@ def recurring(text: Column) -> Column:
 
 
 def evidence_rows(enriched: DataFrame, aliases: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, gid, canonical_key, ts, event, severity, record_role, scope_key, concrete, impact, signature, host, profile and text of enriched records.
+    """id, gid, canonical_key, ts, what was classified (event, cause, provider, model, component, function, severity), record_role, scope_key,
+    concrete, impact, signature, host, profile and text of enriched records.
 
     Needs host, profile, text, event_at, record_id, provenance, classification, severity and fingerprint. Where present, these
     columns count too: known_key (the fingerprint key under which an earlier run stored the problem), cursor, impact,
@@ -46,7 +48,8 @@ def evidence_rows(enriched: DataFrame, aliases: dict[str, str] | None = None, ke
     return enriched.select(
         plain.alias("id"), I.finding_id(F.coalesce(given("known_key"), key), label).alias("gid"),
         F.when(recurring(c("text")), I.digest(key, label)).alias("canonical_key"), F.unix_timestamp(at).alias("ts"),
-        c("classification.event").alias("event"), label.alias("severity"), given("record_role").alias("record_role"),
+        *[c(f"classification.{n}").alias(n) for n in ("event", "cause", "provider", "model", "component")],
+        A.function_slot(c("classification.tool"), c("classification.operation"), c("classification.component")).alias("function"), label.alias("severity"), given("record_role").alias("record_role"),
         identity["scope_key"].alias("scope_key"), identity["concrete"].alias("concrete"), given("impact").alias("impact"),
         identity["signature"].alias("signature"), "host", "profile", "text", *keep)
 

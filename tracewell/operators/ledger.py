@@ -18,6 +18,7 @@ COOLDOWN_SECONDS = 3600
 RETENTION_SECONDS = 72 * 3600
 DECISIONS = ("watch", "rca", "informational", "tracked")  # fixed values
 MIN_REASON = 12
+SAMPLE = 240
 LANE_KINDS = ("rca", "rca-a", "rca-b")
 
 
@@ -99,6 +100,25 @@ def reopen(findings: DataFrame, fresh: DataFrame, now: Column, cooldown: int = C
     return marked.withColumn("decision", F.when(~c("reopened"), c("decision"))).drop("_fresh")
 
 
+def review_items(evidence: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per finding with evidence: id, last, text, and ``item``, what a reviewer is shown of it.
+
+    The item has the newest evidence, the finding's count and times, and its prior status; fields are in the order of their
+    names. The sample is the text's first 240 characters.
+    """
+    c = F.col
+    shown = ("host", "function", "event", "cause", "provider", "model", "component", "severity")
+    newest = latest(evidence.select("gid", "ts", "id", "profile", "text", *shown)).select(
+        c("gid").alias("_gid"), c("id").alias("_evidence"), c("profile").alias("_agent"), "text", *shown)
+    prior = findings.select("id", F.struct("decision", "lane_a_done", "lane_b_done", "reason", "reviewed_at").alias("_prior"))
+    stats = finding_stats(evidence).withColumnRenamed("gid", "id")
+    joined = prior.join(stats, "id").join(newest, c("id") == c("_gid"))
+    fields = {
+        "agent": c("_agent"), "evidence": c("_evidence"), "evidence_rows": c("n"), "first": c("first"), "id": c("id"), "last": c("last"), "prior_status": c("_prior"),
+        "sample": F.left("text", F.lit(SAMPLE)), "sample_original_chars": F.length("text"), "sample_truncated": F.length("text") > SAMPLE, **{n: c(n) for n in shown}}
+    return joined.select("id", "last", "text", F.struct(*[fields[n].alias(n) for n in sorted(fields)]).alias("item"))
+
+
 def prioritise(items: DataFrame) -> DataFrame:
     """Serious first, then newest; ``position`` in that order. Runs a job."""
     return scan.global_position(items, [F.col("serious").desc(), F.col("last").desc(), F.col("id").asc()])

@@ -30,13 +30,15 @@ def store(spark, folder):
     return adapters.stage(spark, folder, "enriched", build)
 
 
+_MORE = ("domain", "provider", "model", "platform", "component", "tool", "target", "operation", "http_status", "provider_code", "rpc_code", "errno",
+         "exit_code", "signal", "exceptions")
 # The oracle's side of the store.
 STORED = R.FINGERPRINTED + f""", stored AS (SELECT *, coalesce(CASE WHEN {d.has('text', P.LEADING_PARTS)} THEN {d.instant('text', P.LEADING_PARTS)} END,
    date_trunc('second', ts)) AS event_at FROM enriched),
  inside AS (SELECT * FROM stored WHERE event_at BETWEEN {d.NOW_TS} - INTERVAL 72 HOUR AND {d.NOW_TS}),
  grouped AS (SELECT fingerprint, count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at,
    arg_min({{'host': fp_host, 'profile': profile, 'event': event, 'cause': cause, 'kind': kind, 'severity': severity, 'events': events, 'causes': causes,
-     'normalized_text': normalized_text, 'text': substr(text, 1, 128), 'text_truncated': length(text) > 128}}, {{'a': event_at, 'b': line_id}}) AS s,
+     {", ".join(f"'{n}': {n}" for n in _MORE)}, 'normalized_text': normalized_text, 'text': substr(text, 1, 128), 'text_truncated': length(text) > 128}}, {{'a': event_at, 'b': line_id}}) AS s,
    arg_max({{'latest_text': substr(text, 1, 250), 'ref': source_path || ':' || CAST(byte_start AS STRING) || '-' || CAST(byte_end AS STRING)}}, {{'a': event_at, 'b': line_id}}) AS l,
    list_sort(list(DISTINCT source_path)) AS source_files FROM inside GROUP BY fingerprint),
  flat AS (SELECT fingerprint, n, first_at, last_at, unnest(s), unnest(l), source_files FROM grouped)"""
@@ -113,15 +115,24 @@ def batch_order(spark, folder):
     return K.order_groups(rows).withColumn("last_at", T.canonical_text(F.col("last_at")))
 
 
-PACK_ITEMS, PACK_BYTES, PACK_BLOCK = 20, 4000, 64
-_PACKED = f"""sized AS (SELECT fingerprint, host, severity, n, last_at, 150 + length(normalized_text) AS size,
-    row_number() OVER (PARTITION BY host ORDER BY {_ORDER}) AS position FROM flat),
- walk AS (SELECT host, position, fingerprint, severity, n, 1 AS batch_index, 1 AS items, size AS bytes FROM sized WHERE position = 1
-   UNION ALL SELECT s.host, s.position, s.fingerprint, s.severity, s.n,
-     CASE WHEN w.items + 1 > {PACK_ITEMS} OR w.bytes + s.size > {PACK_BYTES} THEN w.batch_index + 1 ELSE w.batch_index END,
-     CASE WHEN w.items + 1 > {PACK_ITEMS} OR w.bytes + s.size > {PACK_BYTES} THEN 1 ELSE w.items + 1 END,
-     CASE WHEN w.items + 1 > {PACK_ITEMS} OR w.bytes + s.size > {PACK_BYTES} THEN s.size ELSE w.bytes + s.size END
-   FROM walk w JOIN sized s ON s.host = w.host AND s.position = w.position + 1)"""
+_SHOWN_SQL = {"first_ts": d.iso("first_at"), "last_ts": d.iso("last_at"), "window_start": d.iso(f"{d.NOW_TS} - INTERVAL 72 HOUR"), "window_end": d.iso(d.NOW_TS)}
+_GROUP_STRUCT = "{" + ", ".join(f"'{n}': {_SHOWN_SQL.get(n, n)}" for n in K.BATCH_FIELDS) + "}"
+_SPACES = " + ".join([str(2 * len(K.BATCH_FIELDS) - 1), *[f"greatest(coalesce(len({n}), 0) - 1, 0)" for n in K.BATCH_LISTS]])
+_OVER = f"w.items + 1 > {K.MAX_GROUPS} OR w.bytes + s.size > {K.MAX_BYTES}"
+_PACKED = f"""shown AS (SELECT *, CAST(to_json({_GROUP_STRUCT}) AS STRING) AS json FROM flat),
+ sized AS (SELECT fingerprint, host, severity, n, json, length(json) + {_SPACES} AS size, row_number() OVER (PARTITION BY host ORDER BY {_ORDER}) AS position FROM shown),
+ walk AS (SELECT host, position, fingerprint, severity, n, json, size, 1 AS batch_index, 1 AS items, size AS bytes FROM sized WHERE position = 1
+   UNION ALL SELECT s.host, s.position, s.fingerprint, s.severity, s.n, s.json, s.size, CASE WHEN {_OVER} THEN w.batch_index + 1 ELSE w.batch_index END,
+     CASE WHEN {_OVER} THEN 1 ELSE w.items + 1 END, CASE WHEN {_OVER} THEN s.size ELSE w.bytes + s.size END
+   FROM walk w JOIN sized s ON s.host = w.host AND s.position = w.position + 1),
+ labels AS (SELECT host, batch_index, string_agg(severity || '=' || k, '|' ORDER BY severity) AS totals FROM
+   (SELECT host, batch_index, severity, count(*) AS k FROM walk GROUP BY ALL) GROUP BY ALL),
+ window_labels AS (SELECT host, string_agg(severity || '=' || k, '|' ORDER BY severity) AS window_totals FROM (SELECT host, severity, count(*) AS k FROM walk GROUP BY ALL) GROUP BY ALL),
+ headers AS (SELECT host, CAST(batch_index AS BIGINT) AS batch_index, count(*) AS group_count, CAST(sum(n) AS BIGINT) AS occurrence_count, any_value(totals) AS severity_totals,
+   CAST(sum(count(*)) OVER (PARTITION BY host) AS BIGINT) AS window_group_count, CAST(sum(sum(n)) OVER (PARTITION BY host) AS BIGINT) AS window_occurrence_count,
+   any_value(window_totals) AS window_severity_totals, count(*) OVER (PARTITION BY host) AS batch_count,
+   md5(string_agg(json, chr(10) ORDER BY position)) AS groups_md5
+   FROM walk JOIN labels USING (host, batch_index) JOIN window_labels USING (host) GROUP BY host, batch_index)"""
 
 
 def with_packed(select):
@@ -129,31 +140,25 @@ def with_packed(select):
 
 
 def packed(spark, folder):
-    rows = flat(spark, folder).select("fingerprint", "host", "severity", "n", "event", "last_at",
-                                      (F.length("normalized_text") + 150).alias("size"))
-    placed = K.key_positions(K.order_groups(rows), ["host"])
-    return K.pack(placed, "size", ["host"], PACK_ITEMS, PACK_BYTES, PACK_BLOCK)
+    rows = K.compact(flat(spark, folder)).select("fingerprint", "host", "severity", "n", "last_at", "window_start", "window_end", "group", "size")
+    return K.pack(K.key_positions(K.order_groups(rows), ["host"]), "size", ["host"])
 
 
-@query("pack_batches", with_packed("SELECT host, position, fingerprint, CAST(batch_index AS BIGINT) AS batch_index FROM walk"))
+def _totals(name):
+    pairs = F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return F.array_join(pairs, "|").alias(name)
+
+
+@query("pack_batches", with_packed("SELECT host, position, fingerprint, CAST(size AS BIGINT) AS size, CAST(batch_index AS BIGINT) AS batch_index FROM walk"))
 def pack_batches(spark, folder):
-    return packed(spark, folder).select("host", "position", "fingerprint", "batch_index")
+    return packed(spark, folder).select("host", "position", "fingerprint", "size", "batch_index")
 
 
-@query("agg_batch_headers", with_packed("""SELECT host, CAST(batch_index AS BIGINT) AS batch_index, count(*) AS group_count, CAST(sum(n) AS BIGINT) AS occurrence_count,
-    CAST(sum(count(*)) OVER (PARTITION BY host) AS BIGINT) AS window_group_count, CAST(sum(sum(n)) OVER (PARTITION BY host) AS BIGINT) AS window_occurrence_count,
-    count(*) FILTER (WHERE severity = 'watch') AS watch FROM walk GROUP BY host, batch_index"""))
+@query("agg_batch_headers", with_packed("SELECT * EXCLUDE (groups_md5) FROM headers"))
 def batch_headers(spark, folder):
     rows = K.batch_headers(packed(spark, folder), ["host"])
-    watch = F.coalesce(F.try_element_at("severity_totals", F.lit("watch")), F.lit(0))
-    return rows.select("host", "batch_index", "group_count", "occurrence_count", "window_group_count", "window_occurrence_count", watch.alias("watch"))
-
-
-@query("pack_budget_prefix", with_store(f"""SELECT fingerprint, used_bytes FROM (SELECT fingerprint,
-    CAST(sum(length(normalized_text)) OVER (ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_bytes FROM flat) WHERE used_bytes <= 12000"""))
-def budget_prefix(spark, folder):
-    rows = flat(spark, folder).select("fingerprint", "severity", "last_at", "n", "normalized_text")
-    return K.fit_prefix(rows, K.batch_order(), F.octet_length("normalized_text"), 12_000).select("fingerprint", "used_bytes")
+    return rows.select("host", "batch_index", "group_count", "occurrence_count", _totals("severity_totals"), "window_group_count", "window_occurrence_count",
+                       _totals("window_severity_totals"), "batch_count")
 
 
 @query("policy_reapply", with_store(f"""SELECT line_id, {R.severity_sql(R.OTHER_POLICY)[0]} AS severity, {R.severity_sql(R.OTHER_POLICY)[1]} AS rule_id FROM stored"""))
@@ -235,12 +240,19 @@ def archive_gzip(spark, folder):
     return spark.read.schema("line_id bigint").json(path).agg(F.lit(archived).cast("bigint").alias("archived"), F.sum("line_id").alias("ids"))
 
 
-@query("sink_batches", with_packed("SELECT host, CAST(batch_index AS BIGINT) AS batch_index, count(*) AS groups, count(*) AS group_count FROM walk GROUP BY ALL"))
+@query("sink_batches", with_packed(f"""SELECT host, batch_index, batch_count, group_count, occurrence_count, severity_totals, window_group_count, window_occurrence_count, window_severity_totals, groups_md5,
+    {_SHOWN_SQL['window_start']} AS window_start, {_SHOWN_SQL['window_end']} AS window_end FROM headers"""))
 def sink_batches(spark, folder):
     path = _fresh(spark, "batches")
-    stores.write_batches(packed(spark, folder), path, ["host"], F.lit("20240130"))
-    rows = spark.read.schema("group_count bigint, groups array<struct<fingerprint:string>>, host string, batch_index bigint").json(path)
-    return rows.select("host", "batch_index", F.size("groups").cast("bigint").alias("groups"), "group_count")
+    rows = packed(spark, folder)
+    stores.write_batches(rows, path, ["host"], F.lit("20240130"))
+    group = rows.schema["group"].dataType.simpleString()
+    back = spark.read.schema(
+        f"""group_count bigint, occurrence_count bigint, severity_totals map<string,bigint>, window_group_count bigint, window_occurrence_count bigint,
+        window_severity_totals map<string,bigint>, batch_count bigint, window_start string, window_end string, groups array<{group}>, host string, batch_index bigint""").json(path)
+    documents = F.transform("groups", lambda g: F.to_json(g, {"ignoreNullFields": "false"}))
+    return back.select("host", "batch_index", "batch_count", "group_count", "occurrence_count", _totals("severity_totals"), "window_group_count", "window_occurrence_count",
+                       _totals("window_severity_totals"), F.md5(F.array_join(documents, "\n")).alias("groups_md5"), "window_start", "window_end")
 
 
 @query("ret_archive_split", with_store(f"""SELECT bucket_day, bucket_half, rows, expired_rows, CASE WHEN closed_old THEN 'archive' WHEN competing AND used > 30000 THEN 'displace'

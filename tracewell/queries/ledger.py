@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P
-from tracewell.operators import coverage as C, evidence as EV, ledger as O, repairs as RP, serious as Z
+from tracewell.operators import coverage as C, evidence as EV, ledger as O, packing as K, repairs as RP, serious as Z
 from tracewell.queries import adapters, duck as d
 from tracewell.queries import ledger_adapter as LA
 from tracewell.queries.ledger_adapter import NOW_S, read, sql
@@ -232,6 +232,33 @@ def eligible(spark, folder):
     return parts[0].union(parts[1])
 
 
+_ITEM_FIELDS = {
+    "agent": "l.profile", "evidence": "l.id", "evidence_rows": "t.n", "first": "t.first", "id": "l.gid", "last": "t.last",
+    "prior_status": "{'decision': f.decision, 'lane_a_done': f.lane_a_done, 'lane_b_done': f.lane_b_done, 'reason': f.reason, 'reviewed_at': f.reviewed_at}",
+    "sample": "substr(l.text, 1, 240)", "sample_original_chars": "length(l.text)", "sample_truncated": "length(l.text) > 240",
+    **{n: f"l.{n}" for n in ("host", "function", "event", "cause", "provider", "model", "component", "severity")}}
+_ITEM_STRUCT = "{" + ", ".join(f"'{n}': {_ITEM_FIELDS[n]}" for n in sorted(_ITEM_FIELDS)) + "}"
+PACKET_BYTES = 12_000
+_ITEMS = f"""triage AS ({_ELIGIBLE.format(kind="triage", test=f"(decision IS NULL OR {_UNC})")}),
+ items AS (SELECT l.gid AS id, CAST(to_json({_ITEM_STRUCT}) AS STRING) AS json, b.label IS NOT NULL AS serious, t.last FROM latest l JOIN findings f ON f.id = l.gid
+   JOIN (SELECT gid, count(*) AS n, min(ts) AS first, max(ts) AS last FROM evidence GROUP BY gid) t ON t.gid = l.gid JOIN labelled b ON b.id = l.id
+   WHERE l.gid IN (SELECT id FROM triage))"""
+
+
+@query("pack_budget_prefix", sql(f"""SELECT id, item_md5, used_bytes FROM (SELECT id, md5(json) AS item_md5, CAST(sum(strlen(json) + 1) OVER (ORDER BY serious DESC, last DESC, id ROWS UNBOUNDED PRECEDING) - 1
+      + strlen('{{"batch":"bbbbbbbbbbbbbbbbbbbb","items":[],"kind":"triage","pending_findings":' || (SELECT count(*) FROM triage) || ',"wakeAgent":true}}') AS BIGINT) AS used_bytes FROM items)
+    WHERE used_bytes <= {PACKET_BYTES}""", COVERED, _SERIOUS, _ITEMS))
+def budget_prefix(spark, folder):
+    findings, coverage, current = ledger(spark, folder)
+    evidence = read(spark, folder, "evidence")
+    done = C.covered(current, coverage)
+    doubt = C.uncertain(current, findings, coverage, done).filter("state = 'uncertain'")
+    wanted = O.eligible(findings, evidence, done, doubt, C.busy(C.held(batches(spark, folder)), current), "triage").select("id")
+    items = O.review_items(evidence, findings).join(wanted, "id", "left_semi").withColumn("serious", Z.serious_label(F.col("text")).isNotNull())
+    packet = K.packet_prefix(items, [F.col("serious").desc(), F.col("last").desc(), F.col("id").asc()], "triage", PACKET_BYTES)
+    return packet.select("id", F.md5(F.to_json("item", {"ignoreNullFields": "false"})).alias("item_md5"), "used_bytes")
+
+
 @query("set_subset_covered", sql("SELECT batch_id FROM members GROUP BY batch_id HAVING bool_and(id IN (SELECT id FROM findings WHERE seq % 8 <> 3))"))
 def subset_covered(spark, folder):
     return O.fully_covered(batches(spark, folder), read(spark, folder, "findings").filter("seq % 8 <> 3").select("id"))

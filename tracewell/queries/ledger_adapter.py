@@ -12,7 +12,7 @@ from tracewell import patterns as P
 from tracewell.functions import identity as I
 from tracewell.functions import regex as rx
 from tracewell.operators import evidence as EV
-from tracewell.queries import adapters, duck as d, groups as Q
+from tracewell.queries import adapters, duck as d, groups as Q, rules as R
 from tracewell.queries.streams import _BARE, _STEPS
 from tracewell.queries.text import HOST_ALIASES
 
@@ -24,7 +24,7 @@ _EVIDENCE = f"""
   SELECT {d.digest('host', 'profile', 'source_path', 'line_id', 'byte_start', 'byte_end', 'NULL', d.iso('event_at'), 'text')} AS id,
     left({d.digest("CASE WHEN line_id % 2 = 0 AND mark IS NOT NULL THEN " + d.digest('fingerprint', 'mark') + " ELSE fingerprint END", 'severity')}, 20) AS gid,
     CASE WHEN {d.has('text', P.SCHEDULED_RUN)} OR {d.has('text', P.COOLDOWN_EXPIRY)} THEN {d.digest('fingerprint', 'severity')} END AS canonical_key,
-    CAST(epoch(event_at) AS BIGINT) AS ts, event, severity, record_role, scope_key, concrete, impact,
+    CAST(epoch(event_at) AS BIGINT) AS ts, event, cause, provider, model, component, {R.SLOT} AS function, severity, record_role, scope_key, concrete, impact,
     {d.digest('scope_key', 'covered_text', 'severity', 'impact')} AS signature, host, profile, text, line_id
   FROM (SELECT *, {d.digest("CASE WHEN lower(trim(host)) = 'node-b' THEN 'beta' ELSE trim(host) END", 'profile', 'provider', 'model', 'target', d.packed_list('paths'), d.packed_list('jobs'))} AS scope_key,
       len(paths) > 0 OR len(jobs) > 0 OR (provider IS NOT NULL AND model IS NOT NULL) AS concrete, trim({d.subs('text', _STEPS)}) AS covered_text
