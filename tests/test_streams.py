@@ -33,6 +33,9 @@ def test_a_notice_is_sent_once_ever(spark, tmp_path):
     run()
     run()
     assert sorted(sent) == ["first", "second", "third"]
+    stream = spark.readStream.schema("notice_key string, message string").parquet(source)  # replayed from a lost checkpoint
+    finish(jobs.send_new_notices(stream, ledger, str(tmp_path / "other"), lambda df, n: sent.extend(r.message for r in df.collect())))
+    assert sorted(sent) == ["first", "second", "third"]
 
 
 def test_late_rows_are_dropped_and_the_future_does_not_move_the_watermark(spark, tmp_path):
@@ -69,6 +72,54 @@ def test_enrichment_replay_stores_nothing_twice(spark, tmp_path):
     assert [(r.record_id, r.bucket_day, r.bucket_half) for r in rows] == [("r1", "20240109", "00"), ("r2", "20240109", "12"), ("r3", "20240107", "00")]
 
 
+def test_rolling_groups_are_bounded(spark, tmp_path):
+    """With a reference time that moves, groups leave as in a plain loop, and only two tables are kept."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "groups")
+    start = dt.datetime(2024, 1, 10)
+    batches = [[(f"k{(i + n) % 4}", start + dt.timedelta(hours=30 * n + i)) for i in range(3)] for n in range(6)]
+    empty = spark.createDataFrame([], "key string, at timestamp").select(F.struct("key").alias("fingerprint"), F.col("at").alias("event_at"))
+    schema = empty.schema
+    clock = {}
+
+    def rows(stream):
+        none = F.lit(None)
+        text = F.lit("t")
+        return stream.select(
+            F.struct(F.col("fingerprint.key").alias("key"), F.lit("h").alias("host"), F.lit("p").alias("profile"), text.alias("normalized_text")).alias("fingerprint"),
+            "event_at", F.unix_timestamp("event_at").alias("record_id"), text.alias("text"),
+            F.struct(*[(F.array().cast("array<string>") if a in ("events", "causes", "exceptions", "matched_rules", "conflicts") else none.cast("string")).alias(a) for a in G.CARRIED]).alias("classification"),
+            F.struct(F.lit("watch").alias("label"), F.lit("r").alias("rule_id"), F.lit("v").alias("policy_version")).alias("severity"),
+            F.struct(F.lit("/x").alias("source_path"), F.lit(0).alias("byte_start"), F.lit(1).alias("byte_end")).alias("provenance"))
+
+    def now(batch):
+        latest = batch.agg(F.max("event_at")).first()[0]
+        clock["now"] = max(clock.get("now", latest), latest)
+        return F.lit(clock["now"])
+
+    held = {}
+    for n, batch in enumerate(batches):
+        spark.createDataFrame([((k,), at) for k, at in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        running = jobs.rolling_groups(rows(spark.readStream.schema(schema).parquet(source)), path, str(tmp_path / "check"), now)
+        finish(running)
+        moment = max(at for _, at in batch)
+        inside = lambda at: moment - dt.timedelta(hours=72) <= at <= moment
+        held = {k: v for k, v in held.items() if inside(v[1])}
+        for k, at in batch:
+            if inside(at):
+                count, last = held.get(k, (0, at))
+                held[k] = (count + 1, max(last, at))
+        got = {r.fingerprint: (r.n, r.last_at) for r in spark.read.parquet(jobs.last_snapshot(running, path)).collect()}
+        assert got == held, n
+        assert len([x for x in (tmp_path / "groups").iterdir()]) <= 2
+
+
+def test_state_is_kept_outside_the_heap(spark):
+    from tracewell import session
+    session.configure(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled") == "true"
+
+
 def test_groups_leave_with_the_window(spark):
     def group(key, last):
         return (key, 1, last, last, 1, 1, ("s",), ("l",), ["/x"])

@@ -65,8 +65,7 @@ def stream_groups(spark, folder):
     frame = Q.store(spark, folder)
     running = jobs.rolling_groups(_stream(spark, frame), path, f"{path}-checkpoint", lambda rows: Q.now())
     _finish(running)
-    last = running.lastProgress["batchId"]
-    return Q._show(G.flat(spark.read.parquet(jobs._snapshot(path, last))))
+    return Q._show(G.flat(spark.read.parquet(jobs.last_snapshot(running, path))))
 
 
 @query("stream_fold", d.with_lines("""SELECT source_path, parent_start AS byte_start, max(byte_end) AS byte_end,

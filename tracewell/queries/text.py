@@ -50,14 +50,12 @@ def leading_ts(spark, folder):
 @query("fn_canonical_ts", d.with_lines(f"""
     SELECT line_id, {d.iso(d.instant('stamp_text', P.ISO_INSTANT))} AS utc_text,
            strftime({d.instant('stamp_text', P.ISO_INSTANT)} + INTERVAL 4 HOUR, '%Y-%m-%dT%H:%M:%S') || '+04:00' AS local_text
-    FROM (SELECT line_id, {d.first('text', P.TEXT_STAMP)} AS stamp_text FROM lines) WHERE stamp_text IS NOT NULL"""))
+    FROM (SELECT line_id, {d.first('text', P.TEXT_STAMP)} AS stamp_text FROM lines)"""))
 def canonical_ts(spark, folder):
     instant = F.col("instant")
     return (
         adapters.lines(spark, folder)
-        .select("line_id", T.parse_instant(rx.first(F.col("text"), P.TEXT_STAMP)).alias("instant"),
-                rx.first(F.col("text"), P.TEXT_STAMP).alias("stamp_text"))
-        .filter(F.col("stamp_text").isNotNull())
+        .select("line_id", T.parse_instant(rx.first(F.col("text"), P.TEXT_STAMP)).alias("instant"))
         .select("line_id", T.canonical_text(instant).alias("utc_text"),
                 T.canonical_text(instant, "Asia/Dubai").alias("local_text"))
     )

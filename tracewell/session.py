@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # streaming state lives on disk, not in the heap, and only its changes are written per micro-batch
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -45,6 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; a store that cannot be read is an error, not an absent one."""
+    folder, store = _at(spark, path)
+    return store.exists(folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote and nothing reads any more."""
+    folder, store = _at(spark, path)
+    store.delete(folder, True)
+
+
+def _at(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives lost executors and has fixed partitions."""
     spark = df.sparkSession
