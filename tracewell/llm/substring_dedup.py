@@ -1,16 +1,16 @@
-"""Removes passages that an earlier document holds, by relative Lempel-Ziv parsing over Spark joins.
+"""Removes passages that an earlier document holds: windows around seeds that two documents share.
 
-Every document is parsed against an index of all documents. The index holds seeds: 8-word grams that are the least by
-hash in some run of as many as fit into one window, so every window of ``width`` words contains the seed it chose, and
-equal windows choose equal seeds. The parse goes
+The index of all documents holds seeds: 8-word grams that are the least by hash in some run of as many as fit into one
+window, so every window of ``width`` words contains the seed it chose, and equal windows choose equal seeds. Windows stand
+in for the factors of a relative Lempel-Ziv parse: no factor is parsed. It goes
 
 1. texts equal word by word are one reference block; later ones are a single factor;
 2. seeds known to two documents point at the windows around them (an inverted index, joined by seed);
 3. each such window gets a fingerprint, and the least document that starts it is its source;
-4. consecutive windows with one source are a greedy factor: start, words, source. Where the source changes, the next
-   factor starts at its own window, so factors overlap there and no window is lost at a boundary.
+4. consecutive windows with one source are a span: start, words, source. Where the source changes, the next
+   span starts at its own window, so spans overlap there and no window is lost at a boundary.
 
-Words inside factors go. Windows are judged on the input alone, never on what other removals left.
+Words inside spans go. Windows are judged on the input alone, never on what other removals left.
 """
 from __future__ import annotations
 
@@ -129,14 +129,16 @@ def factors(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) -
 def remove(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with n_words, n_removed and kept: the words outside factors joined by one space.
 
-    A null or wordless text keeps the empty text. Columns named like the three results are replaced.
+    A null or wordless text keeps the empty text. Very long texts are cut whole. Repeated rows stay and lose the same words; an
+    empty table gives an empty table. Columns named like the three results are replaced, all others are kept.
     """
+    uid, begins, sizes_ = (shared.free_name(docs.columns, n) for n in ("_uid", "_starts", "_words"))
     spans = factors(docs, width, seed_words).groupBy("uid").agg(F.collect_list(F.struct("start", "words")).alias("_spans")).select(
-        F.col("uid").alias("_uid"), F.col("_spans.start").alias("_starts"), F.col("_spans.words").alias("_words"))
+        F.col("uid").alias(uid), F.col("_spans.start").alias(begins), F.col("_spans.words").alias(sizes_))
     spans = shared.stage(spans, "removals")
     base = docs.drop("n_words", "n_removed", "kept")
-    keyed = base.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
-    joined = keyed.join(spans.hint("merge"), "_uid", "left").drop("_uid")
+    keyed = base.withColumn(uid, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
+    joined = keyed.join(spans.hint("merge"), uid, "left").drop(uid)
     names = base.columns
     at, s, w = names.index("text"), len(names), len(names) + 1
 
@@ -163,4 +165,4 @@ def remove(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED_WORDS) ->
 
     from pyspark.sql.types import LongType, StringType, StructType
     schema = StructType(base.schema.fields[:]).add("n_words", LongType()).add("n_removed", LongType()).add("kept", StringType())
-    return joined.select(*[f"`{c}`" for c in names], "_starts", "_words").mapInArrow(run, schema)
+    return joined.select(*[f"`{c}`" for c in names], begins, sizes_).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm import shared
 from tracewell.operators.scan import global_order
 
 BETWEEN = "#"  # in no host and no path
@@ -66,8 +67,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     the rule's path; the longest ``host + path`` wins, then the longer host. Of equal rules the greatest verdict holds
     (block before allow). Rows without a fitting rule get rule null and verdict ``default``. A null URL, or one
     without ``://``, has an empty host and path; rules with a null host or verdict are left out, a null path is empty.
-    Repeated rows stay; columns of ``pages`` with the names of the four results are replaced.
+    Repeated rows stay; very long URLs are judged whole; empty tables of pages or rules give no rows or no fitting rule.
+    Columns of ``pages`` with the names of the four results are replaced, all others are kept.
     """
+    best = shared.free_name(pages.columns, "_best")
     named = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
     distinct = named.select("host", "path").distinct()  # a URL that fills a third of the rows is asked once
     labels = F.split("host", r"\.")
@@ -93,8 +96,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
                         F.lit(-1).alias("step"), "rule", nothing.alias("host"), nothing.alias("path"))
     longest = (
         _innermost(points.unionByName(starts).unionByName(stops)).where("step = 0 and top is not null")
-        .groupBy("host", "path").agg(F.max("top").alias("_best"))
+        .groupBy("host", "path").agg(F.max("top").alias(best))
     )
     return named.join(longest, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in named.columns], F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        *[F.col(f"`{c}`") for c in named.columns], F.col(best)["rule"].alias("rule"),
+        F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict"))
