@@ -139,3 +139,30 @@ def test_an_unchanged_balance_is_silent(spark):
     assert first.changed and not O.daily_balance(status, history, first.digest).first().changed
     more = spark.createDataFrame([(1, 10), (2, 20)], "id long, completed_at long")
     assert O.daily_balance(status, more, first.digest).first().changed
+
+
+def test_records_span_micro_batches(spark, tmp_path):
+    """Lines that arrive one part after another give the records of one pass, wherever the parts are cut."""
+    from tracewell.operators import lines as L
+    texts = ["detail before any level", "2024-01-09 10:00:00 ERROR a: one", "  File \"x.py\", line 1", "ValueError: bad", "plain words", "2024-01-09 10:00:01 INFO a: fine", "more words",
+             "2024-01-09 10:00:02 WARNING a: two", "Traceback (most recent call last):", '  File "y.py", line 2', "KeyError: k"]
+    rows, at = [], {}
+    for i, text in enumerate(texts * 2):
+        for path in ("/a/agent.log", "/b/errors.log"):
+            start = at.get(path, 0)
+            at[path] = start + len(text) + 1
+            rows.append((i, path, path.rsplit("/", 1)[1], start, at[path], text))
+    schema = "line_id long, source_path string, source_name string, byte_start long, byte_end long, text string"
+    now = F.lit(NOW).cast("timestamp")
+    whole = spark.createDataFrame(rows, schema)
+    shown = lambda df: sorted((r.source_path, r.byte_start, r.byte_end, r.text, r.children) for r in df.collect())
+    want = shown(L.fold(L.stage_lines(L.keep_lines(whole), now)))
+    assert any(children > 2 for *_, children in want)
+    source, path = str(tmp_path / "in"), str(tmp_path / "fold")
+    for a, b in ((0, 2), (2, 3), (3, 9), (9, 13), (13, 14), (14, 30)):
+        write(spark, source, [r for r in rows if a <= r[0] < b], schema)
+        running = jobs.fold_lines(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "check"), now, 1 << 20)
+        finish(running)
+    jobs.flush_lines(running, path, now, 1 << 20)
+    assert shown(spark.read.option("recursiveFileLookup", "true").parquet(path)) == want
+    assert len(list((tmp_path / "fold-open").iterdir())) <= 2

@@ -1,6 +1,7 @@
 """Groups, batches, feed, notices and retention over the enriched store."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell import patterns as P, session
@@ -220,15 +221,19 @@ _BUCKETS = """bucketed AS (SELECT *, strftime(event_at + INTERVAL 4 HOUR, '%Y%m%
    CASE WHEN hour(event_at + INTERVAL 4 HOUR) < 12 THEN '00' ELSE '12' END AS bucket_half FROM stored)"""
 
 
-@query("sink_half_day_buckets", with_store("SELECT bucket_day, bucket_half, count(*) AS rows, min(line_id) AS first_line, max(line_id) AS last_line FROM bucketed GROUP BY ALL", _BUCKETS))
+@query("sink_half_day_buckets", with_store("SELECT bucket_day, bucket_half, count(*) AS rows, min(line_id) AS first_line, max(line_id) AS last_line, CAST(0 AS BIGINT) AS out_of_order FROM bucketed GROUP BY ALL", _BUCKETS))
 def half_day_buckets(spark, folder):
     path = _fresh(spark, "buckets")
     rows = store(spark, folder).select("line_id", "record_id", "event_at", "source_path", "byte_start", "text")
     stores.write_buckets(rows.filter("line_id % 2 = 0"), path, "Asia/Dubai")
     # The second increment brings the other half, and repeats a part of the first.
     stores.write_buckets(rows.filter("line_id % 2 = 1 OR line_id % 10 = 0"), path, "Asia/Dubai")
-    return stores.read_buckets(spark, path).groupBy("bucket_day", "bucket_half").agg(
-        F.count("*").alias("rows"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
+    # Rows of one file are read in the order in which they were written: by time, then source and position.
+    placed = stores.read_buckets(spark, path).withColumns({"_file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()})
+    before = F.lag(F.struct("event_at", "source_path", "byte_start")).over(Window.partitionBy("_file").orderBy("_place"))
+    checked = placed.withColumn("_late", before > F.struct("event_at", "source_path", "byte_start"))
+    return checked.groupBy("bucket_day", "bucket_half").agg(
+        F.count("*").alias("rows"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"), F.count_if(F.coalesce("_late", F.lit(False))).alias("out_of_order"))
 
 
 @query("sink_archive_gzip", with_store(f"SELECT count(*) AS archived, CAST(sum(line_id) AS BIGINT) AS ids FROM stored WHERE event_at < {d.NOW_TS} - INTERVAL 144 HOUR"))

@@ -257,16 +257,21 @@ def rule_field_evidence(spark, folder):
             ("cause", "cause"), ("event", "event"), ("exit_code", "exit"), ("http_status", "http"), ("platform", "platform"))])
 
 
+def _graded(spark, folder, policy):
+    """A policy over the records that are classified and stored already."""
+    from tracewell.queries import groups
+    rows = S.reapply(groups.store(spark, folder), policy)
+    return rows.select("line_id", F.col("severity.label").alias("severity"), F.col("severity.rule_id").alias("severity_rule_id"))
+
+
 @query("policy_severity", with_parsed("SELECT line_id, severity, severity_rule_id FROM graded", SEVERE))
 def policy_severity(spark, folder):
-    rows = S.apply_severity(classified(spark, folder), POLICY)
-    return rows.select("line_id", F.col("severity.label").alias("severity"), F.col("severity.rule_id").alias("severity_rule_id"))
+    return _graded(spark, folder, POLICY)
 
 
 @query("policy_severity_basic", with_parsed(f"SELECT line_id, {BASIC_LABEL} AS severity, {BASIC_RULE_ID} AS severity_rule_id FROM classified", FINAL))
 def policy_severity_basic(spark, folder):
-    rows = S.apply_severity(classified(spark, folder), BASIC_POLICY)
-    return rows.select("line_id", F.col("severity.label").alias("severity"), F.col("severity.rule_id").alias("severity_rule_id"))
+    return _graded(spark, folder, BASIC_POLICY)
 
 
 @query("fn_fingerprint", with_parsed("SELECT line_id, fingerprint, normalized_text, fp_host AS host FROM enriched", FINGERPRINTED))

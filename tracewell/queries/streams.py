@@ -71,10 +71,17 @@ def stream_groups(spark, folder):
 @query("stream_fold", d.with_lines("""SELECT source_path, parent_start AS byte_start, max(byte_end) AS byte_end,
     md5(substr(string_agg(substr(text, 1, 800), chr(10) ORDER BY byte_start), 1, 8000)) AS text_md5, count(*) - 1 AS children FROM records WHERE role IS NOT NULL GROUP BY source_path, parent_start""", QL.ROLES))
 def stream_fold(spark, folder):
-    # Files hold whole sources, as rotated logs do.
-    frame = adapters.stage(spark, folder, "lines_by_source", lambda: adapters.lines(spark, folder).repartition(8, "source_path"))
+    # Each source arrives in three parts that are cut without regard to records, as a tail finds them.
+    lines = adapters.lines(spark, folder)
+    most = lines.agg(F.max("byte_start")).first()[0]
     path = Q._fresh(spark, "fold")
-    _finish(jobs.fold_lines(_stream(spark, frame), path, f"{path}-checkpoint", Q.now(), adapters.CHUNK_BYTES))
+    for part in range(3):
+        inside = F.col("byte_start").between(F.lit(part * most // 3 + (part > 0)), F.lit((part + 1) * most // 3))
+        lines.filter(inside).write.mode("append").parquet(f"{path}-in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{path}-in")
+        running = jobs.fold_lines(stream, path, f"{path}-checkpoint", Q.now(), adapters.CHUNK_BYTES)
+        _finish(running)
+    jobs.flush_lines(running, path, Q.now(), adapters.CHUNK_BYTES)
     return spark.read.option("recursiveFileLookup", "true").parquet(path).select(
         "source_path", "byte_start", "byte_end", F.md5("text").alias("text_md5"), "children")
 
