@@ -71,3 +71,11 @@ def test_odd(spark, odd_docs, no_docs):
     assert found.columns == [*odd_docs.columns, "n_words", "n_removed", "kept"]
     assert order((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()) == order(brute(rows, 50))
     assert substring_dedup.remove(no_docs).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage, "x", [1], 7), (2, "q " + passage, "y", [2], 8)], "doc_id bigint, text string, _uid string, _starts array<int>, _words int")
+    out = substring_dedup.remove(docs)
+    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept"]
+    assert sorted((r.doc_id, r._uid, r._starts, r._words, r.n_removed, r.kept) for r in out.collect()) == [(1, "x", [1], 7, 0, passage), (2, "y", [2], 8, 60, "q")]

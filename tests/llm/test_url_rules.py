@@ -53,3 +53,10 @@ def test_native_plan(spark):
     from tracewell.llm import queries
     plan = queries.QUERIES["op3_url_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_clashing_columns_are_kept(spark):
+    pages = spark.createDataFrame([(1, "x://a.org/es/", "kept")], "page_id int, url string, _best string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    row = url_rules.judge(pages, rules).collect()[0]
+    assert (row._best, row.rule, row.verdict) == ("kept", "org/", "allow")

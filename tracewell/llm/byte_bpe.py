@@ -259,7 +259,8 @@ def ranks(path: str) -> Ranks:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and offsets (64-bit byte offsets of the tokens) of each text.
 
-    A null text is empty and has no ids. Repeated rows stay as they are; other columns are not read.
+    A null or empty text has no ids. Very long texts are encoded whole. Repeated rows stay as they are, an empty table gives
+    no rows; other columns are not read, so their names cannot clash.
     """
     def run(batches):
         table = ranks(vocabulary)
@@ -276,7 +277,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of all ids, to rows with doc_id, n_tokens and ids."""
+    """doc_id, n_tokens, ids and ``decoded``, the bytes of all ids. Null ids decode to nothing, ids of any number are decoded whole,
+    repeated rows stay, an empty table gives no rows; other columns are dropped, so their names cannot clash."""
     kept = encoded.select("doc_id", "n_tokens", "ids")
 
     def run(batches):

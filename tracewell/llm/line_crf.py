@@ -223,7 +223,8 @@ def _one(column):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row. A null text is empty: one empty line. Other columns are not read."""
+    """doc_id and score of every row. A null text is empty: one empty line. Very long texts are labelled whole, line by line.
+    Repeated rows score alike, an empty table gives no rows; other columns are not read, so their names cannot clash."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches):

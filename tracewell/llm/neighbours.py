@@ -206,7 +206,9 @@ class Index:
 
 
 def build(table: DataFrame, row_id: str = "vec_id", vector: str = "embedding", rounds: int = ROUNDS) -> Index:
-    """Graph over all rows that take part (see ``valid``); every such row is indexed."""
+    """Graph over all rows that take part (see ``valid``); every such row is indexed. Repeated rows and equal vectors share a
+    node, very long vectors are read whole, an empty table gives an index without nodes. Other columns are not read, so
+    their names cannot clash."""
     spark = table.sparkSession
     rows = shared.stage(valid(table, row_id, vector), "ann-rows")
     nodes = shared.stage(rows.groupBy("node").agg(F.first("v").alias("v")), "ann-nodes")
@@ -339,7 +341,8 @@ def search(index: Index, queries: DataFrame, k: int = 5, row_id: str = "vec_id",
     """query_id, rank (from 1), id and score of the ``k`` nearest rows found for each query row, its own id left out.
 
     Nearest first, ties to the smaller id; all candidates, if fewer. Scores are cosines of the original vectors in
-    double precision. Queries that take no part (see ``valid``) have no rows.
+    double precision. Queries that take no part (see ``valid``) have no rows, nor has any query of an empty index; repeated
+    queries are answered once, an empty table of queries gives no rows. Other columns are not read, so their names cannot clash.
     """
     asked = valid(queries, row_id, vector).select(F.col("id").alias("query_id"), "v", F.col("node").alias("q"))
     asked = shared.stage(asked, "ann-queries")

@@ -46,7 +46,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = 2048, spec
 
     ``start`` counts the document's ids before the piece, ``doc_tokens`` all of them with the end id; ``goes_on`` says
     that the document continues in the next sequence. A null text is empty and still holds the end id. Repeated
-    doc_ids are packed as they come; other columns are not read. Which document stands where follows the partitions of
+    doc_ids are packed as they come; very long texts are encoded whole and cut into many pieces; an empty table gives no
+    pieces; other columns are not read, so their names cannot clash. Which document stands where follows the partitions of
     the input; the staged first pass fixes it. With ``special`` names of special tokens in a text become their ids.
     """
     encoded = shared.stage(encode(docs, vocabulary, end_id, special), "packing")

@@ -172,8 +172,8 @@ def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, COUNTS, base_failed, probability and kept for every row of ``docs``.
 
-    A null text has no words and fails the base rules. Repeated rows are judged alike. Columns other than doc_id and
-    text are not read.
+    A null text has no words and fails the base rules. Very long texts are counted whole. Repeated rows are judged alike,
+    an empty table gives no rows. Columns other than doc_id and text are not read, so their names cannot clash.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: FAMILIES << BITS weights
 
