@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -54,12 +55,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 
 def drop_staged(staged: DataFrame) -> None:
-    """Deletes the folder of a table that ``stage`` wrote, when nothing reads it any more."""
+    """Deletes the folders of tables that ``stage`` wrote and ``staged`` reads, when nothing else reads them any more.
+
+    Only folders below this library's own scratch folder go; any other source of ``staged`` is left alone.
+    """
     spark = staged.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = re.compile(r"/tracewell/[^/]+-[0-9a-f]{12}\Z")
     for folder in {x.rsplit("/", 1)[0] for x in staged.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-        path.getFileSystem(conf).delete(path, True)
+        if own.search(folder):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def replace(old: DataFrame, df: DataFrame, name: str) -> DataFrame:
