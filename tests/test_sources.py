@@ -61,6 +61,12 @@ def test_overlapping_globs_read_a_file_once(spark, tmp_path):
         (tmp_path / name).write_text(f"{name}\n")
     rows = S.read_text_lines(spark, [f"{tmp_path}/agent.log*", f"{tmp_path}/{{agent,errors}}.lo?", f"{tmp_path}/agent.log"]).collect()
     assert sorted(r.text for r in rows) == ["agent.log", "agent.log.1", "errors.log"]
+    for folder in ("east/logs", "west/logs"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "agent.log").write_text(f"{folder}\n")
+    rows = S.read_text_lines(spark, [f"{tmp_path}/east/logs/*.log", f"file:{tmp_path}/west/*/agent*", f"{tmp_path}/west/logs/agent.log"]).collect()
+    assert sorted(r.text for r in rows) == ["east/logs", "west/logs"]
+    assert S._folder("file:///a/b/c*.log") == S._folder("/a/b/*") == "/a/b"
 
 
 @pytest.mark.parametrize("glob,yes,no", [

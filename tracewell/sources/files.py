@@ -1,8 +1,8 @@
 """File sources: JSON lines, raw logs, journal exports, changed files."""
 from __future__ import annotations
 
-import os
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,20 +60,32 @@ def glob_regex(glob: str) -> str:
     return r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + re.sub("/+", "/", out) + r"\z"
 
 
+def _folder(glob: str) -> str:
+    """The folder of a glob above its first wildcard."""
+    plain = re.sub(r"^file:(//)?(?=/)", "", glob)
+    return re.split(r"[*?\[{]", plain)[0].rsplit("/", 1)[0]
+
+
 def _text(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """value and _metadata of the lines of the matched files, each file once.
 
-    Several globs may match one file, and Spark would read it once for each. So they become one pattern on the files below
-    their common folder; it is applied to the listing, before any file is opened.
+    Several globs may match one file, and Spark would read it once for each. So globs whose folders lie in each other become
+    one pattern on the files below the outer folder; it is applied to the listing, before any file is opened. Globs in
+    folders apart are read apart.
     """
     reader = spark.read.option("lineSep", "\n")
-    if len(patterns) == 1:
-        return reader.text(patterns[0]).select("value", "_metadata")
-    fixed = [re.split(r"[*?\[{]", p)[0].rsplit("/", 1)[0] for p in patterns]
-    root = os.path.commonprefix([f + "/" for f in fixed]).rsplit("/", 1)[0] or "/"
-    wanted = "|".join(glob_regex(p) for p in patterns)
-    found = reader.option("recursiveFileLookup", "true").text(root).select("value", "_metadata")
-    return found.filter(plain_path(F.col("_metadata.file_path")).rlike(wanted))
+    folders = {_folder(p) for p in patterns}
+    outer = sorted(f for f in folders if not any(f != g and f.startswith(g.rstrip("/") + "/") for g in folders))
+    parts = []
+    for root in outer:
+        own = sorted({p for p in patterns if _folder(p) == root or _folder(p).startswith(root.rstrip("/") + "/")})
+        if len(own) == 1:
+            parts.append(reader.text(own[0]).select("value", "_metadata"))
+        else:
+            wanted = "|".join(glob_regex(p) for p in own)
+            found = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(root or "/").select("value", "_metadata")
+            parts.append(found.filter(plain_path(F.col("_metadata.file_path")).rlike(wanted)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
