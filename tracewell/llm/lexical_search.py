@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import shared
-from tracewell.llm.words import BYTE_VALUE, LOWER, Texts, buffers, mix, range_hashes, slices
+from tracewell.llm.words import LOWER, Texts, buffers, byte_hashes, mix, slices
 from tracewell.operators import scan
 
 TOP = 20
@@ -88,7 +88,7 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.terms = sorted(terms)
         whole = buffers(pa.array(self.terms, pa.string()))
-        hashes = range_hashes(BYTE_VALUE[whole.data], whole.cuts[:-1], whole.cuts[1:])
+        hashes = byte_hashes(whole.data, whole.cuts[:-1], whole.cuts[1:])
         order = np.argsort(hashes)
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two terms of one hash")
@@ -101,7 +101,7 @@ class Vocabulary:
         """Positions of the terms that are in the vocabulary, and their numbers."""
         if not len(self) or not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes = range_hashes(BYTE_VALUE[data], starts, ends)
+        hashes = byte_hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = np.flatnonzero(self.hashes[at] == hashes)
         number = self.number[at[hit]]

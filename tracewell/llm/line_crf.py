@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import shared, training
 from tracewell.llm.quality import lines
-from tracewell.llm.words import BYTE_VALUE, Texts, buffers, mix, range_hashes, slices, words
+from tracewell.llm.words import Texts, buffers, byte_hashes, mix, slices, words
 
 SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
 SAMPLE_BYTES = 16 << 20  # and their bytes, at most, for the one task that fits the model
@@ -52,7 +52,7 @@ def dense(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     echo = np.zeros(len(found.hashes) + 1, np.int64)  # words equal to the one before them
     np.cumsum(np.concatenate([[False], found.hashes[1:] == found.hashes[:-1]])[:len(found.hashes)], out=echo[1:])
     holder = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
-    keys = mix(range_hashes(BYTE_VALUE[texts.data], starts, ends) + mix(holder))
+    keys = mix(byte_hashes(texts.data, starts, ends) + mix(holder))
     order = np.argsort(keys, kind="stable")
     twin = np.zeros(len(keys), bool)
     same = keys[order[1:]] == keys[order[:-1]]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import shared, training
-from tracewell.llm.words import BYTE_VALUE, Texts, Words, buffers, mix, range_hashes, runs, slices, words
+from tracewell.llm.words import Texts, Words, buffers, byte_hashes, mix, runs, slices, words
 
 SAMPLE_ROWS = 3000  # labelled documents to learn from, at most
 SAMPLE_BYTES = 32 << 20  # and their bytes, at most, for the one task that fits the model
@@ -75,7 +75,7 @@ def counts(texts: Texts, found: Words) -> np.ndarray:
     starts, ends, first_line = lines(texts)
     owner = np.repeat(np.arange(n), np.diff(first_line))
     has_word = np.searchsorted(found.starts, ends) > np.searchsorted(found.starts, starts)
-    line_hash = range_hashes(BYTE_VALUE[texts.data], starts[has_word], ends[has_word])
+    line_hash = byte_hashes(texts.data, starts[has_word], ends[has_word])
     own = owner[has_word]
     _, later = _repeats(mix(line_hash + mix(own.astype(np.uint64))))
     dup_lines = np.bincount(own[later], minlength=n)
