@@ -208,3 +208,17 @@ def test_merges_match_library(name, odd_texts):
     want = whole.encode_batch(texts, add_special_tokens=False)
     for text, mine, ids in zip(texts, found, want):
         assert np.frombuffer(mine, f"<u{coder.width}").tolist() == ids.ids, text[:80]
+
+
+def test_calls_per_new_piece():
+    """The work in Python for pieces not seen before is a few calls each: it is most of the time of op9."""
+    import cProfile
+
+    coder = bpe_cache.Encoder(P.path("byte_bpe_50k.json"))
+    letters = "abcdefghijklmnopqrst"
+    texts = [" ".join(a + b + c + d for c in letters for d in letters) for a in letters for b in letters[:2]]
+    profile = cProfile.Profile()
+    found = profile.runcall(coder.encode, texts)
+    calls = sum(x.callcount for x in profile.getstats())
+    assert calls < 14 * sum(len(x.split(" ")) for x in texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == [x.ids for x in coder.library.encode_batch(texts, add_special_tokens=False)]

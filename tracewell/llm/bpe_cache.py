@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import regex
 
@@ -69,7 +70,8 @@ class Merges:
         ordered += [raw("".join(pair)) for pair in merges]
         ranks = {token: i for i, token in enumerate(dict.fromkeys(ordered))}
         number = {raw(token): i for token, i in model["vocab"].items()}
-        self.ids = [number.get(token, -1) for token in ranks]
+        # as bytes; a merge that is no token never comes out of a vocabulary that fits
+        self.ids = [array(code, [number[token]]).tobytes() if token in number else None for token in ranks]
         self.split = regex.compile(WORD_LEVEL if self.word_end else BYTE_LEVEL).findall
         self.merge = tiktoken.Encoding("merges", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
@@ -91,25 +93,26 @@ class Merges:
 
     def encode(self, pieces: list[str], before: str) -> list[bytes]:
         """Ids of pieces that hold no white space, each behind ``before`` (a space or nothing)."""
-        out, cache = [], self.cache
+        out, cache, merged = [], self.cache, self._merged
         if self.word_end:
             before = ""  # words take no space
         for piece in pieces:
             if self.word_end:
                 piece = piece.lower()
             if piece.isalpha():  # all letters: one pre-token
-                found = (before + piece,)
-            elif piece[-1:] in MARKS and piece[:-1].isalpha():
+                word = before + piece
+                out.append(cache.get(word) or merged(word))
+                continue
+            if piece[-1:] in MARKS and piece[:-1].isalpha():
                 found = (before + piece[:-1], piece[-1])
             else:
                 found = self.split(before + piece)
-            ids = [cache.get(word) or self._merged(word) for word in found]
-            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+            out.append(b"".join([cache.get(word) or merged(word) for word in found]))
         return out
 
     def _merged(self, word: str) -> bytes:
         raw = word.encode()
-        ids = array(self.code, [self.ids[i] for i in self.merge(raw + END_BYTE if self.word_end else raw)]).tobytes()
+        ids = b"".join([self.ids[i] for i in self.merge(raw + END_BYTE if self.word_end else raw)])
         if len(word) <= LONG:
             self.cache[word] = ids
         return ids
@@ -146,7 +149,7 @@ class Encoder:
             part = others[at:at + 20_000]
             found = self.library.encode_batch_fast([before + x for x in part], add_special_tokens=False)
             cache.update(zip(part, (array(self.code, x.ids).tobytes() for x in found)))
-        return [x for x in pieces if len(x) > LONG]
+        return [x for x in pieces if len(x) > LONG] if max(map(len, pieces), default=0) > LONG else []
 
     def encode(self, texts: list[str], special: bool = False) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``width`` bytes."""
@@ -170,7 +173,7 @@ class Encoder:
             start = pieces[0]
             if start not in head:
                 first.add(start)
-            missing.update(x for x in pieces[1:] if x not in inner)
+            missing.update(filterfalse(inner.__contains__, pieces[1:]))
         drop = self._learn(inner, list(missing), " ")
         drop_head = self._learn(head, list(first), "")
         out = [head[p[0]] + b"".join(map(inner.__getitem__, p[1:])) for p in cut]
